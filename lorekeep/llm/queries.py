@@ -23,8 +23,31 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.suffix_dedup import digest, remove_repeats
+
+    return digest(remove_repeats(read_table(spark, sf_dir, "documents"), length=50))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+              FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+        least AS (SELECT s, min(doc_id) AS first_doc FROM w GROUP BY s),
+        hit AS (SELECT w.doc_id, w.p FROM w JOIN least USING (s) WHERE least.first_doc < w.doc_id),
+        step AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+        run AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM step),
+        span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, r),
+        edge AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+        kept AS (SELECT e.doc_id, string_agg(substr(d.h, 2 * e.before + 1, 2 * (e.a - e.before)), '' ORDER BY e.a) AS k, max(e.b) AS last, sum(e.b - e.a) AS removed, count(*) AS n
+                 FROM edge e JOIN d USING (doc_id) GROUP BY e.doc_id)
+        SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(k.k, '') || substr(d.h, 2 * coalesce(k.last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN kept k USING (doc_id)""",
+}
