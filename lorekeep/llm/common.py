@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text in a block (before compression), so that a task holds one block at a time.
 BLOCK_BYTES = 8 << 20
+#: Most documents of a block, so that block and place fit into one long.
+BLOCK_DOCS = 1 << 16
 #: Bytes of text for one bucket of hashes; the number of buckets follows the input.
 BUCKET_BYTES = 16 << 20
 
@@ -97,7 +99,7 @@ class Block:
 
 def _pack(partition: int, part: int, ids: list, texts: list[bytes]) -> dict:
     return {
-        "block": (partition << 24) | part,
+        "block": (partition << 20) | part,
         "n_docs": len(ids),
         "n_bytes": sum(map(len, texts)),
         "ids": np.array([x or 0 for x in ids], np.int64).tobytes(),
@@ -117,7 +119,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (text.as_buffer().to_pybytes() if text.is_valid else b"")
-                if ids and size + len(data) > block_bytes:
+                if ids and (size + len(data) > block_bytes or len(ids) == BLOCK_DOCS):
                     yield pa.RecordBatch.from_pylist([_pack(partition, part, ids, texts)], SCHEMA)
                     part, ids, texts, size = part + 1, [], [], 0
                 ids.append(i)
