@@ -179,11 +179,12 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], lower: bool):
-        data = b"\n".join(texts)
+        data = b"\n".join([*texts, b""])
         if lower:
             data = data.lower()  # of bytes: A-Z only
         self.data = data
         buf = np.frombuffer(data, np.uint8)
+        self.buf = buf
         self.offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
         word = np.zeros(len(buf) + 2, np.int8)
         word[1:-1] = ~_SPACE[buf]
@@ -212,6 +213,12 @@ class Words:
         return h[at], at
 
 
+def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of the values of each text; first[d] is the number of the first value of text d."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[first[1:]] - total[first[:-1]]
+
+
 def window_hash(words: np.ndarray, n: int) -> np.ndarray:
     h = words[: len(words) - n + 1].copy()
     for j in range(1, n):

@@ -17,6 +17,13 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.quality_rules import fit_quality_model, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, fit_quality_model(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.token_output import write_and_read
 
@@ -36,6 +43,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_token_output": op4_token_output,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
