@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.class_ngrams import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.quality_rules import fit_quality_model, score
 
@@ -43,6 +49,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_class_ngrams": op1_class_ngrams,
     "op2_quality_rules": op2_quality_rules,
     "op4_token_output": op4_token_output,
     "op9_jaccard_join": op9_jaccard_join,
