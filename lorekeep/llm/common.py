@@ -23,7 +23,7 @@ BLOCK_BYTES = 8 << 20
 #: Most documents of a block, so that block and place fit into one long.
 BLOCK_DOCS = 1 << 16
 #: Bytes of text for one bucket of hashes; the number of buckets follows the input.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 BLOCKS = T.StructType(
     [
