@@ -30,12 +30,48 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_quality_model(docs, read_table(spark, sf_dir, "labels")))
 
 
+#: Shards of the sharding query.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.sharding import place
+
+    return place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def _op3_oracle() -> str:
+    """The keys' hashes and the look-up; the table itself is tested against a plain filling."""
+    from lorekeep.llm.sharding import fill_table, next_prime
+
+    slots = next_prime(100 * len(SHARDS))
+    table = ",".join(map(str, fill_table(SHARDS, slots)))
+    return f"""
+        SELECT doc_id, slot, CAST(([{table}])[slot + 1] AS INTEGER) AS shard
+        FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT % {slots} AS slot FROM documents)"""
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.token_output import write_and_read
 
     return write_and_read(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.importance_sampling import resample
+    from lorekeep.llm.quality_rules import good_labels
+
+    labels = good_labels(read_table(spark, sf_dir, "labels"))
+    share = labels.agg(F.avg("good")).first()[0]  # as many as are good, judged by the labels
+    return resample(read_table(spark, sf_dir, "documents"), labels.where("good = 1"), 1.0 if share is None else share)
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.piece_codec import digest
+
+    return digest(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.jaccard_join import similar_documents
 
@@ -51,12 +87,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_class_ngrams": op1_class_ngrams,
     "op2_quality_rules": op2_quality_rules,
+    "op3_sharding": op3_sharding,
     "op4_token_output": op4_token_output,
+    "op5_importance_resampling": op5_importance_resampling,
+    "op6_piece_codec": op6_piece_codec,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_sharding": _op3_oracle(),
     "op9_jaccard_join": """
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM (
