@@ -20,66 +20,101 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import Scratch, expand, squeeze
+from lorekeep.llm.common import Scratch
 
 MAGIC = b"FVB1"
 #: Tokens of a file.
 FILE_TOKENS = 8 << 20
-#: Pieces of text kept with their ids in a worker, and the longest such piece.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Pieces of text kept with their ids in each of a worker's two generations, and the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 350_000, 48
 
-#: White space other than blank and line feed: such texts are encoded in one go.
-_ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎﻿]")
-#: White space and what follows it.  The tokenizer's own split never joins a character that is no
-#: white space with white space after it, so these pieces encode independently.
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_STATE: dict[str, tuple] = {}
+#: Texts with other white space than single blanks and line feeds within them are encoded in one go.
+_ODD_SPACE = re.compile(r"[ \n]{2}|^[ \n]|[ \n]\Z|[^\S \n]|[\x1c-\x1f\x85\u180e\ufeff]")
+#: A word and the plain punctuation after it, which the tokenizer's own split parts.
+_TAIL = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,!]+)\Z")
+_STATE: dict[str, _Encoder] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _STATE:
-        from tokenizers import Tokenizer
+class _Encoder:
+    """A tokenizer with the ids of the pieces that a worker has met lately, in two generations."""
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        import json
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        pre = json.loads(tok.to_str())["pre_tokenizer"] or {}
-        splits = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        _STATE[path] = (tok, {}, bool(splits))
-    return _STATE[path]
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        pre = json.loads(self.tok.to_str())["pre_tokenizer"] or {}
+        self.splits = bool(pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _new(self, texts: list[str]) -> list[bytes]:
+        code = self.kind(0).dtype.char
+        return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts pieces which the young generation lacks into it."""
+        young, old = self.young, self.old
+        tails = {}
+        new = []
+        for p in pieces:
+            ids = old.get(p)
+            if ids is not None:
+                young[p] = ids
+            elif m := _TAIL.search(p):
+                tails[p] = (p[: m.start(2)], "\r" + m[2])
+            else:
+                new.append(p)
+        more = {x for pair in tails.values() for x in pair if x not in young}
+        new += more.difference(new)
+        young.update(zip(new, self._new([p[1:] if p[0] == "\r" else p if p[0] == "\n" else " " + p for p in new]), strict=True))
+        for p, (word, tail) in tails.items():
+            young[p] = young[word] + young[tail]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """A text is parted at its blanks and before its line feeds, where the tokenizer's own split
+        has an end too.  A piece stands for itself after a blank, or after nothing with a leading
+        carriage return, which a parted text does not hold."""
+        whole = [not t or not self.splits or _ODD_SPACE.search(t) is not None for t in texts]
+        pieces = [[] if w else ("\r" + t.replace("\n", " \n")).split(" ") for t, w in zip(texts, whole, strict=True)]
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        young = self.young
+        unknown = set().union(*pieces).difference(young)
+        if unknown:
+            self._learn(unknown)
+        alone = iter(self._new([t for t, w in zip(texts, whole, strict=True) if w]))
+        get = young.__getitem__
+        out = [np.frombuffer(next(alone) if w else b"".join(map(get, ps)), self.kind) for ps, w in zip(pieces, whole, strict=True)]
+        for p in unknown:
+            if len(p) > CACHE_CHARS:
+                del young[p]
+        return out
 
 
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
-    tok, cache, splits = _tokenizer(path)
-    whole = [not splits or _ODD_SPACE.search(t) is not None for t in texts]
-    pieces = [[t] if w else _PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
-    new = list({p for ps in pieces for p in ps} - cache.keys())
-    own = {}
-    if new:
-        for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            own[p] = np.array(e.ids, np.uint32).tobytes()
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            own = {**{p: cache[p] for ps in pieces for p in ps if p in cache}, **own}
-            cache.clear()
-        cache.update((p, b) for p, b in own.items() if len(p) <= CACHE_CHARS)
-    get = lambda p: own.get(p) or cache.get(p, b"")
-    return [np.frombuffer(b"".join(map(get, ps)), np.uint32) for ps in pieces]
+    if path not in _STATE:
+        _STATE[path] = _Encoder(path)
+    return _STATE[path](texts)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids are packed uint32, compressed."""
+    """(doc_id, n_tokens, ids): ids are packed, two bytes each where that is enough, and compressed."""
 
     def run(batches):
         for batch in batches:
@@ -88,17 +123,24 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "d
                 part = [t or "" for t in texts.slice(a, 64).to_pylist()]
                 found = encode_texts(tokenizer, part)
                 if end_id is not None:
-                    found = [np.append(x, np.uint32(end_id)) for x in found]
+                    found = [np.append(x, x.dtype.type(end_id)) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, 64), pa.array([len(x) for x in found], pa.int64()), pa.array([squeeze(x.astype(np.uint32).tobytes()) for x in found], pa.binary())],
+                    [ids.slice(a, 64), pa.array([len(x) for x in found], pa.int64()), pa.array([_squeeze_ids(x) for x in found], pa.binary())],
                     names=["doc_id", "n_tokens", "ids"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def _ids(packed: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(expand(x), np.uint32) for x in packed.to_pylist()]
+def _squeeze_ids(ids: np.ndarray) -> bytes:
+    return bytes([ids.itemsize]) + _ZSTD.compress(ids.tobytes())
+
+
+def _expand_ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(_UNZSTD.decompress(memoryview(data)[1:]), np.uint16 if data[0] == 2 else np.uint32)
+
+
+_ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def token_counts(encoded: DataFrame) -> DataFrame:
@@ -107,7 +149,7 @@ def token_counts(encoded: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in _ids(batch.column(0)):
+            for ids in map(_expand_ids, batch.column(0).to_pylist()):
                 if len(ids):
                     n = np.bincount(ids)
                     if len(n) > len(total):
@@ -226,7 +268,7 @@ def write_files(encoded: DataFrame, ranks: np.ndarray, folder: str, file_tokens:
 
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(expand(x), np.uint32)
+                x = _expand_ids(x)
                 if ids and size + len(x) > file_tokens:
                     yield flush()
                     ids, found, size, piece = [], [], 0, piece + 1
