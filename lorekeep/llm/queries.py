@@ -72,6 +72,41 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.license_scan import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def _op7_oracle() -> str:
+    """Every line against every template."""
+    from lorekeep.llm.license_scan import LEAST, PHRASES, TEMPLATES
+
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({quoted(p.split())}, {len(p.split())}, '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"({quoted(sorted(set(t.split())))}, {len(set(t.split()))}, '{label}')" for t, label in TEMPLATES)
+    return f"""
+        WITH d AS (SELECT doc_id, {low} AS t, regexp_extract_all({low}, '{word}') AS w FROM documents),
+        place AS (SELECT doc_id, p, label FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d), (VALUES {phrases}) v(ph, n, label) WHERE w[p + 1:p + n] = ph),
+        base AS (SELECT doc_id, count(*) AS n, min(p) AS a, max(p) AS b FROM place GROUP BY doc_id),
+        line AS (SELECT doc_id, list_distinct(regexp_extract_all(l, '{word}')) AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+        met AS (SELECT doc_id, label, len(list_intersect(s, ws)) / n AS share FROM line, (VALUES {templates}) v(ws, n, label) WHERE {LEAST.denominator} * len(list_intersect(s, ws)) >= {LEAST.numerator} * n),
+        best AS (SELECT doc_id, max(share) AS score FROM met GROUP BY doc_id),
+        bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT DISTINCT doc_id, label FROM place) GROUP BY doc_id),
+        al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM met) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(base.a AS BIGINT) AS first_word, CAST(base.b AS BIGINT) AS last_word,
+               coalesce(bl.l, '') AS base_labels, coalesce(al.l, '') AS labels, CAST(coalesce(best.score, 0) AS DOUBLE) AS score
+        FROM d LEFT JOIN base USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.decontamination import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.jaccard_join import similar_documents
 
@@ -91,12 +126,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op5_importance_resampling": op5_importance_resampling,
     "op6_piece_codec": op6_piece_codec,
+    "op7_license_scan": op7_license_scan,
+    "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op3_sharding": _op3_oracle(),
+    "op7_license_scan": _op7_oracle(),
     "op9_jaccard_join": """
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM (
