@@ -34,6 +34,7 @@ BLOCKS = T.StructType(
         T.StructField("nulls", T.BinaryType()),  # uint8, one where the id is null
         T.StructField("sizes", T.BinaryType()),  # int64 bytes of each text
         T.StructField("texts", T.BinaryType()),  # the texts end to end
+        T.StructField("extra", T.BinaryType()),  # carried columns, as an Arrow stream
     ]
 )
 
@@ -97,8 +98,8 @@ class Block:
         return pa.array(self.ids, mask=self.nulls, type=pa.int64())
 
 
-def _pack(partition: int, part: int, ids: list, texts: list[bytes]) -> dict:
-    return {
+def _pack(partition: int, part: int, ids: list, texts: list[bytes], extra: list[pa.RecordBatch]) -> pa.RecordBatch:
+    row = {
         "block": (partition << 20) | part,
         "n_docs": len(ids),
         "n_bytes": sum(map(len, texts)),
@@ -106,33 +107,54 @@ def _pack(partition: int, part: int, ids: list, texts: list[bytes]) -> dict:
         "nulls": np.array([x is None for x in ids], np.uint8).tobytes(),
         "sizes": np.array([len(x) for x in texts], np.int64).tobytes(),
         "texts": squeeze(b"".join(texts)),
+        "extra": None,
     }
+    if extra and extra[0].num_columns:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, extra[0].schema) as out:
+            for batch in extra:
+                out.write_batch(batch)
+        row["extra"] = squeeze(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_pylist([row], SCHEMA)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of the documents, in the order in which the tasks read them.  Write them before use."""
+def extra_columns(data: bytes) -> pa.Table:
+    """The carried columns of a block's documents."""
+    with pa.ipc.open_stream(expand(data)) as stream:
+        return stream.read_all()
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """Blocks of the documents, in the order in which the tasks read them.  Write them before use.
+
+    carry: all columns but the text go along, for operators that give the rows back.
+    """
 
     def pack(batches):
         from pyspark import TaskContext
 
-        partition, part, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        partition, part, ids, texts, size, extra = TaskContext.get().partitionId(), 0, [], [], 0, []
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = (text.as_buffer().to_pybytes() if text.is_valid else b"")
+            begin = 0
+            rest = batch.select(range(2, batch.num_columns))
+            for row, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if ids and (size + len(data) > block_bytes or len(ids) == BLOCK_DOCS):
-                    yield pa.RecordBatch.from_pylist([_pack(partition, part, ids, texts)], SCHEMA)
-                    part, ids, texts, size = part + 1, [], [], 0
+                    yield _pack(partition, part, ids, texts, [*extra, rest.slice(begin, row - begin)])
+                    part, ids, texts, size, extra, begin = part + 1, [], [], 0, [], row
                 ids.append(i)
                 texts.append(data)
                 size += len(data)
+            extra.append(rest.slice(begin))
         if ids:
-            yield pa.RecordBatch.from_pylist([_pack(partition, part, ids, texts)], SCHEMA)
+            yield _pack(partition, part, ids, texts, extra)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, BLOCKS)
+    others = [F.col(c).alias(f"_{c}") for c in docs.columns if c != text_col] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *others).mapInArrow(pack, BLOCKS)
 
 
 SCHEMA = pa.schema(
-    [("block", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64())] + [(n, pa.binary()) for n in ("ids", "nulls", "sizes", "texts")]
+    [("block", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64())] + [(n, pa.binary()) for n in ("ids", "nulls", "sizes", "texts", "extra")]
 )
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, Words, bucket_count, chunks, pack_documents, sequence_hash, squeeze, expand
+from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, Words, bucket_count, chunks, expand, extra_columns, pack_documents, sequence_hash, squeeze
 from lorekeep.llm.components import components
 from lorekeep.llm.suffix_dedup import hash_keys, split_buckets
 
@@ -210,13 +210,43 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     of num / den or more; component is a key of the class, component_id its smallest doc_id."""
     work = Scratch(docs.sparkSession, "jaccard_join")
     blocks = work.write(pack_documents(docs, id_col, text_col, block_bytes), "blocks")
+    return _classes(blocks, work, n, num, den, keep_blocks=False).select("doc_id", "n_shingles", "component", "component_id")
+
+
+def distinct_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of docs, with their columns, of which one of each component is left: the one with the
+    smallest doc_id (null last; of equal ones the first read)."""
+    work = Scratch(docs.sparkSession, "jaccard_join")
+    blocks = work.write(pack_documents(docs, carry=True), "blocks")
+    own = _classes(blocks, work, n, num, den, keep_blocks=True)
+    first = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select("m.rid")
+    left = work.write(first.groupBy(F.shiftright("rid", _ORD).alias("block")).agg(F.collect_list(F.col("rid").bitwiseAND((1 << _ORD) - 1).cast("int")).alias("left")), "left")
+    columns = docs.columns
+
+    def finish(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row)
+                keep = np.zeros(len(block), bool)
+                keep[row["left"] or []] = True
+                extra = extra_columns(row["extra"])
+                texts = list(block.texts())
+                out = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else extra[f"_{c}"].combine_chunks() for c in columns]
+                yield from pa.table(out, names=columns).filter(pa.array(keep)).to_batches(max_chunksize=512)
+
+    return blocks.join(left, "block", "left").mapInArrow(finish, docs.schema)
+
+
+def _classes(blocks: DataFrame, work: Scratch, n: int, num: int, den: int, keep_blocks: bool) -> DataFrame:
+    """(rid, doc_id, n_shingles, component, component_id) of each document."""
+    blocks = blocks.drop("extra")
     members = work.write(_members(blocks, n), "members")
     first = work.write(members.where("signature IS NOT NULL").groupBy("signature").agg(F.min("rid").alias("rid")), "first")
     chosen = first.groupBy(F.shiftright("rid", _ORD).alias("block")).agg(F.collect_list(F.col("rid").bitwiseAND((1 << _ORD) - 1).cast("int")).alias("chosen"))
     buckets = bucket_count(blocks)
     counts = work.write(_frequencies(blocks, n, buckets), "counts")
     records = work.write(_records(blocks.join(counts, "block", "left").join(chosen, "block", "left"), n, num, den, buckets), "records")
-    work.drop("blocks", "counts")
+    work.drop("counts", *([] if keep_blocks else ["blocks"]))
 
     postings = work.write(records.select("rid", "size", "skipped", F.posexplode("prefix").alias("i", "token")).select("token", "rid", "size", (F.col("i") + F.col("skipped")).alias("at")), "postings")
     tokens = postings.groupBy("token").agg(F.min(F.struct("at", "rid", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, bucket_count, chunks, expand, pack_documents, squeeze
+from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, bucket_count, chunks, expand, extra_columns, pack_documents, squeeze
 
 #: Bytes to which multikey quicksort orders suffixes before blind tries take over.
 SHALLOW = 24
@@ -392,49 +392,97 @@ def spans(cuts: list[bytes], length: int) -> np.ndarray:
     return np.stack([a[at], b[np.concatenate([at[1:], [len(a)]]) - 1]], axis=1)
 
 
+def _cuts(blocks: DataFrame, work: Scratch, length: int) -> DataFrame:
+    """(block, cuts) of the blocks with something to remove."""
+    buckets = bucket_count(blocks)
+    texts = blocks.drop("extra")
+    flags = work.write(repeated_flags(texts, length, buckets), "flags")
+    compared = _contexts(texts, flags, length, buckets).groupBy("bucket").applyInArrow(_compare(length), "block long, cuts binary")
+    cuts = work.write(compared.groupBy("block").agg(F.collect_list("cuts").alias("cuts")), "cuts")
+    work.drop("flags")
+    return cuts
+
+
+def _parted(block: Block, cuts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """Removed runs of each document, in bytes of the block."""
+    cut = spans(cuts, length)
+    rows: list[list[tuple[int, int]]] = [[] for _ in range(len(block))]
+    for d, (a, b) in zip(np.searchsorted(block.ends, cut[:, 0], side="right").tolist(), cut.tolist(), strict=True):
+        while b > block.ends[d]:  # it touches the next text's
+            rows[d].append((a, int(block.ends[d])))
+            a, d = int(block.ends[d]), d + 1
+            while block.sizes[d] == 0:
+                d += 1
+        rows[d].append((a, b))
+    return rows
+
+
+def _kept(block: Block, rows: list[list[tuple[int, int]]]) -> list[bytes]:
+    out = []
+    for at, end, parts in zip(block.starts.tolist(), block.ends.tolist(), rows, strict=True):
+        left = []
+        for a, b in parts:
+            left.append(block.data[at:a])
+            at = b
+        out.append(b"".join([*left, block.data[at:end]]))
+    return out
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): spans are array<struct<from, to>> in bytes of the
     text, kept is what is left of it (binary, for a cut can fall within a character)."""
     work = Scratch(docs.sparkSession, "suffix_dedup")
     blocks = work.write(pack_documents(docs, id_col, text_col, block_bytes), "blocks")
-    buckets = bucket_count(blocks)
-    flags = work.write(repeated_flags(blocks, length, buckets), "flags")
-    compared = _contexts(blocks, flags, length, buckets).groupBy("bucket").applyInArrow(_compare(length), "block long, cuts binary")
-    cuts = work.write(compared.groupBy("block").agg(F.collect_list("cuts").alias("cuts")), "cuts")
-    work.drop("flags")
+    cuts = _cuts(blocks, work, length)
 
     def finish(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                cut = spans(row["cuts"] or [], length)
-                # a cut of one text may touch the next one's: part them at the ends of texts
-                doc = np.searchsorted(block.ends, cut[:, 0], side="right")
-                rows: list[list[tuple[int, int]]] = [[] for _ in range(len(block))]
-                for d, (a, b) in zip(doc.tolist(), cut.tolist(), strict=True):
-                    while b > block.ends[d]:
-                        rows[d].append((a, int(block.ends[d])))
-                        a, d = int(block.ends[d]), d + 1
-                        while block.sizes[d] == 0:
-                            d += 1
-                    rows[d].append((a, b))
-                kept, removed, own = [], [], []
-                for (s, e), parts in zip(zip(block.starts.tolist(), block.ends.tolist(), strict=True), rows, strict=True):
-                    at, left = s, []
-                    for a, b in parts:
-                        left.append(block.data[at:a])
-                        at = b
-                    left.append(block.data[at:e])
-                    kept.append(b"".join(left))
-                    removed.append(sum(b - a for a, b in parts))
-                    own.append([{"from": a - s, "to": b - s} for a, b in parts])
+                rows = _parted(block, row["cuts"] or [], length)
+                kept = _kept(block, rows)
+                removed = [sum(b - a for a, b in parts) for parts in rows]
+                own = [[{"from": a - s, "to": b - s} for a, b in parts] for s, parts in zip(block.starts.tolist(), rows, strict=True)]
                 for i in range(0, len(kept), 256):
                     yield pa.RecordBatch.from_arrays(
                         [block.doc_ids()[i : i + 256], pa.array(block.sizes[i : i + 256], pa.int64()), pa.array(removed[i : i + 256], pa.int64()), pa.array(own[i : i + 256], SPANS), pa.array(kept[i : i + 256], pa.binary())],
                         names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
                     )
 
-    return blocks.join(cuts, "block", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
+    return blocks.drop("extra").join(cuts, "block", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
+
+
+def cut_documents(docs: DataFrame, length: int = 50, size_col: str = "n_chars") -> DataFrame:
+    """The rows of docs with what is left of their texts; ``size_col``, if there is one, counts its
+    characters anew.  A character which a cut parts goes; a document of which nothing but white
+    space is left goes too."""
+    work = Scratch(docs.sparkSession, "suffix_dedup")
+    blocks = work.write(pack_documents(docs, carry=True), "blocks")
+    cuts = _cuts(blocks, work, length)
+    columns = docs.columns
+
+    def finish(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row)
+                rows = _parted(block, row["cuts"] or [], length)
+                texts = [k.decode("utf-8", "ignore") for k in _kept(block, rows)]
+                extra = extra_columns(row["extra"])
+                keep = pa.array([not parts or bool(t.strip()) for parts, t in zip(rows, texts, strict=True)])
+                out = []
+                for c in columns:
+                    if c == "text":
+                        out.append(pa.array(texts, pa.string()))
+                    elif c == size_col:
+                        kind = extra.schema.field(f"_{c}").type
+                        old = extra[f"_{c}"].to_pylist()
+                        out.append(pa.array([len(t) if parts else n for parts, t, n in zip(rows, texts, old, strict=True)], kind))
+                    else:
+                        out.append(extra[f"_{c}"].combine_chunks())
+                table = pa.table(out, names=columns).filter(keep)
+                yield from table.to_batches(max_chunksize=512)
+
+    return blocks.join(cuts, "block", "left").mapInArrow(finish, docs.schema)
 
 
 SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
