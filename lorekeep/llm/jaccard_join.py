@@ -280,5 +280,6 @@ def _classes(blocks: DataFrame, work: Scratch, n: int, num: int, den: int, keep_
     own = members.join(first.select("signature", F.col("rid").alias("first")), "signature", "left").join(labels.select(F.col("rid").alias("first"), "label"), "first", "left")
     own = own.select("rid", "doc_id", "n_shingles", F.coalesce("label", "first", "rid").alias("component"))
     own = work.write(own, "own")
-    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join can split a component with many documents
+    least = work.write(own.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return own.join(least, "component").select("doc_id", "n_shingles", "component", "component_id", "rid")
