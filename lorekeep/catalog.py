@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lorekeep.plans import relational, scalars
+
+_PLANS = (relational, scalars)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
