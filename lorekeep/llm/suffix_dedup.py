@@ -99,8 +99,10 @@ def hash_keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def split_buckets(keys: np.ndarray) -> list[tuple[int, slice]]:
     """Slices of sorted keys by bucket."""
+    if not len(keys):
+        return []
     high = (keys >> np.uint64(32)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]])) if len(high) else []
+    cut = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
     return [(int(high[a]), slice(a, b)) for a, b in zip(cut, [*cut[1:], len(high)], strict=True)]
 
 
