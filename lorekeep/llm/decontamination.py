@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Edits allowed for a character of an item.
-ERRORS = 0.05
+ERRORS = 0.06
 #: Text of the items of one pass.
 ITEM_BYTES = 1 << 19
 
