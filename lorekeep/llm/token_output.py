@@ -41,13 +41,34 @@ FILE_TOKENS = 8 << 20
 #: Pieces of text kept with their ids in each of a worker's two generations, and the longest of them.
 CACHE_ENTRIES, CACHE_CHARS = 350_000, 48
 
-#: Texts with other white space than single blanks and line feeds within them are encoded in one go.
-_ODD_SPACE = re.compile(r"[ \n]{2}|^[ \n]|[ \n]\Z|[^\S \n]|[\x1c-\x1f\x85\u180e\ufeff]")
+#: White space other than blanks and line feeds, and two or more of these at once.
+_ODD = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f", "  ", "\n\n", " \n", "\n "]
+_ODD_BEYOND = [*"\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff", *map(chr, range(0x2000, 0x200C))]
+
+
+def _is_odd(text: str) -> bool:
+    """Texts with other white space than single blanks and line feeds within them are encoded in one go."""
+    return text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD) or (not text.isascii() and any(x in text for x in _ODD_BEYOND))
+
+
 #: A word and the plain punctuation after it, which the tokenizer's own split parts.
 _TAIL = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,!]+)\Z")
+#: A word that is one piece of the tokenizer's own split.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z")
 _STATE: dict[str, _Encoder] = {}
 
 
+def _shown_bytes() -> dict[int, str]:
+    """The character by which byte-level models show each byte: itself if it is printable, else the
+    next one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_SHOWN = _shown_bytes()
+
+
 class _Encoder:
     """A tokenizer with the ids of the pieces that a worker has met lately, in two generations."""
 
@@ -59,13 +80,21 @@ class _Encoder:
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         pre = json.loads(self.tok.to_str())["pre_tokenizer"] or {}
         self.splits = bool(pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
+        self.model = self.tok.model
+        self.plain = self.splits and self.tok.normalizer is None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _new(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, each by itself."""
         code = self.kind(0).dtype.char
         return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and a word of letters: one piece of the split, which goes to the model at once."""
+        shown = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(_SHOWN)
+        return array(self.kind(0).dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
         """Puts pieces which the young generation lacks into it."""
         young, old = self.young, self.old
@@ -75,13 +104,18 @@ class _Encoder:
             ids = old.get(p)
             if ids is not None:
                 young[p] = ids
-            elif m := _TAIL.search(p):
+            elif p[-1] in ".,!" and (m := _TAIL.search(p)):
                 tails[p] = (p[: m.start(2)], "\r" + m[2])
             else:
                 new.append(p)
-        more = {x for pair in tails.values() for x in pair if x not in young}
-        new += more.difference(new)
-        young.update(zip(new, self._new([p[1:] if p[0] == "\r" else p if p[0] == "\n" else " " + p for p in new]), strict=True))
+        new += {x for pair in tails.values() for x in pair if x not in young}.difference(new)
+        rest = []
+        for p in new:
+            if self.plain and _LETTERS.match(p):
+                young[p] = self._word(p)
+            else:
+                rest.append(p)
+        young.update(zip(rest, self._new([p[1:] if p[0] == "\r" else p if p[0] == "\n" else " " + p for p in rest]), strict=True))
         for p, (word, tail) in tails.items():
             young[p] = young[word] + young[tail]
 
@@ -89,19 +123,23 @@ class _Encoder:
         """A text is parted at its blanks and before its line feeds, where the tokenizer's own split
         has an end too.  A piece stands for itself after a blank, or after nothing with a leading
         carriage return, which a parted text does not hold."""
-        whole = [not t or not self.splits or _ODD_SPACE.search(t) is not None for t in texts]
+        whole = [not t or not self.splits or _is_odd(t) for t in texts]
         pieces = [[] if w else ("\r" + t.replace("\n", " \n")).split(" ") for t, w in zip(texts, whole, strict=True)]
         if len(self.young) > CACHE_ENTRIES:
             self.old, self.young = self.young, {}
         young = self.young
-        unknown = set().union(*pieces).difference(young)
+        found = [list(map(young.get, ps)) for ps in pieces]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        unknown = {ps[i] for ps, gs in zip(pieces, gaps, strict=True) for i in gs}
         if unknown:
             self._learn(unknown)
+            for ps, f, gs in zip(pieces, found, gaps, strict=True):
+                for i in gs:
+                    f[i] = young[ps[i]]
         alone = iter(self._new([t for t, w in zip(texts, whole, strict=True) if w]))
-        get = young.__getitem__
-        out = [np.frombuffer(next(alone) if w else b"".join(map(get, ps)), self.kind) for ps, w in zip(pieces, whole, strict=True)]
+        out = [np.frombuffer(next(alone) if w else b"".join(f), self.kind) for f, w in zip(found, whole, strict=True)]
         for p in unknown:
-            if len(p) > CACHE_CHARS:
+            if len(p) > CACHE_CHARS and p in young:
                 del young[p]
         return out
 
