@@ -20,6 +20,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import Scratch
+
 #: Phrases whose words stand consecutively, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Template sentences and their labels.
@@ -83,7 +85,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     frequencies = words.select(F.explode(F.array_intersect("words", vocabulary)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
     # lines which hold a prefix word of a template; frequencies and templates have a row for each template word
-    templates = template_rows(spark, frequencies).cache()
+    templates = Scratch(spark, "license_scan").write(template_rows(spark, frequencies), "templates")
     prefix = F.broadcast(templates.where(F.col("place") <= F.col("size") - F.col("need")).select("number", "label", "size", "need", "place", "token"))
     rare = sorted({r.token for r in templates.where(F.col("place") <= F.col("size") - F.col("need")).select("token").distinct().collect()})
     rank = {r.token: i for i, r in enumerate(templates.groupBy("token").agg(F.max("n").alias("n")).orderBy("n", "token").collect())}
