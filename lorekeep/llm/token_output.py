@@ -58,15 +58,8 @@ _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z")
 _STATE: dict[str, _Encoder] = {}
 
 
-def _shown_bytes() -> dict[int, str]:
-    """The character by which byte-level models show each byte: itself if it is printable, else the
-    next one from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-_SHOWN = _shown_bytes()
+#: How byte-level models show a blank.
+_BLANK = "\u0120"
 
 
 class _Encoder:
@@ -80,8 +73,9 @@ class _Encoder:
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         pre = json.loads(self.tok.to_str())["pre_tokenizer"] or {}
         self.splits = bool(pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
-        self.model = self.tok.model
         self.plain = self.splits and self.tok.normalizer is None
+        self.opens = np.zeros(self.tok.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tok.get_vocab().items() if t[0] == _BLANK]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -90,10 +84,13 @@ class _Encoder:
         code = self.kind(0).dtype.char
         return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a blank and a word of letters: one piece of the split, which goes to the model at once."""
-        shown = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(_SHOWN)
-        return array(self.kind(0).dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each after a blank: one text of all of them, cut where a token
+        begins with a blank."""
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        cut = np.flatnonzero(self.opens[ids]) * ids.itemsize
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(data)], strict=True)]
 
     def _learn(self, pieces: set[str]) -> None:
         """Puts pieces which the young generation lacks into it."""
@@ -109,12 +106,10 @@ class _Encoder:
             else:
                 new.append(p)
         new += {x for pair in tails.values() for x in pair if x not in young}.difference(new)
-        rest = []
-        for p in new:
-            if self.plain and _LETTERS.match(p):
-                young[p] = self._word(p)
-            else:
-                rest.append(p)
+        words = list(filter(_LETTERS.match, new)) if self.plain else []
+        if words:
+            young.update(zip(words, self._words(words), strict=True))
+        rest = [p for p in new if p not in young]
         young.update(zip(rest, self._new([p[1:] if p[0] == "\r" else p if p[0] == "\n" else " " + p for p in rest]), strict=True))
         for p, (word, tail) in tails.items():
             young[p] = young[word] + young[tail]
@@ -229,8 +224,9 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(v)] = extra
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    raw = v.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) <= extra[:, None]].tobytes()
+    width = int(extra.max(initial=0)) + 1
+    raw = v.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+    return control.astype(np.uint8).tobytes(), raw[np.arange(width) <= extra[:, None]].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -240,8 +236,8 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     at = ends - lengths
     buf = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
     out = buf[at].astype(np.uint32)
-    for j in (1, 2, 3):
-        more = lengths > j
+    for j in range(1, int(lengths.max(initial=1))):
+        more = np.flatnonzero(lengths > j)
         out[more] |= buf[at[more] + j].astype(np.uint32) << np.uint32(8 * j)
     return out
 
