@@ -1,9 +1,10 @@
-"""Quality rules: counted rules on words and lines, then a calibrated classifier.
+"""Quality rules: counted rules on words and lines, then calibrated classifiers.
 
-``rule_counts`` counts what the rules need.  ``fit_quality_model`` trains a logistic regression on
-hashed word n-grams (1 and 2) and character n-grams (``CHAR_N`` bytes) of labelled rows and
-calibrates its scores to probabilities on rows that training has not seen (Platt's method).  ``score`` applies both in
-Arrow batches against fixed thresholds.
+``rule_counts`` counts what the rules need.  ``fit_quality_model`` trains logistic regressions on
+hashed word n-grams (1 and 2) and character n-grams (``CHAR_N`` bytes) of labelled rows, one for
+quality and one for toxicity, and calibrates each one's scores to probabilities on rows that its
+training has not seen (Platt's method).  ``score`` applies them in Arrow batches against fixed
+thresholds.  An n-gram counts once a text, and only n-grams of ``LEAST_DOCS`` training texts count.
 
 Training takes at most ``TRAIN_ROWS`` labelled documents, those with the least hash of their id:
 more labels do not change what a task holds.  Features of the sample are made where the documents
@@ -11,7 +12,7 @@ are; only they, one row a document, come together in the training task.
 
 Cases: null and empty texts have no words and fail the rules; a label row with a null counts as
 none; several labels of one document count as their worst; without labelled rows, or with one class
-only, the classifier keeps what passes the rules; repeated rows are judged alike; an empty table
+only, a classifier keeps what passes the rules; repeated rows are judged alike; an empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -25,16 +26,20 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import Words, chunks, mix, squeeze, expand, sums_by_text
 
 #: Slots of the hashed features.
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 #: Bytes of a character n-gram.
 CHAR_N = 5
 #: The most labelled documents that training takes.
 TRAIN_ROWS = 16_000
-#: The sum of n weights is divided by n to this power, for words and for characters: few bad words
-#: shall count in a long text, and many characters shall not outweigh them.
-POWERS = (0.25, 0.5)
-#: A document whose calibrated probability of being good is below this goes.
-LEAST_PROBABILITY = 0.5
+#: The sum of n weights is divided by n to this power: few bad words shall count in a long text.
+POWER = 0.25
+#: Training texts that hold an n-gram which counts.
+LEAST_DOCS = 5
+#: What the classifiers tell, by the columns of ``good_labels``.
+HEADS = ("fine", "clean")
+#: A document goes if its calibrated probability of being fine, or of being clean, is below these:
+#: under a half, since a good document lost weighs more than a poor one kept.
+LEAST_PROBABILITY = (0.25, 0.3)
 #: Rules: fewest words, and the most words of a hundred that stand in repeated 5-word windows.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
@@ -79,49 +84,64 @@ def rule_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
+def _distinct(slots: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots of each text, in order, and the first one of each text."""
+    bits = SLOTS.bit_length() - 1
+    key = np.sort(doc.astype(np.int64) << bits | slots.astype(np.int64))
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return (key & (SLOTS - 1)).astype(np.int32), np.searchsorted(key >> bits, np.arange(n_docs + 1))
+
+
 def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words (1 and 2), then characters: slot of each n-gram, and the first one of each text."""
+    """For words (1 and 2), then characters: distinct slots of each text's n-grams, and the first one of each text."""
     words = Words(texts, lower=True)
     pairs, at = words.windows(2)
     shift = np.uint64(64 - (SLOTS.bit_length() - 1))
-    first_pair = np.searchsorted(at, words.first)
-    doc = np.concatenate([words.doc_of_word(), np.searchsorted(words.first, at, side="right") - 1])
-    order = np.argsort(doc, kind="stable")
-    slots = (np.concatenate([words.hashes, pairs]) >> shift).astype(np.int32)[order]
+    doc = words.doc_of_word()
+    of_words = _distinct(np.concatenate([words.hashes, pairs]) >> shift, np.concatenate([doc, doc[at]]), len(texts))
     n = len(words.buf)
-    if n < 8:
-        return [(slots, words.first + first_pair), (np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64))]
-    lower = words.data + bytes(8)
-    grams = np.ndarray((n,), "<u8", lower, strides=(1,)) & np.uint64((1 << 8 * CHAR_N) - 1)
-    chars = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)  # with the line feed after the text
-    return [(slots, words.first + first_pair), (chars, words.offsets)]
-
-
-def linear_scores(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
-    """Sum of weights of each kind's n-grams over a power of their number."""
-    total = np.full(len(texts), bias)
-    for (slots, first), power in zip(features(texts), POWERS, strict=True):
-        total += sums_by_text(weights[slots], first) / np.maximum(np.diff(first), 1) ** power
+    grams = np.ndarray((n,), "<u8", words.data + bytes(8), strides=(1,)) & np.uint64((1 << 8 * CHAR_N) - 1)
+    doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets))  # with the line feed after the text
+    return [of_words, _distinct((grams * np.uint64(0x9E3779B97F4A7C15)) >> shift, doc, len(texts))]
+
+
+def linear_scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """For each head, the sum of weights of each kind's n-grams over a power of their number."""
+    total = np.zeros((len(weights), len(texts)))
+    for slots, first in features(texts):
+        scale = np.maximum(np.diff(first), 1) ** POWER
+        for z, w in zip(total, weights, strict=True):
+            z += sums_by_text(w[slots].astype(np.float64), first) / scale
     return total
 
 
 def _sparse(text: bytes) -> bytes:
     """Distinct slots and values of a text, packed."""
-    found, values = [], []
-    for (slots, _), power in zip(features([text]), POWERS, strict=True):
-        s, n = np.unique(slots, return_counts=True)
-        found.append(s)
-        values.append(n / max(len(slots), 1) ** power)
-    return squeeze(np.concatenate(found).astype(np.int32).tobytes() + np.concatenate(values).astype(np.float32).tobytes())
-
-
-def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, fold: np.ndarray, epochs: int = 8, rate: float = 0.5, batch: int = 128) -> np.ndarray:
-    """Weights, bias and the two calibration numbers; fold marks the rows kept for calibration."""
-    w, seen = np.zeros(SLOTS), np.full(SLOTS, 1e-2)
-    b, seen_b = 0.0, 1e-2
+    found = [slots for slots, _ in features([text])]
+    values = [np.full(len(s), max(len(s), 1) ** -POWER, np.float32) for s in found]
+    return squeeze(np.concatenate(found).tobytes() + np.concatenate(values).tobytes())
+
+
+def common_features(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows without slots that fewer than ``LEAST_DOCS`` of them hold."""
+    seen = np.zeros(SLOTS, np.int32)
+    for slots, _ in rows:
+        seen[np.unique(slots)] += 1
+    often = seen >= LEAST_DOCS
+    return [(s[often[s]], v[often[s]]) for s, v in rows]
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, fold: np.ndarray, rate: float = 0.5, batch: int = 128) -> np.ndarray:
+    """For each row of good, a head: weights, bias and the two calibration numbers.
+
+    fold marks the rows kept for calibration.  Few rows are passed over more often than many.
+    """
+    w, b = np.zeros((len(good), SLOTS), np.float32), np.zeros(len(good))
+    seen, seen_b = np.full(w.shape, 1e-2, np.float32), np.full(len(good), 1e-2)
     own = np.flatnonzero(~fold)
     turn = np.random.default_rng(7)
-    for _ in range(epochs):
+    for _ in range(min(100, max(8, 80_000 // max(len(own), 1)))):
         own = turn.permutation(own)
         for at in range(0, len(own), batch):
             part = own[at : at + batch]
@@ -129,16 +149,20 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, fold: np.
             values = np.concatenate([rows[i][1] for i in part]).astype(np.float64)
             size = np.array([len(rows[i][0]) for i in part])
             first = np.concatenate([[0], np.cumsum(size)])
-            z = sums_by_text(w[slots] * values, first) + b
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - good[part]
-            g = np.bincount(slots, np.repeat(error, size) * values, SLOTS) / len(part) + 1e-7 * w
-            seen += g * g
-            w -= rate * g / np.sqrt(seen)
-            g_b = error.mean()
-            seen_b += g_b * g_b
-            b -= rate * g_b / np.sqrt(seen_b)
-    z = np.array([w[rows[i][0]] @ rows[i][1] + b for i in np.flatnonzero(fold)])
-    return np.concatenate([w, [b], platt(z, good[fold])])
+            for h, y in enumerate(good):
+                z = sums_by_text(w[h][slots] * values, first) + b[h]
+                error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
+                g = (np.bincount(slots, np.repeat(error, size) * values, SLOTS) / len(part)).astype(np.float32)
+                seen[h] += g * g
+                w[h] -= rate * g / np.sqrt(seen[h])
+                g_b = error.mean()
+                seen_b[h] += g_b * g_b
+                b[h] -= rate * g_b / np.sqrt(seen_b[h])
+    ends = []
+    for h, y in enumerate(good):
+        z = np.array([w[h][rows[i][0]] @ rows[i][1] + b[h] for i in np.flatnonzero(fold)])
+        ends.append([b[h], *(platt(z, y[fold]) if y.min() < y.max() else (0.0, 30.0))])  # one class only: all pass
+    return np.concatenate([w, np.array(ends, np.float32)], axis=1)
 
 
 def platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -147,65 +171,74 @@ def platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     if not n1 or not n0:
         return 1.0, 0.0
     t = np.where(good > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, c = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-        v = p * (1 - p) + 1e-9
-        g = np.array([((p - t) * z).sum(), (p - t).sum()])
-        h = np.array([[(v * z * z).sum() + 1e-6, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, c = a - step[0], c - step[1]
-        if np.abs(step).max() < 1e-9:
+    design = np.stack([z, np.ones(len(z))], axis=1)
+    x = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
+
+    def loss(x):
+        s = design @ x
+        return (np.logaddexp(0, s) - t * s).sum()
+
+    now = loss(x)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ x, -30, 30)))
+        h = design.T @ (design * (p * (1 - p))[:, None]) + 1e-9 * np.eye(2)
+        step = np.linalg.solve(h, design.T @ (p - t))
+        while (after := loss(x - step)) > now and np.abs(step).max() > 1e-12:
+            step = step / 2  # a full step can go past the least loss and on without end
+        if after > now or np.abs(step).max() < 1e-9:
             break
-    return float(a), float(c)
+        x, now = x - step, after
+    return float(x[0]), float(x[1])
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
-    """(doc_id, good): 1 for quality without toxicity."""
+    """(doc_id, fine, clean, good): 1 for quality, for no toxicity, for both."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
-    return known.groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good"))
+    worst = known.groupBy("doc_id").agg(F.min((F.col("quality") == 1).cast("int")).alias("fine"), F.min((F.col("toxic") == 0).cast("int")).alias("clean"))
+    return worst.withColumn("good", F.least("fine", "clean"))
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray | None:
-    """Numbers of the model (``SLOTS`` weights and three more), None if there is nothing to learn."""
+    """Numbers of the model (for each head ``SLOTS`` weights and three more), None if there is nothing to learn."""
     turn = F.xxhash64("doc_id", F.lit("quality"))
-    sample = F.broadcast(good_labels(labels).orderBy(turn, "doc_id").limit(train_rows))  # train_rows ids at most
+    sample = F.broadcast(good_labels(labels).select("doc_id", *HEADS).orderBy(turn, "doc_id").limit(train_rows))  # train_rows ids at most
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").dropDuplicates(["doc_id"])
+    names = ["doc_id", *HEADS, "features", "part"]
 
     def prepare(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2).cast(pa.int32()), pa.array([_sparse((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary()), pa.array([0] * len(b), pa.int32())], names=["doc_id", "good", "features", "part"]
-            )
+            packed = pa.array([_sparse((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(2 + h).cast(pa.int32()) for h in range(len(HEADS))], packed, pa.array([0] * len(b), pa.int32())], names=names)
 
     def fit(table: pa.Table) -> pa.Table:
         ids = np.array(table["doc_id"].to_pylist(), np.int64)
         order = np.argsort(ids)
-        good = np.array(table["good"].to_pylist(), np.float64)[order]
+        good = np.array([table[h].to_pylist() for h in HEADS], np.float64)[:, order]
         packed = table["features"].to_pylist()
         found = []
         for i in order.tolist():
             raw = expand(packed[i])
             n = len(raw) // 8
             found.append((np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.float32, n, 4 * n)))
-        if good.min() == good.max():
+        if (good.min(axis=1) == good.max(axis=1)).all():
             return pa.table({"model": pa.array([], pa.binary())})
         fold = mix(ids[order].astype(np.uint64)) % np.uint64(5) == 0
-        return pa.table({"model": pa.array([train(found, good, fold).tobytes()], pa.binary())})
+        return pa.table({"model": pa.array([train(common_features(found), good, fold).tobytes()], pa.binary())})
 
-    model = rows.mapInArrow(prepare, "doc_id long, good int, features binary, part int").groupBy("part").applyInArrow(fit, "model binary").collect()
-    return np.frombuffer(model[0][0], np.float64) if model else None
+    model = rows.mapInArrow(prepare, "doc_id long, fine int, clean int, features binary, part int").groupBy("part").applyInArrow(fit, "model binary").collect()
+    return np.frombuffer(model[0][0], np.float32).reshape(len(HEADS), -1) if model else None
 
 
-def verdicts(texts: list[bytes], model: np.ndarray | None, least: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Rule counts, failed by the rules, probability, kept."""
+def verdicts(texts: list[bytes], model: np.ndarray | None, least: tuple[float, ...]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Rule counts, failed by the rules, probability of each head, kept."""
     c = rule_counts(texts)
     failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
-    p = np.ones(len(texts))
+    p = np.ones((len(HEADS), len(texts)))
     if model is not None:
-        z = model[SLOTS + 1] * linear_scores(texts, model[:SLOTS], model[SLOTS]) + model[SLOTS + 2]
+        bias, slope, shift = model[:, SLOTS:].astype(np.float64).T[:, :, None]
+        z = slope * (linear_scores(texts, model[:, :SLOTS]) + bias) + shift
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return c, failed, p, ~failed & (p >= least)
+    return c, failed, p, ~failed & (p >= np.array(least)[:, None]).all(axis=0)
 
 
 def _text_groups(column):
@@ -215,9 +248,10 @@ def _text_groups(column):
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score(docs: DataFrame, model: np.ndarray | None, least: float = LEAST_PROBABILITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rule counts, base_failed, probability and kept of each document."""
+def score(docs: DataFrame, model: np.ndarray | None, least: tuple[float, ...] = LEAST_PROBABILITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rule counts, base_failed, kept and the probability of each head, of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of one fixed size
+    names = ["doc_id", *COUNTS, "base_failed", "kept", *[f"p_{h}" for h in HEADS]]
 
     def run(batches):
         for batch in batches:
@@ -225,14 +259,15 @@ def score(docs: DataFrame, model: np.ndarray | None, least: float = LEAST_PROBAB
             for texts in _text_groups(batch.column(1)):
                 counts, failed, p, kept = verdicts(texts, shared.value, least)
                 cols = [pa.array(counts[k], pa.int64()) for k in COUNTS]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), *cols, pa.array(failed), pa.array(p), pa.array(kept)], names=["doc_id", *COUNTS, "base_failed", "probability", "kept"])
+                cols += [pa.array(failed), pa.array(kept), *map(pa.array, p)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), *cols], names=names)
                 done += len(texts)
 
-    schema = "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, probability double, kept boolean"
+    schema = "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, p_fine double, p_clean double"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, least: float = LEAST_PROBABILITY) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, least: tuple[float, ...] = LEAST_PROBABILITY) -> DataFrame:
     """The rows of docs, with their columns, that the rules and the classifier keep.
 
     A verdict depends on the text only, so it is made where the row is: no join, no shuffle.
