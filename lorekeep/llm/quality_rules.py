@@ -117,22 +117,33 @@ def linear_scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 
 def _sparse(text: bytes) -> bytes:
-    """Distinct slots and values of a text, packed."""
-    found = [slots for slots, _ in features([text])]
-    values = [np.full(len(s), max(len(s), 1) ** -POWER, np.float32) for s in found]
-    return squeeze(np.concatenate(found).tobytes() + np.concatenate(values).tobytes())
+    """Distinct slots of a text, packed: how many are of words, then each one's distance to the one before."""
+    slots = [s for s, _ in features([text])]
+    return squeeze(np.concatenate([[len(slots[0])], *[np.diff(s, prepend=0) for s in slots]]).astype(np.int32).tobytes())
 
 
-def common_features(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The rows without slots that fewer than ``LEAST_DOCS`` of them hold."""
+def unpack_row(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of a text, and for words and characters the number of slots and the value of each."""
+    raw = np.frombuffer(expand(packed), np.int32)
+    cut = 1 + raw[0]
+    size = np.array([raw[0], len(raw) - cut])
+    return np.concatenate([np.cumsum(raw[1:cut]), np.cumsum(raw[cut:])]).astype(np.int32), size, np.maximum(size, 1) ** -POWER
+
+
+def keep_common(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Takes slots which fewer than ``LEAST_DOCS`` rows hold out of the rows, in place."""
     seen = np.zeros(SLOTS, np.int32)
-    for slots, _ in rows:
+    for slots, _, _ in rows:
         seen[np.unique(slots)] += 1
     often = seen >= LEAST_DOCS
-    return [(s[often[s]], v[often[s]]) for s, v in rows]
+    for i, (slots, size, value) in enumerate(rows):
+        stay = often[slots]
+        n = np.count_nonzero(stay[: size[0]])
+        slots = slots[stay]
+        rows[i] = slots, np.array([n, len(slots) - n]), value
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, fold: np.ndarray, rate: float = 0.5, batch: int = 128) -> np.ndarray:
+def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], good: np.ndarray, fold: np.ndarray, rate: float = 0.5, batch: int = 128) -> np.ndarray:
     """For each row of good, a head: weights, bias and the two calibration numbers.
 
     fold marks the rows kept for calibration.  Few rows are passed over more often than many.
@@ -146,7 +157,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, fold: np.
         for at in range(0, len(own), batch):
             part = own[at : at + batch]
             slots = np.concatenate([rows[i][0] for i in part])
-            values = np.concatenate([rows[i][1] for i in part]).astype(np.float64)
+            values = np.repeat(np.concatenate([rows[i][2] for i in part]), np.concatenate([rows[i][1] for i in part]))
             size = np.array([len(rows[i][0]) for i in part])
             first = np.concatenate([[0], np.cumsum(size)])
             for h, y in enumerate(good):
@@ -160,7 +171,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, fold: np.
                 b[h] -= rate * g_b / np.sqrt(seen_b[h])
     ends = []
     for h, y in enumerate(good):
-        z = np.array([w[h][rows[i][0]] @ rows[i][1] + b[h] for i in np.flatnonzero(fold)])
+        z = np.array([w[h][rows[i][0]] @ np.repeat(rows[i][2], rows[i][1]) + b[h] for i in np.flatnonzero(fold)])
         ends.append([b[h], *(platt(z, y[fold]) if y.min() < y.max() else (0.0, 30.0))])  # one class only: all pass
     return np.concatenate([w, np.array(ends, np.float32)], axis=1)
 
@@ -214,16 +225,13 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = TRAI
         ids = np.array(table["doc_id"].to_pylist(), np.int64)
         order = np.argsort(ids)
         good = np.array([table[h].to_pylist() for h in HEADS], np.float64)[:, order]
-        packed = table["features"].to_pylist()
-        found = []
-        for i in order.tolist():
-            raw = expand(packed[i])
-            n = len(raw) // 8
-            found.append((np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.float32, n, 4 * n)))
+        packed = table["features"]
+        found = [unpack_row(packed[i].as_py()) for i in order.tolist()]
         if (good.min(axis=1) == good.max(axis=1)).all():
             return pa.table({"model": pa.array([], pa.binary())})
         fold = mix(ids[order].astype(np.uint64)) % np.uint64(5) == 0
-        return pa.table({"model": pa.array([train(common_features(found), good, fold).tobytes()], pa.binary())})
+        keep_common(found)
+        return pa.table({"model": pa.array([train(found, good, fold).tobytes()], pa.binary())})
 
     model = rows.mapInArrow(prepare, "doc_id long, fine int, clean int, features binary, part int").groupBy("part").applyInArrow(fit, "model binary").collect()
     return np.frombuffer(model[0][0], np.float32).reshape(len(HEADS), -1) if model else None
