@@ -14,7 +14,9 @@ id.  All is judged on the input; strings never cross documents.
    windows of anchors with several contexts are suffixes of the bucket's buffer; they are ordered by
    deep-shallow sorting: multikey quicksort, eight bytes a step, to ``SHALLOW`` bytes, and a blind
    trie for each group that still agrees there.  Windows that end in one leaf are equal; all but
-   those of the smallest document are cut.
+   those of the smallest document are cut.  Anchors with more than ``HOT_CONTEXTS`` contexts do not
+   come together: each block sends their distinct windows, with the smallest id it has, to buckets
+   by a hash of the whole window, so that only equal windows meet, one a block or portion of it.
 4. The cuts go back to their blocks, which join them into spans.
 
 Hashes only choose candidates; what is cut has been compared byte by byte.
@@ -30,10 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, bucket_count, chunks, expand, extra_columns, pack_documents, squeeze
+from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, bucket_count, chunks, expand, extra_columns, mix, pack_documents, squeeze
 
 #: Bytes to which multikey quicksort orders suffixes before blind tries take over.
 SHALLOW = 24
+#: The most contexts of an anchor that are compared in one group (at most 254: counts travel as a byte).
+HOT_CONTEXTS = 200
+#: Windows of hot anchors that a block sorts at once, and buckets for them by one of the others.
+PORTION, WINDOW_BUCKETS = 1 << 18, 4
 _NONE = np.uint64(2**64 - 1)
 _LOW = np.uint64(0xFFFFFFFF)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -107,13 +113,14 @@ def split_buckets(keys: np.ndarray) -> list[tuple[int, slice]]:
 
 
 def repeated_flags(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(block, flags): a bit for each distinct anchor of the block, in the order of its key."""
+    """(block, flags): two bits for each distinct anchor of the block, in the order of its key: other
+    documents hold it, and it is hot.  All the first bits of a bucket stand before the second ones."""
 
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                h, _, _, _, doc = block_anchors(block, length)
+                h, place, first, last, doc = block_anchors(block, length)
                 keys = hash_keys(h, buckets)
                 order = np.argsort(keys, kind="stable")
                 keys, doc = keys[order], doc[order]
@@ -122,6 +129,17 @@ def repeated_flags(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
                 # documents stand in order within equal keys: several if the last is not the first
                 ends = np.concatenate([at[1:], [len(keys)]]) - 1 if len(at) else at
                 several = doc[at] != doc[ends]
+                size = ends - at + 1
+                group = np.repeat(np.arange(len(at)), size)
+                more = np.flatnonzero(size[group] > 1)
+                group, of = group[more], order[more]
+                a, b, off = first[of].tolist(), (last[of] + length).tolist(), (place[of] - first[of]).tolist()
+                kind = np.array([hash((o, block.data[x:y])) for o, x, y in zip(off, a, b, strict=True)], np.int64)
+                by = np.lexsort((kind, group))
+                group, kind = group[by], kind[by]
+                fresh = np.ones(len(by), bool)
+                fresh[1:] = (group[1:] != group[:-1]) | (kind[1:] != kind[:-1])
+                contexts = np.clip(np.bincount(group[fresh], minlength=len(at)), 1, HOT_CONTEXTS + 1).astype(np.uint8)
                 keys = keys[at]
                 parts = split_buckets(keys)
                 yield pa.RecordBatch.from_arrays(
@@ -130,8 +148,9 @@ def repeated_flags(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
                         pa.array([block.block] * len(parts), pa.int64()),
                         pa.array([(keys[s] & _LOW).astype(np.uint32).tobytes() for _, s in parts], pa.binary()),
                         pa.array([np.packbits(several[s]).tobytes() for _, s in parts], pa.binary()),
+                        pa.array([contexts[s].tobytes() for _, s in parts], pa.binary()),
                     ],
-                    names=["bucket", "block", "hashes", "several"],
+                    names=["bucket", "block", "hashes", "several", "contexts"],
                 )
 
     def answer(table: pa.Table) -> pa.Table:
@@ -144,10 +163,16 @@ def repeated_flags(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
         hit = several.copy()
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
+        heads = np.flatnonzero(np.concatenate([[True], ~same]))
+        contexts = np.concatenate([np.frombuffer(x, np.uint8) for x in table["contexts"].to_pylist()]).astype(np.int64)
+        many = np.add.reduceat(contexts[order], heads) > HOT_CONTEXTS
+        hot = np.zeros(len(s), bool)
+        hot[order] = np.repeat(many, np.diff(np.concatenate([heads, [len(s)]])))
         cut = np.cumsum([len(h) for h in hashes])[:-1]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": pa.array([np.packbits(x).tobytes() for x in np.split(hit, cut)], pa.binary()), "n": pa.array([len(h) for h in hashes], pa.int64())})
+        both = zip(np.split(hit, cut), np.split(hit & hot, cut), strict=True)
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": pa.array([np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in both], pa.binary()), "n": pa.array([len(h) for h in hashes], pa.int64())})
 
-    sent = blocks.mapInArrow(send, "bucket long, block long, hashes binary, several binary")
+    sent = blocks.mapInArrow(send, "bucket long, block long, hashes binary, several binary, contexts binary")
     flags = sent.groupBy("bucket").applyInArrow(answer, "block long, bucket long, flags binary, n long")
     return flags.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "flags"))).alias("flags"))
 
@@ -261,7 +286,7 @@ _BIG = np.iinfo(np.int64).max
 
 
 def _contexts(blocks: DataFrame, flags: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, block, contexts, cuts): contexts to compare and what a block cuts by itself."""
+    """(bucket, block, contexts, cuts, windows): contexts and windows to compare and what a block cuts by itself."""
 
     def send(batches):
         for batch in batches:
@@ -270,9 +295,10 @@ def _contexts(blocks: DataFrame, flags: DataFrame, length: int, buckets: int) ->
                 h, place, first, last, doc = block_anchors(block, length)
                 keys = hash_keys(h, buckets)
                 _, inverse = np.unique(keys, return_inverse=True)
-                parts = [np.unpackbits(np.frombuffer(f["flags"], np.uint8), count=f["n"]) for f in row["flags"] or []]
-                bits = np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+                parts = [np.unpackbits(np.frombuffer(f["flags"], np.uint8).reshape(2, -1), axis=1, count=f["n"]) for f in row["flags"] or []]
+                bits, hot = np.concatenate(parts, axis=1).astype(bool) if parts else np.zeros((2, 0), bool)
                 hit = np.flatnonzero(bits[inverse]) if len(h) else np.zeros(0, np.int64)
+                hot = hot[inverse[hit]]
                 bucket = (keys[hit] >> np.uint64(32)).astype(np.int64)
                 off = place[hit] - first[hit]
                 ids = np.where(block.nulls, _BIG, block.ids)[doc[hit]]
@@ -287,20 +313,110 @@ def _contexts(blocks: DataFrame, flags: DataFrame, length: int, buckets: int) ->
                         best[key] = i
                 least = np.array([best[k] for k in zip(off.tolist(), context, strict=True)], np.int64)
                 cut = ids > least
-                send_on = np.flatnonzero(~cut)
+                send_on = np.flatnonzero(~cut & ~hot)
                 order = send_on[np.argsort(bucket[send_on], kind="stable")]
                 rows = []
                 for bk, s in split_buckets(bucket[order].astype(np.uint64) << np.uint64(32)):
                     at = order[s]
-                    rows.append((bk, _pack_contexts(first[hit][at], off[at], ids[at], [context[i] for i in at.tolist()]), None))
+                    rows.append((bk, _pack_contexts(first[hit][at], off[at], ids[at], [context[i] for i in at.tolist()]), None, None))
                 if cut.any():
-                    rows.append((block.block % buckets, None, np.stack([first[hit][cut], last[hit][cut]]).astype(np.int64).tobytes()))
+                    rows.append((block.block % buckets, None, np.stack([first[hit][cut], last[hit][cut]]).astype(np.int64).tobytes(), None))
+                of = np.flatnonzero(~cut & hot)
+                for w, packed, gone in _hot_windows(data, first[hit][of], last[hit][of], ids[of], length, WINDOW_BUCKETS * buckets):
+                    rows.append((block.block % buckets, None, gone, None) if packed is None else (buckets + w, None, None, packed))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([block.block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                    names=["bucket", "block", "contexts", "cuts"],
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([block.block] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)]],
+                    names=["bucket", "block", "contexts", "cuts", "windows"],
                 )
 
-    return blocks.join(flags, "block", "left").mapInArrow(send, "bucket long, block long, contexts binary, cuts binary")
+    return blocks.join(flags, "block", "left").mapInArrow(send, "bucket long, block long, contexts binary, cuts binary, windows binary")
+
+
+def _equal_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows, and where those of equal words begin."""
+    order = np.lexsort(words.T)
+    s = words[order]
+    return order, np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]).any(axis=1)]))
+
+
+def _window_words(windows: np.ndarray) -> np.ndarray:
+    """Windows, a row of bytes each, as 64-bit words filled up with zeros."""
+    n, length = windows.shape
+    padded = np.zeros((n, -(-length // 8) * 8), np.uint8)
+    padded[:, :length] = windows
+    return padded.view("<u8")
+
+
+def _joined(starts: np.ndarray) -> bytes:
+    """Cut windows as runs, the first and the last of each."""
+    s = np.sort(starts)
+    new = s[1:] != s[:-1] + 1
+    return np.stack([s[np.concatenate([[True], new])], s[np.concatenate([new, [True]])]]).astype(np.int64).tobytes()
+
+
+def _hot_windows(data: bytes, first: np.ndarray, last: np.ndarray, ids: np.ndarray, length: int, buckets: int):
+    """(bucket, packed windows, None) to compare and (0, None, cuts) of a block's contexts of hot anchors.
+
+    A portion of them sends each distinct window once, with its smallest id and where it stands there.
+    """
+    total = np.cumsum(last - first + 1)
+    buf = np.frombuffer(data, np.uint8)
+    for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(total // PORTION)) + 1):
+        if not len(part):
+            continue
+        n = (last - first + 1)[part]
+        starts = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        windows = np.lib.stride_tricks.sliding_window_view(buf, length)[starts]
+        words = _window_words(windows)
+        order, heads = _equal_windows(words)
+        key = np.repeat(ids[part], n)[order]
+        low = np.minimum.reduceat(key, heads)
+        group = np.repeat(np.arange(len(heads)), np.diff(np.concatenate([heads, [len(order)]])))
+        cut = key > low[group]
+        if cut.any():
+            yield 0, None, _joined(starts[order[cut]])
+        h = np.zeros(len(heads), np.uint64)
+        for w in words[order[heads]].T:
+            h = mix(h * _A + w)
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        turn = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(turn), np.int64)
+        rank[turn] = np.arange(len(turn))
+        stay = np.flatnonzero(~cut)
+        stay = stay[np.argsort(rank[group[stay]], kind="stable")]
+        places, counts = starts[order[stay]].astype(np.int64), np.bincount(group[stay], minlength=len(heads))[turn].astype(np.int32)
+        ends = np.cumsum(counts)
+        for b, s in split_buckets(bucket[turn].astype(np.uint64) << np.uint64(32)):
+            of = turn[s]
+            own = places[ends[s.start] - counts[s.start] : ends[s.stop - 1]]
+            head = np.array([len(of)], np.int64).tobytes()
+            yield b, squeeze(head + low[of].astype(np.int64).tobytes() + counts[s].tobytes() + windows[order[heads[of]]].tobytes() + own.tobytes()), None
+
+
+def _unpack_windows(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest id and number of places of each window, its bytes, and all places."""
+    data = expand(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    ids, counts = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int32, n, 8 + 8 * n)
+    windows = np.frombuffer(data, np.uint8, n * length, 8 + 12 * n).reshape(n, length)
+    return ids, counts, windows, np.frombuffer(data[8 + (12 + length) * n :], np.int64)
+
+
+def _settle_windows(rows: list[tuple[int, bytes]], length: int) -> list[tuple[int, bytes]]:
+    """(block, cuts) of windows which a smaller id holds too."""
+    found = [(b, *_unpack_windows(w, length)) for b, w in rows]
+    ids = np.concatenate([f[1] for f in found])
+    order, heads = _equal_windows(_window_words(np.concatenate([f[3] for f in found])))
+    low = np.minimum.reduceat(ids[order], heads)
+    cut = np.zeros(len(ids), bool)
+    cut[order] = ids[order] > np.repeat(low, np.diff(np.concatenate([heads, [len(order)]])))
+    out, at = [], 0
+    for block, own, counts, _, places in found:
+        gone = places[np.repeat(cut[at : at + len(own)], counts)]
+        at += len(own)
+        if len(gone):
+            out.append((block, _joined(gone)))
+    return out
 
 
 def _pack_contexts(first: np.ndarray, off: np.ndarray, ids: np.ndarray, context: list[bytes]) -> bytes:
@@ -377,6 +493,9 @@ def _compare(length: int):
                 at += len(context)
                 if a:
                     out.append((block, np.array([a, b], np.int64).tobytes()))
+        windows = [(b, w) for b, w in zip(table["block"].to_pylist(), table["windows"].to_pylist(), strict=True) if w is not None]
+        if windows:
+            out += _settle_windows(windows, length)
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "cuts": pa.array([x[1] for x in out], pa.binary())})
 
     return run

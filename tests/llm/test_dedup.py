@@ -109,6 +109,32 @@ def test_remove_repeats(spark, rows, length):
     assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, length)
 
 
+def hot_line(n, seed=6):
+    turn = random.Random(seed)
+    tail = lambda: "".join(turn.choice("abcdefghij ") for _ in range(turn.randint(30, 60)))
+    lines = [tail() for _ in range(40)]
+    return [(turn.choice([None, turn.randint(0, n)]), f"{turn.choice(lines) if i % 3 else tail()}\nReleased under the MIT License.\n{turn.choice(lines) if i % 2 else tail()}") for i in range(n)]
+
+
+@pytest.mark.parametrize("length", [50, 20])
+def test_hot_anchor_is_split(spark, length):
+    rows = hot_line(3 * sd.HOT_CONTEXTS)
+    got = sd.digest(sd.remove_repeats(frame(spark, rows), length, block_bytes=9000)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, length)
+    work = Scratch(spark, "t")
+    blocks = work.write(sd.pack_documents(frame(spark, rows), block_bytes=9000), "blocks")
+    flags = work.write(sd.repeated_flags(blocks, length, 3), "flags")
+    sent = sd._contexts(blocks, flags, length, 3).collect()
+    anchor, meet = sd.anchor_size(length), {}
+    for r in sent:
+        if r.contexts is not None:
+            _, _, off, context = sd._unpack_contexts(r.contexts)
+            for o, c in zip(off.tolist(), context, strict=True):
+                meet[c[o : o + anchor]] = meet.get(c[o : o + anchor], 0) + 1
+    assert max(meet.values(), default=0) <= sd.HOT_CONTEXTS
+    assert blocks.count() > 1 and any("windows" in r and r.windows is not None for r in sent)
+
+
 def test_cut_documents(spark):
     rows = frame(spark)
     cut = sd.cut_documents(rows)
