@@ -1,10 +1,13 @@
-"""License scans: an exact join of lines with license templates by the share of a template they hold.
+"""License scans: an exact join of word windows with license templates by the share of a template they hold.
 
-A line and a template are sets of words.  A line meets a template if it holds ``LEAST`` of the
-template's words or more.  Words are ordered by the number of documents that hold them, rarest first, over
-the whole corpus; of a template of size s that needs m common words, a line that meets it holds one
-of the first s - m + 1 (prefix filter), has m words at least (length filter), and after the first word they
-share both have words enough left (place filter).  Candidates are verified on the whole sets.
+A template is a set of words, and a block is a window of consecutive words of a text, across line
+feeds, long enough for the template with a quarter of other words in between (``window_words``).  A
+block meets a template if it holds ``LEAST`` of the template's words or more.  Words are ordered by the
+number of documents that hold them, rarest first, over the whole corpus; of a template of size s that
+needs m common words, a block that meets it holds one of the first s - m + 1 (prefix filter).  So only
+the words round such a word are looked at, and only where they hold m of the template's words all
+together are their windows verified one by one.  Texts become words once; the words are written
+only of a text that as a whole has what a template or phrase needs.
 
 Only DataFrame functions are used.  The templates, a few short sentences, are broadcast as literals.
 
@@ -40,7 +43,6 @@ TEMPLATES = [
 LEAST = Fraction(4, 5)
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -52,7 +54,16 @@ def _array(words) -> Column:
 
 
 def _vocabulary() -> list[str]:
-    return sorted({w for t, _ in TEMPLATES for w in t.split()})
+    return sorted({w for t in [*PHRASES, *(t for t, _ in TEMPLATES)] for w in t.split()})
+
+
+def window_words(template: str) -> int:
+    """Words of a block that is compared with a template."""
+    return -(-len(template.split()) * LEAST.denominator // LEAST.numerator)
+
+
+#: Words of the longest block.
+_WIDEST = max(window_words(t) for t, _ in TEMPLATES)
 
 
 def template_rows(spark, frequencies: DataFrame) -> DataFrame:
@@ -75,43 +86,60 @@ def _starts(parts: list[str]):
     return lambda i: F.slice("words", i + 1, F.lit(len(parts))) == _array(parts)
 
 
+def _has(own: list[str], least: int | None = None) -> Column:
+    """Whether a text has so many of these words, or all of them."""
+    return F.size(F.array_intersect("have", _array(own))) >= (len(own) if least is None else least)
+
+
+def _most_shared(template: str) -> Column:
+    """The most words of a template in a block of the words ``near`` that holds the one at ``at``; null if too few are near."""
+    own, wide = _array(sorted(set(template.split()))), window_words(template)
+    first = F.greatest(F.col("at") - (wide - 1), F.lit(0))
+    near = F.slice("near", first + 1, F.col("at") - first + wide)
+    blocks = F.transform(F.sequence(first, F.col("at")), lambda i: F.size(F.array_intersect(F.slice("near", i + 1, F.lit(wide)), own)))
+    need = -(-LEAST.numerator * len(set(template.split())) // LEAST.denominator)
+    return F.when(F.size(F.array_intersect(near, own)) >= need, F.array_max(blocks))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)."""
     spark = docs.sparkSession
     # lower() also lowers letters beyond A-Z, which stay letters: no word begins, ends or matches otherwise
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
-    vocabulary = _array(_vocabulary())
-    words = source.withColumn("words", words_of(F.col("text")))
-    frequencies = words.select(F.explode(F.array_intersect("words", vocabulary)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-
-    # lines which hold a prefix word of a template; frequencies and templates have a row for each template word
-    templates = Scratch(spark, "license_scan").write(template_rows(spark, frequencies), "templates")
-    prefix = F.broadcast(templates.where(F.col("place") <= F.col("size") - F.col("need")).select("number", "label", "size", "need", "place", "token"))
-    rare = sorted({r.token for r in templates.where(F.col("place") <= F.col("size") - F.col("need")).select("token").distinct().collect()})
-    rank = {r.token: i for i, r in enumerate(templates.groupBy("token").agg(F.max("n").alias("n")).orderBy("n", "token").collect())}
-    sets = {n: sorted(set(t.split()), key=rank.__getitem__) for n, (t, _) in enumerate(TEMPLATES)}
-    ordered = _array(sorted(rank, key=rank.__getitem__))
-    lines = words.where(F.arrays_overlap("words", _array(rare))).select("doc_id", "text", F.posexplode(F.split("text", "\n", -1)).alias("line", "line_text"))
-    lines = lines.select("doc_id", "text", "line", F.array_distinct(words_of(F.col("line_text"))).alias("set"))
-    lines = lines.select("doc_id", "text", "line", F.size("set").alias("length"), F.array_intersect(ordered, "set").alias("tokens"))
-    meets = lines.select("doc_id", F.xxhash64("text").alias("key"), "line", "length", "tokens", F.posexplode("tokens").alias("at", "token")).join(prefix, "token")
-    first = meets.groupBy("doc_id", "key", "line", "length", "tokens", "number", "label", "size", "need").agg(F.min(F.struct("place", "at")).alias("m"))
-    first = first.where((F.col("length") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("m.place") - 1, F.size("tokens") - F.col("m.at") - 1) >= F.col("need")))
+    work = Scratch(spark, "license_scan")
+    words = source.select("doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words"))
+    words = words.select("doc_id", "key", "words", F.array_intersect("words", _array(_vocabulary())).alias("have"))
+    possible = F.lit(False)
+    for template, _ in TEMPLATES:
+        own = sorted(set(template.split()))
+        possible |= _has(own, -(-LEAST.numerator * len(own) // LEAST.denominator))
+    for phrase in PHRASES:
+        possible |= _has(sorted(set(phrase.split())))
+    words = work.write(words.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), "have", F.when(possible, F.col("words")).alias("words")), "words")
+    frequencies = words.select(F.explode("have").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    # words round a prefix word of a template; frequencies and templates have a row for each template word
+    templates = work.write(template_rows(spark, frequencies), "templates")
+    prefix = templates.where(F.col("place") <= F.col("size") - F.col("need")).select("number", "label", "size", "need", "token")
+    rare = sorted({r.token for r in prefix.select("token").distinct().collect()})
+    hits = words.where(F.arrays_overlap("words", _array(rare))).select("doc_id", "key", "words", F.posexplode("words").alias("at", "token")).where(F.col("token").isin(rare))
+    begin = F.greatest(F.col("at") - (_WIDEST - 1), F.lit(0))
+    hits = hits.select("doc_id", "key", "token", (F.col("at") - begin).alias("at"), F.slice("words", begin + 1, F.col("at") - begin + _WIDEST).alias("near"))
     of = F.lit(None)
-    for n, own in sets.items():
-        of = F.when(F.col("number") == n, F.size(F.array_intersect("tokens", _array(own)))).otherwise(of)
-    found = first.withColumn("shared", of).where(F.col("shared") >= F.col("need"))
+    for n, (template, _) in enumerate(TEMPLATES):
+        of = F.when(F.col("number") == n, _most_shared(template)).otherwise(of)
+    found = hits.join(F.broadcast(prefix), "token").withColumn("shared", of).where(F.col("shared") >= F.col("need"))
     found = found.groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.col("size")).alias("best"))
 
     places, labels = F.array().cast("array<int>"), F.array().cast("array<string>")
     for phrase, label in PHRASES.items():
         parts = phrase.split()
-        maybe = F.col("text").rlike(_GAP.join(parts))
+        maybe = _has(sorted(set(parts)))
         at = F.filter(F.sequence(F.lit(0), F.size("words")), _starts(parts))
         own = F.when(maybe, at).otherwise(F.array().cast("array<int>"))
         places = F.concat(places, own)
         labels = F.concat(labels, F.when(F.size(own) > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")))
-    rows = words.select("doc_id", F.xxhash64("text").alias("key"), F.size("words").cast("long").alias("n_words"), places.alias("places"), labels.alias("base"))
+    rows = words.select("doc_id", "key", "n_words", places.alias("places"), labels.alias("base"))
     joined = rows.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.key") == F.col("f.key")), "left")
     none = F.array().cast("array<string>")
     return joined.select(

@@ -210,6 +210,31 @@ def test_license_scan(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_license_notices_of_several_lines(spark):
+    gpl = "This program is free software you can redistribute it\n * under the terms of the GNU General Public License"
+    strewn = "this program is free software you can redistribute it under the terms of the gnu general public license".split()
+    far = "filler words " * 12
+    rows = [
+        (1, gpl), (2, f"{text(400)}\n# {gpl}\r\n{text(300)}"), (3, far.join(f" {w} " for w in strewn)),
+        (4, " ".join(TURN.choice(strewn + ["x"] * 60) for _ in range(4000))), (5, f"{'word ' * 5000}{gpl} {'word ' * 5000}".replace("\n", " ")),
+        (6, "this program is free software (really) you can redistribute it\nunder the terms of\nthe licence gnu general\npublic"), (7, "\n".join(strewn)),
+    ]
+
+    def brute(t):
+        w, labels, best = re.findall(license_scan.WORD, (t or "").lower()), set(), 0.0
+        for template, label in license_scan.TEMPLATES:
+            own, wide = set(template.split()), math.ceil(len(template.split()) / license_scan.LEAST)
+            most = max((len(own & set(w[i : i + wide])) for i in range(len(w))), default=0)
+            if most >= license_scan.LEAST * len(own):
+                labels.add(label)
+                best = max(best, most / len(own))
+        return ",".join(sorted(labels)), best
+
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert got == {i: brute(t) for i, t in rows}
+    assert got[1] == got[2] == got[5] == got[7] == ("gpl", 1.0) and got[3] == ("", 0.0) and got[6][0] == "gpl"
+
+
 def edit(a, b):
     """Least distance of a to any part of b."""
     row = [0] * (len(b) + 1)
