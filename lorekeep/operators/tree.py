@@ -6,9 +6,10 @@ Walks go level by level, one join for each; the depth of a document tree bounds
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = "decimal(38,10)"
@@ -44,18 +45,34 @@ def depth_first(blocks: DataFrame, seq: int, start: str | None = None, max_depth
     return rows.join(parents, rows.uid == parents.has_child, "left").withColumn("has_more", more).drop("has_child")
 
 
-def walk_sql(max_level: int = 100) -> str:
-    """Nodes below the roots of the view ``node`` (uid, parent) with their depth, for any depth."""
-    return f"""WITH RECURSIVE walk(uid, parent, depth) MAX RECURSION LEVEL {max_level} AS (
-        SELECT uid, parent, 1 FROM node WHERE parent IS NULL
-        UNION ALL SELECT n.uid, n.parent, w.depth + 1 FROM node n JOIN walk w ON n.parent = w.uid) SELECT * FROM walk"""
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder of the cluster; beside the warehouse if that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{shared.rstrip('/')}/taxonomy-{uuid.uuid4().hex}"
 
 
-def taxonomy(nodes: DataFrame, max_level: int = 100) -> DataFrame:
-    """(uid, parent, depth) from the roots on."""
+def taxonomy(nodes: DataFrame) -> DataFrame:
+    """(uid, parent, depth) from the roots on, for any depth and any number of nodes: each level is joined
+    to the one before and written, until one is empty.  A walk deeper than there are nodes is in a cycle."""
     spark = nodes.sparkSession
-    nodes.select("uid", "parent").createOrReplaceTempView("node")
-    return spark.sql(walk_sql(max_level))
+    root = _scratch(spark)
+
+    def write(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    nodes = write(nodes.select("uid", "parent"), "nodes")
+    below = nodes.where("parent IS NOT NULL")
+    total, depth = nodes.count(), 1
+    level = write(nodes.where("parent IS NULL").select("uid", "parent", F.lit(1).alias("depth")), "level-1")
+    schema = level.schema
+    while not level.isEmpty():
+        depth += 1
+        if depth > total + 1:
+            raise ValueError("a node stands below itself")
+        up = level.select(F.col("uid").alias("parent"))
+        level = write(below.join(up, "parent").select("uid", "parent", F.lit(depth).alias("depth")), f"level-{depth}")
+    return spark.read.schema(schema).parquet(*[f"{root}/level-{k}" for k in range(1, depth + 1)])
 
 
 def resequenced(blocks: DataFrame, step: int = 10000) -> DataFrame:

@@ -30,6 +30,13 @@ def test_walk_as_of(spark):
     assert ends == {"1": None, "2": 7, "3": 3, "4": None}
 
 
+def test_taxonomy_has_no_bounds(spark):
+    deep = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(105)] + [("x", "y"), ("y", "x"), ("z", "gone")], "uid string, parent string")
+    assert sorted((int(r.uid), r.depth) for r in tree.taxonomy(deep).collect()) == [(i, i + 1) for i in range(105)]
+    wide = spark.range(1_000_010).select(F.col("id").cast("string").alias("uid"), F.when(F.col("id") > 0, "0").alias("parent"))
+    assert tree.taxonomy(wide).count() == 1_000_010
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=12, unique=True))
 def test_midpoints_lie_between(spark, keys):
