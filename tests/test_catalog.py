@@ -45,3 +45,8 @@ def same(spark, duck, run, sql, sf=SF):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_twin(spark, duck, name):
     same(spark, duck, catalog.QUERIES[name], catalog.ORACLES[name])
+
+
+def test_detail_of_every_document(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    assert catalog.QUERIES["doc_detail_all"](spark, SF).select("doc").distinct().count() == orders.select("o_orderkey").distinct().count()
