@@ -89,6 +89,13 @@ def elm_escape(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tx.elm_string(F.col("html")).alias("elm"), tx.elm_triple(part).alias("triple"))
 
 
+@query(rf"""SELECT page_id, CASE WHEN b = '' THEN repeat(chr(34), 2) WHEN right(b, 1) = chr(34) THEN {_Q3} || b || ' ' || {_Q3} ELSE {_Q3} || b || {_Q3} END AS triple
+  FROM (SELECT page_id, replace(replace(html, '\', '\\'), {_Q3}, repeat('\' || chr(34), 3)) AS b FROM pages)""")
+def elm_triple_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The triple column of elm_escape, over whole pages."""
+    return table(spark, d, "pages").select("page_id", tx.elm_triple(F.col("html")).alias("triple"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(t, '%y-%m-%d %H:%M:%S') WHEN event_id % 3 = 1 THEN '(upd) ' || strftime(t, '%y-%m-%d %H:%M:%S') ELSE '(no timestamp)' END AS label FROM (SELECT event_id, date_trunc('second', ts) AS t FROM events)""")
 def time_label(spark: SparkSession, d: str) -> DataFrame:
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
@@ -111,6 +118,14 @@ def html_complex(spark: SparkSession, d: str) -> DataFrame:
     return h.select("page_id", tx.is_complex_html(F.col("h")).alias("is_complex"), tx.has_mathml(F.col("h")).alias("has_math"), tx.truncate_inline(F.col("h")).alias("short"))
 
 
+@query(rf"""SELECT page_id, (length(t) > 180 OR {_HAS}) AS is_complex, (contains(lower(h), '<math') OR contains(lower(h), '</math')) AS has_math, CASE WHEN length(t) <= 80 THEN t ELSE substr(t, 1, 77) || '…' END AS short
+  FROM (SELECT page_id, html AS h, regexp_replace(html, '^\s+|\s+$', '', 'g') AS t FROM pages)""")
+def html_complex_whole(spark: SparkSession, d: str) -> DataFrame:
+    """html_complex over whole pages."""
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", tx.is_complex_html(h).alias("is_complex"), tx.has_mathml(h).alias("has_math"), tx.truncate_inline(h).alias("short"))
+
+
 @query("SELECT event_id, make_date(2024, month(ts), least(day(ts), day(last_day(make_date(2024, month(ts), 1))))) AS day FROM events")
 def month_day(spark: SparkSession, d: str) -> DataFrame:
     """Dates written in one of three forms, read back in the year before 2025."""

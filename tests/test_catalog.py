@@ -50,3 +50,14 @@ def test_twin(spark, duck, name):
 def test_detail_of_every_document(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     assert catalog.QUERIES["doc_detail_all"](spark, SF).select("doc").distinct().count() == orders.select("o_orderkey").distinct().count()
+
+
+def test_whole_pages(spark, tmp_path):
+    q, far = chr(34), "x" * 400
+    html = ["", "a", "b" + q, far + "<math>", far + "\\" + q * 3]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    triple = {r.page_id: r.triple for r in catalog.QUERIES["elm_triple_whole"](spark, str(tmp_path)).collect()}
+    assert triple[0] == q * 2 and triple[1] == q * 3 + "a" + q * 3 and triple[2] == q * 3 + "b" + q + " " + q * 3
+    assert triple[4] == q * 3 + far + "\\\\" + ("\\" + q) * 3 + " " + q * 3
+    rows = {r.page_id: r for r in catalog.QUERIES["html_complex_whole"](spark, str(tmp_path)).collect()}
+    assert rows[3].is_complex and rows[3].has_math and not rows[1].is_complex and not rows[1].has_math
