@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.llm import class_ngrams, decontamination, importance_sampling, license_scan, piece_codec, quality_rules, sharding, token_output
+from lorekeep.llm.common import Scratch
 from lorekeep.llm.queries import SHARDS, tokenizer_path
 from tests.llm.cases import ODD, TURN, empty, frame, text
 
@@ -40,7 +41,48 @@ def test_class_ngrams(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in unseen)
 
 
-def test_exchange_raises_likelihood():
+def test_class_scores_by_brute_force(spark, monkeypatch):
+    """Classes as the operator found them, read from what it codes; all else counted anew."""
+    cg = class_ngrams
+    rows = ODD + [(i, text(60)) for i in range(100, 260)] + [(i, " ".join(f"w{(i * 97 + j * 13) % 9000}" for j in range(70))) for i in range(1000, 1300)]
+    found = {}
+    real = cg.code_blocks
+
+    def spy(blocks, answers, head, buckets):
+        out = real(blocks, answers, head, buckets)
+        found.update({w: c for w, (c, _) in head.items()})
+        for b, r in zip(blocks.orderBy("block").collect(), answers.where("block IS NOT NULL").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes"))).alias("k")).orderBy("block").collect(), strict=True):
+            rest = [w for w in cg._words(b.asDict()) if w not in head]
+            order, _ = cg._bucket_slices(rest, buckets)
+            classes = np.concatenate([np.frombuffer(cg.expand(k.classes), np.uint8) for k in r.k])
+            for i, c in zip(order.tolist(), classes.tolist(), strict=True):
+                assert found.setdefault(rest[i], c) == c
+        return out
+
+    monkeypatch.setattr(cg, "code_blocks", spy)
+    got = cg.score_documents(frame(spark, rows), block_bytes=6000).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    tokens = [(i, [b"\n", *(t or "").encode().lower().split(), b"\n"]) for i, t in rows]
+    own = [ws for i, ws in tokens if not held(i)]
+    n = Counter(w for ws in own for w in ws[1:])
+    head = sorted((w for w in n if w != b"\n"), key=lambda w: (-n[w], w))[: cg.HEAD]
+    rest = set(n) - set(head) - {b"\n"}
+    assert len(rest) > 1000 and all((found[w] == cg.CLASSES - 1) == (n[w] == 1) for w in rest) and len({found[w] for w in rest}) > 2
+    cls = lambda w: found[w] if w in n else cg.CLASSES - 1
+    trans, size = Counter((cls(a), cls(b)) for ws in own for a, b in zip(ws, ws[1:], strict=False)), Counter(cls(w) for ws in own for w in ws[1:])
+    out, kinds = Counter(cls(w) for ws in own for w in ws[:-1]), Counter(cls(w) for w in n)
+    kinds[cg.CLASSES - 1] += 1
+
+    def score(ws):
+        return sum(
+            math.log10((trans[cls(a), cls(b)] + 0.1) / (out[cls(a)] + 0.1 * cg.CLASSES)) + math.log10((n[b] + 0.1) / (size[cls(b)] + 0.1 * kinds[cls(b)]))
+            for a, b in zip(ws, ws[1:], strict=False)
+        )
+
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(i), round(score(ws), 6)) for i, ws in tokens)
+
+
+def test_exchange_raises_likelihood(spark):
     turn = np.random.default_rng(2)
     trans = turn.integers(1, 50, (6, 6)).astype(float)
     left, right = np.zeros((1, 6)), np.zeros((1, 6))
@@ -49,7 +91,19 @@ def test_exchange_raises_likelihood():
     left[0, 0] = right[0, 0] = 30  # a word that always stands between ends, as those of class 4 do
     trans[0, 2] += 30
     trans[2, 0] += 30
-    assert class_ngrams.best_classes(left, right, np.array([2]), trans)[0] == 4
+    to, gain = class_ngrams.best_classes(left, right, np.array([2]), trans)
+    assert to[0] == 4 and gain[0] > 0
+    lines = lambda: " ".join(f"name{TURN.randint(0, 90)} act{TURN.randint(0, 90)}" for _ in range(40))
+    docs = frame(spark, [(i, lines()) for i in range(300)]).select("doc_id", F.lit(False).alias("held"), "text")
+    work = Scratch(spark, "t")
+    blocks = work.write(class_ngrams._tokenised(docs, 8000), "blocks")
+    words = class_ngrams.vocabulary(blocks).orderBy(F.desc("n")).collect()
+    found = class_ngrams.cluster_head(blocks, [bytes(r.word) for r in words if r.word != b"\n"], work)
+    assert len(found.history) > 3 and all(a < b for a, b in zip(found.history, found.history[1:], strict=False))
+    assert abs(found.history[-1] - class_ngrams.likelihood(found.transitions(found.classes))) < 1e-6
+    names = {int(found.classes[i]) for i, r in enumerate([r for r in words if r.word != b"\n"], 1) if r.word.startswith(b"name")}
+    acts = {int(found.classes[i]) for i, r in enumerate([r for r in words if r.word != b"\n"], 1) if r.word.startswith(b"act")}
+    assert not names & acts
 
 
 def test_quality_rules(spark):
@@ -83,6 +137,24 @@ def test_importance_sampling(spark):
     got = importance_sampling.resample(docs, target, 0.5).collect()
     assert len(got) == math.ceil(len(rows) / 2)
     assert sum(r.doc_id is not None and r.doc_id >= 100 and r.doc_id % 4 == 0 for r in got) < 8
+    # the models and keys by brute force: counts of n-grams by their slots
+    slot_of = lambda *ws: int(importance_sampling.ngram_slots([" ".join(ws).encode()])[0][-1])
+    memo = {}
+    grams = lambda t: [memo.setdefault(g, None) or memo.update({g: slot_of(*g)}) or memo[g] for ws in [words((t or "").translate(LOW))] for n in (1, 2) for g in zip(*[ws[k:] for k in range(n)], strict=False)]
+    chosen = {r.doc_id for r in target.collect()} - {None}
+    of = [(i, grams(t)) for i, t in rows]
+    raw, aim = Counter(g for _, gs in of for g in gs), Counter(g for i, gs in of if i in chosen for g in gs)
+    n_raw, n_aim = sum(raw.values()), sum(aim.values())
+    ratio = lambda g: math.log((aim[g] + 1) / (n_aim + importance_sampling.SLOTS)) - math.log((raw[g] + 1) / (n_raw + importance_sampling.SLOTS))
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", (-F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))).alias("g")).collect()}
+    want = sorted(((sum(map(ratio, gs)) + noise[i], str(i), sum(map(ratio, gs))) for i, gs in of), reverse=True)[: len(got)]
+    assert [(i, round(w, 6), round(k, 6)) for k, i, w in want] == [(str(r.doc_id), round(r.log_weight, 6), round(r.key, 6)) for r in sorted(got, key=lambda r: (-r.key, str(r.doc_id)))]
+    few = importance_sampling.slot_counts(docs.select("doc_id", "text"), target, target_rows=3)
+    assert 0 < few[0].sum() < n_aim and few[1].sum() == n_raw
+    same = spark.createDataFrame([(None if i % 3 == 0 else (i - 900) << 40 if i % 3 == 1 else 7, 0.0, 1.0) for i in range(9000)], "doc_id long, log_weight double, key double")
+    for k in (2999, 3500, 4400, 7000):
+        want = sorted(((r.doc_id is not None, r.doc_id or 0) for r in same.collect()))[:k]
+        assert sorted((r.doc_id is not None, r.doc_id or 0) for r in importance_sampling.top_k(same, k).collect()) == want
     keyed = spark.createDataFrame([(i, 0.0, float(i % 7)) for i in range(3000)], "doc_id long, log_weight double, key double")
     for k in (0, 1, 430, 2999, 3000, 5000):
         want = sorted(((-(i % 7), i) for i in range(3000)))[:k]
@@ -119,6 +191,10 @@ def test_sharding(spark):
     got = sharding.place(rows, "doc_id", SHARDS)
     assert got.count() == len(ODD) and len({r.shard for r in got.where("doc_id IS NULL").collect()}) == 1
     assert dict(got.dtypes)["shard"] == "int" and sharding.place(empty(spark), "doc_id", SHARDS).count() == 0
+    plain_slots = sorted(r.slot for r in sharding.place(frame(spark), "key", SHARDS).collect())
+    for name in ("shard", "slot"):  # a key with a result's name gives way to the result
+        named = sharding.place(frame(spark).withColumnRenamed("key", name), name, SHARDS)
+        assert sorted(r.slot for r in named.collect()) == plain_slots and named.columns.count(name) == 1
 
 
 def test_token_files(spark):
@@ -208,6 +284,8 @@ def test_license_scan(spark):
     assert len(got[7]) == 2 and got[7][0][4:] == ("", "", 0.0)
     assert got[None][0][4] == "cc-by-nc" and got[8][0][2] == 3000 and got[9][0][1] == 0
     assert license_scan.scan(empty(spark)).count() == 0
+    kelvin = license_scan.scan(frame(spark, [(1, "this wor\u212a is licensed under the GNU general public license version 3")])).first()
+    assert kelvin.n_words == 12 and kelvin.score == pytest.approx(11 / 12)  # only A-Z is lowered
 
 
 def test_license_notices_of_several_lines(spark):
@@ -221,7 +299,7 @@ def test_license_notices_of_several_lines(spark):
     ]
 
     def brute(t):
-        w, labels, best = re.findall(license_scan.WORD, (t or "").lower()), set(), 0.0
+        w, labels, best = re.findall(license_scan.WORD, (t or "").translate(LOW)), set(), 0.0
         for template, label in license_scan.TEMPLATES:
             own, wide = set(template.split()), math.ceil(len(template.split()) / license_scan.LEAST)
             most = max((len(own & set(w[i : i + wide])) for i in range(len(w))), default=0)
@@ -245,6 +323,34 @@ def edit(a, b):
     return min(row)
 
 
+def test_least_distance():
+    """Random short cases against plain edit distance."""
+    turn, cases = random.Random(12), 0
+    for _ in range(1500):
+        item = "".join(turn.choice("abc ") for _ in range(turn.randint(17, 40)))
+        t = list(item)
+        for _ in range(turn.randint(0, 4)):
+            at = turn.randrange(len(t))
+            t[at : at + 1] = turn.choice([["c"], [], [t[at], "b"]])
+        doc = decontamination.normal("".join(turn.choice("abc ") for _ in range(20)) + "".join(t) + "".join(turn.choice("abc ") for _ in range(20)))
+        item = decontamination.normal(item)
+        found = list(decontamination.Matcher([(1, item)], 0.12).find(doc))
+        least = edit(item, doc)
+        assert [f[1] for f in found] == ([least] if least <= int(len(item) * 0.12) else [])
+        cases += len(found)
+    assert cases > 300
+
+
+def test_word_hashes():
+    """Words that differ in any byte, or in length only, have different hashes; Thue-Morse words too."""
+    from lorekeep.llm.common import Words
+
+    morse = [bytes(97 + (bin(i).count("1") + k) % 2 for i in range(1024)) for k in (0, 1)]
+    kinds = [b"a" * n for n in range(1, 80)] + [b"b" * k + b"c" + b"b" * (40 - k) for k in range(41)] + morse
+    found = Words([b" ".join(kinds), b" ".join(reversed(kinds))], lower=False)
+    assert len(set(found.hashes.tolist())) == len(kinds) and found.hashes[: len(kinds)].tolist() == found.hashes[len(kinds) :][::-1].tolist()
+
+
 def test_decontamination(spark):
     turn = random.Random(4)
     items = [(k, text(30, turn)) for k in range(12)] + [(90, None), (91, "..."), (92, "short one"), (93, text(30, turn)), (0, "again the same id with other words in it")]
@@ -266,6 +372,14 @@ def test_decontamination(spark):
                 if item and distance <= int(len(item) * decontamination.ERRORS):
                     want.add((d, i, distance))
     assert {(r.doc_id, r.item_id, r.distance) for r in got if r.doc_id is not None and 100 <= r.doc_id < 200} == want and len(want) > 20
+    texts, by_id = dict((i, decontamination.normal(t)) for i, t in rows), {}
+    for i, t in norm:
+        by_id.setdefault(i, []).append(t)
+    for r in got:  # the passage that is told ends where it says, and lies round its start
+        part = texts[r.doc_id][max(0, r.start - 20) : r.end] if r.doc_id is not None and 100 <= r.doc_id < 200 else None
+        if part is not None:
+            assert 0 <= r.start < r.end and min(edit(t[::-1] + "\0", part[::-1]) for t in by_id[r.item_id]) <= r.distance + 1
+            assert min(edit(t, part) for t in by_id[r.item_id]) == r.distance
     kept = decontamination.drop_leaks(frame(spark, rows), bench)
     leaked = {r.doc_id for r in got}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in rows if d not in leaked)
