@@ -8,6 +8,7 @@ is (null and repeated ids are rows like any other).
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -40,12 +41,10 @@ BLOCKS = T.StructType(
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); beside the warehouse if it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); where that is unset, as in tests, one in the
+    warehouse, which a cluster shares too."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
 class Scratch:
@@ -168,20 +167,10 @@ def bucket_count(blocks: DataFrame) -> int:
 
 #: Fixed odd multipliers.
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        for name, base in (("up", _P), ("down", _P_INV)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+#: Bytes of a word that are hashed for all words at once; longer words are hashed one by one.
+_SHORT = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -194,10 +183,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of several texts with a 64-bit hash of each.
+    """The words of several texts with a 64-bit hash of each, by which operators tell words apart.
 
     texts are joined by a line feed, which ends words.  first[d] is the number of the first word
-    of text d, first[-1] the number of all words.
+    of text d, first[-1] the number of all words.  A worker needs some ten bytes for each byte of the texts.
     """
 
     def __init__(self, texts: list[bytes], lower: bool):
@@ -213,11 +202,23 @@ class Words:
         step = np.diff(word)
         self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         self.first = np.searchsorted(self.starts, self.offsets)
-        up, down = _powers(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        self.hashes = mix(raw + (self.ends - self.starts).astype(np.uint64) * _Q)
+        self.hashes = self._hash_words()
+
+    def _hash_words(self) -> np.ndarray:
+        """Eight bytes a step, each step a bijection of the eight bytes for what came before."""
+        size = self.ends - self.starts
+        lanes = np.ndarray((len(self.data),), "<u8", self.data + bytes(8), strides=(1,))
+        h = size.astype(np.uint64) * _Q
+        live = np.flatnonzero(size <= _SHORT)
+        for at in range(0, _SHORT, 8):
+            live = live[size[live] > at]
+            lane = lanes[self.starts[live] + at]
+            cut = np.minimum(size[live] - at, 8).astype(np.uint64) * np.uint64(8)
+            lane &= np.where(cut == 64, ~np.uint64(0), (np.uint64(1) << (cut & np.uint64(63))) - np.uint64(1))
+            h[live] = mix(h[live] * _P + lane)
+        for i in np.flatnonzero(size > _SHORT).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8).digest(), "little")
+        return mix(h)
 
     def __len__(self) -> int:
         return len(self.starts)

@@ -110,8 +110,6 @@ class Matcher:
                     continue
                 if k == 0:
                     continue
-                if number in found and abs(found[number][1] - begin) <= k:
-                    continue  # the same passage by another piece
                 low = max(0, begin - k)
                 best = myers(item, self.masks[number], text[low : begin + len(item) + k], k)
                 if best and best[0] < found.get(number, (k + 1,))[0]:
@@ -130,15 +128,14 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = ITEM_B
     rows = items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.length(text_col) > 0)
     total = rows.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     parts = max(1, -(-2 * total // most))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)))
     block, size = [], 0
-    for part in range(parts):
-        for i, text, _ in dealt.where(F.col("part") == part).collect():  # half a block, as hashes deal them out
-            if block and size + len(text.encode()) > most:
-                yield block
-                block, size = [], 0
-            block.append((i, text))
-            size += len(text.encode())
+    # the driver holds a part at a time, half a block as the shuffle deals them out
+    for i, text in rows.repartition(parts, id_col, text_col).toLocalIterator():
+        if block and size + len(text.encode()) > most:
+            yield block
+            block, size = [], 0
+        block.append((i, text))
+        size += len(text.encode())
     if block:
         yield block
 

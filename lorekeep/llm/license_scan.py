@@ -19,6 +19,7 @@ word; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from fractions import Fraction
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,8 +105,8 @@ def _most_shared(template: str) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)."""
     spark = docs.sparkSession
-    # lower() also lowers letters beyond A-Z, which stay letters: no word begins, ends or matches otherwise
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    low = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)  # A-Z only
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), low.alias("text"))
     work = Scratch(spark, "license_scan")
     words = source.select("doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words"))
     words = words.select("doc_id", "key", "words", F.array_intersect("words", _array(_vocabulary())).alias("have"))

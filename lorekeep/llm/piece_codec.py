@@ -9,6 +9,9 @@ worker keeps the segmentations of the words it has met lately.
 Blanks stand as U+2581 with one before the text, as the model has them; a U+2581 of the text itself is
 written in bytes, so decoding gives every text back.
 
+The texts are not normalised, and the segmentation is the one with the best sum of scores, whatever order
+of merges the model was trained with: ids can differ from those of the model's own ``encode``.
+
 Cases: null and empty texts have no pieces (a null text decodes as empty); of segmentations with one
 score the one whose last piece is longest stays; repeated rows are encoded alike; an empty table gives
 no rows; extra columns are ignored by ``encode`` and kept by ``with_pieces``.
@@ -115,11 +118,15 @@ class PieceCodec:
             return np.zeros(0, np.uint32)
         words = _WORD.findall(" " + text)
         young = self.young
-        for w in set(words).difference(young):
+        new = set(words).difference(young)
+        for w in new:
             young[w] = self._word(w)
         ids = np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32)
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del young[w]
         if len(young) > CACHE_ENTRIES:
-            self.old, self.young = {w: x for w, x in young.items() if len(w) <= CACHE_CHARS}, {}
+            self.old, self.young = young, {}
         return ids
 
     def decode(self, ids: np.ndarray) -> str:

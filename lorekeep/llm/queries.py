@@ -79,20 +79,21 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_oracle() -> str:
-    """Every line against every template."""
-    from lorekeep.llm.license_scan import LEAST, PHRASES, TEMPLATES
+    """Every window of words against every template."""
+    from lorekeep.llm.license_scan import LEAST, PHRASES, TEMPLATES, window_words
 
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = ", ".join(f"({quoted(p.split())}, {len(p.split())}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"({quoted(sorted(set(t.split())))}, {len(set(t.split()))}, '{label}')" for t, label in TEMPLATES)
+    templates = ", ".join(f"({quoted(sorted(set(t.split())))}, {len(set(t.split()))}, {window_words(t)}, '{label}')" for t, label in TEMPLATES)
     return f"""
-        WITH d AS (SELECT doc_id, {low} AS t, regexp_extract_all({low}, '{word}') AS w FROM documents),
+        WITH d AS (SELECT doc_id, regexp_extract_all({low}, '{word}') AS w FROM documents),
         place AS (SELECT doc_id, p, label FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d), (VALUES {phrases}) v(ph, n, label) WHERE w[p + 1:p + n] = ph),
         base AS (SELECT doc_id, count(*) AS n, min(p) AS a, max(p) AS b FROM place GROUP BY doc_id),
-        line AS (SELECT doc_id, list_distinct(regexp_extract_all(l, '{word}')) AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
-        met AS (SELECT doc_id, label, len(list_intersect(s, ws)) / n AS share FROM line, (VALUES {templates}) v(ws, n, label) WHERE {LEAST.denominator} * len(list_intersect(s, ws)) >= {LEAST.numerator} * n),
+        possible AS (SELECT doc_id, w, ws, n, wide, label FROM d, (VALUES {templates}) v(ws, n, wide, label) WHERE {LEAST.denominator} * len(list_intersect(list_distinct(w), ws)) >= {LEAST.numerator} * n),
+        block AS (SELECT doc_id, label, ws, n, list_distinct(w[p:p + wide - 1]) AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM possible)),
+        met AS (SELECT doc_id, label, len(list_intersect(s, ws)) / n AS share FROM block WHERE {LEAST.denominator} * len(list_intersect(s, ws)) >= {LEAST.numerator} * n),
         best AS (SELECT doc_id, max(share) AS score FROM met GROUP BY doc_id),
         bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT DISTINCT doc_id, label FROM place) GROUP BY doc_id),
         al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM met) GROUP BY doc_id)

@@ -69,5 +69,5 @@ def place(rows: DataFrame, key: str, shards: list[str], slots: int | None = None
     """rows with their slot (long) and shard (int); slots: the least prime from 100 a shard on."""
     slots = slots or next_prime(100 * len(shards))
     table = table_frame(rows.sparkSession, shards, slots)
-    placed = rows.drop("shard").withColumn("slot", slot_of(F.col(key), slots))
+    placed = rows.select(*[F.col(c) for c in rows.columns if c not in ("slot", "shard")], slot_of(F.col(key), slots).alias("slot"))
     return placed.join(F.broadcast(table), "slot")  # slots rows

@@ -27,6 +27,8 @@ equal ids never cut each other; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, bucket_count, chunk
 SHALLOW = 24
 #: The most contexts of an anchor that are compared in one group (at most 254: counts travel as a byte).
 HOT_CONTEXTS = 200
-#: Windows of hot anchors that a block sorts at once, and buckets for them by one of the others.
+#: Windows, or bytes of contexts, that are sorted at once, and buckets for windows of hot anchors by one of the others.
 PORTION, WINDOW_BUCKETS = 1 << 18, 4
 _NONE = np.uint64(2**64 - 1)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -67,7 +69,7 @@ def anchors(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.
     h ^= h >> np.uint64(32)
     h *= _C
     h ^= h >> np.uint64(29)
-    bits = np.uint64(max(20, n.bit_length()))
+    bits = np.uint64(32)  # the same for all texts: equal windows choose alike
     low = (h >> np.uint64(1)) >> bits << bits  # ties in a window: the first place
     low |= np.arange(len(h), dtype=np.uint64)
     wide, size = length - k + 1, 1
@@ -434,6 +436,19 @@ def _unpack_contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
     return first, ids, off, [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
+def _portions(groups: list[list[int]], sizes: list[int]) -> Iterator[list[int]]:
+    """The members of some groups together, of about ``PORTION`` bytes."""
+    part, total = [], 0
+    for g in groups:
+        part += g
+        total += sum(sizes[i] for i in g)
+        if total >= PORTION:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
+
+
 def settle(ids: np.ndarray, off: np.ndarray, context: list[bytes], anchor: int, length: int) -> list[np.ndarray | None]:
     """Cut windows of each context: a flag a window, or None for all of them."""
     number: dict[tuple[int, bytes], int] = {}
@@ -444,9 +459,8 @@ def settle(ids: np.ndarray, off: np.ndarray, context: list[bytes], anchor: int,
     groups: dict[bytes, list[int]] = {}
     for i, (o, c) in enumerate(kinds):
         groups.setdefault(c[o : o + anchor], []).append(i)
-    mixed = [i for g in groups.values() if len(g) > 1 for i in g]
     flags: dict[int, np.ndarray] = {}
-    if mixed:
+    for mixed in _portions([g for g in groups.values() if len(g) > 1], [len(c) for _, c in kinds]):
         data = b"".join(kinds[i][1] for i in mixed)
         sizes = np.array([len(kinds[i][1]) for i in mixed], np.int64)
         counts = sizes - length + 1
