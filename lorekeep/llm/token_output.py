@@ -51,15 +51,15 @@ def _is_odd(text: str) -> bool:
     return text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD) or (not text.isascii() and any(x in text for x in _ODD_BEYOND))
 
 
-#: A word and the plain punctuation after it, which the tokenizer's own split parts.
-_TAIL = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,!]+)\Z")
-#: A word that is one piece of the tokenizer's own split.
-_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z")
+#: A piece that the tokenizer's own split parts before its word, if a line feed is there, and after it:
+#: a word of letters and the symbols behind it.
+_PIECE = re.compile(r"([\n\r]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:#*$%&|<>]*)\Z")
 _STATE: dict[str, _Encoder] = {}
 
-
-#: How byte-level models show a blank.
-_BLANK = "\u0120"
+#: How byte-level models write bytes: printable ones of Latin-1 stand for themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTER = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_BLANK = chr(_LETTER[32])
 
 
 class _Encoder:
@@ -74,45 +74,49 @@ class _Encoder:
         pre = json.loads(self.tok.to_str())["pre_tokenizer"] or {}
         self.splits = bool(pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
         self.plain = self.splits and self.tok.normalizer is None
-        self.opens = np.zeros(self.tok.get_vocab_size(), bool)
-        self.opens[[i for t, i in self.tok.get_vocab().items() if t[0] == _BLANK]] = True
+        self.code, self.tokenize = self.kind(0).dtype.char, self.tok.model.tokenize
+        self.tails: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _new(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, each by itself."""
-        code = self.kind(0).dtype.char
-        return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _word(self, word: str, blank: bool) -> bytes:
+        """Ids of a word of letters, which the tokenizer's own split leaves whole: the model's alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTER)
+        return array(self.code, [t.id for t in self.tokenize(_BLANK + word if blank else word)]).tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each after a blank: one text of all of them, cut where a token
-        begins with a blank."""
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        cut = np.flatnonzero(self.opens[ids]) * ids.itemsize
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(data)], strict=True)]
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 4096:
+                self.tails.clear()
+            self.tails[tail] = self._new([tail])[0]
+        return self.tails[tail]
 
     def _learn(self, pieces: set[str]) -> None:
         """Puts pieces which the young generation lacks into it."""
         young, old = self.young, self.old
-        tails = {}
-        new = []
+        rest = []
         for p in pieces:
             ids = old.get(p)
-            if ids is not None:
-                young[p] = ids
-            elif p[-1] in ".,!" and (m := _TAIL.search(p)):
-                tails[p] = (p[: m.start(2)], "\r" + m[2])
-            else:
-                new.append(p)
-        new += {x for pair in tails.values() for x in pair if x not in young}.difference(new)
-        words = list(filter(_LETTERS.match, new)) if self.plain else []
-        if words:
-            young.update(zip(words, self._words(words), strict=True))
-        rest = [p for p in new if p not in young]
+            if ids is None:
+                m = _PIECE.match(p) if self.plain else None
+                if m is None:
+                    rest.append(p)
+                    continue
+                lead, word, tail = m.groups()
+                ids = None if lead else young.get(word) or old.get(word)
+                if ids is None:
+                    ids = self._word(word, not lead)
+                if lead == "\n":
+                    ids = self._tail(lead) + ids
+                if tail:
+                    ids += self._tail(tail)
+            young[p] = ids
         young.update(zip(rest, self._new([p[1:] if p[0] == "\r" else p if p[0] == "\n" else " " + p for p in rest]), strict=True))
-        for p, (word, tail) in tails.items():
-            young[p] = young[word] + young[tail]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """A text is parted at its blanks and before its line feeds, where the tokenizer's own split
