@@ -14,7 +14,7 @@ Ranks are undone with the table of ``frequency_ranks``.  Files hold at most ``FI
 unless one document has more, whatever the ranges of ids hold, so a hot id cannot fill a task.
 
 Cases: null and empty texts give the end id only; null ids stand first; rows with equal ids keep
-all their copies, ordered by their tokens; an empty table gives no file and no row; extra columns
+all their copies, ordered by a checksum of their tokens; an empty table gives no file and no row; extra columns
 are ignored.
 """
 
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import Scratch
+from lorekeep.llm.common import Scratch, expand, squeeze
 
 MAGIC = b"FVB1"
 #: Tokens of a file.
@@ -76,8 +76,7 @@ class _Encoder:
         self.plain = self.splits and self.tok.normalizer is None
         self.code, self.tokenize = self.kind(0).dtype.char, self.tok.model.tokenize
         self.tails: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Pieces(self), {}
 
     def _new(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, each by itself."""
@@ -96,53 +95,48 @@ class _Encoder:
             self.tails[tail] = self._new([tail])[0]
         return self.tails[tail]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts pieces which the young generation lacks into it."""
-        young, old = self.young, self.old
-        rest = []
-        for p in pieces:
-            ids = old.get(p)
-            if ids is None:
-                m = _PIECE.match(p) if self.plain else None
-                if m is None:
-                    rest.append(p)
-                    continue
+    def learn(self, piece: str) -> bytes:
+        """Ids of a piece that the young generation lacks, and puts it there."""
+        ids = self.old.get(piece)
+        if ids is None:
+            m = _PIECE.match(piece) if self.plain else None
+            if m is None:
+                ids = self._new([piece[1:] if piece[0] == "\r" else piece if piece[0] == "\n" else " " + piece])[0]
+            else:
                 lead, word, tail = m.groups()
-                ids = None if lead else young.get(word) or old.get(word)
-                if ids is None:
-                    ids = self._word(word, not lead)
+                ids = self._word(word, not lead)
                 if lead == "\n":
                     ids = self._tail(lead) + ids
                 if tail:
                     ids += self._tail(tail)
-            young[p] = ids
-        young.update(zip(rest, self._new([p[1:] if p[0] == "\r" else p if p[0] == "\n" else " " + p for p in rest]), strict=True))
+        if len(piece) <= CACHE_CHARS:
+            self.young[piece] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """A text is parted at its blanks and before its line feeds, where the tokenizer's own split
         has an end too.  A piece stands for itself after a blank, or after nothing with a leading
         carriage return, which a parted text does not hold."""
-        whole = [not t or not self.splits or _is_odd(t) for t in texts]
-        pieces = [[] if w else ("\r" + t.replace("\n", " \n")).split(" ") for t, w in zip(texts, whole, strict=True)]
         if len(self.young) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        young = self.young
-        found = [list(map(young.get, ps)) for ps in pieces]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        unknown = {ps[i] for ps, gs in zip(pieces, gaps, strict=True) for i in gs}
-        if unknown:
-            self._learn(unknown)
-            for ps, f, gs in zip(pieces, found, gaps, strict=True):
-                for i in gs:
-                    f[i] = young[ps[i]]
-        alone = iter(self._new([t for t, w in zip(texts, whole, strict=True) if w]))
-        out = [np.frombuffer(next(alone) if w else b"".join(f), self.kind) for f, w in zip(found, whole, strict=True)]
-        for p in unknown:
-            if len(p) > CACHE_CHARS and p in young:
-                del young[p]
+            self.old, self.young = self.young, _Pieces(self)
+        get = self.young.__getitem__
+        out = [None if not t or not self.splits or _is_odd(t) else np.frombuffer(b"".join(map(get, ("\r" + t.replace("\n", " \n")).split(" "))), self.kind) for t in texts]
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(whole, self._new([texts[i] for i in whole]), strict=True):
+            out[i] = np.frombuffer(ids, self.kind)
         return out
 
 
+class _Pieces(dict):
+    """Ids of pieces; the encoder adds those that are looked up in vain."""
+
+    def __init__(self, encoder: _Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.encoder.learn(piece)
+
+
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
     if path not in _STATE:
@@ -151,22 +145,30 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids are packed, two bytes each where that is enough, and compressed."""
+    """(doc_id, n_tokens, ids_crc32, ids, counts): ids are packed, two bytes each where that is enough, and
+    compressed.  A task's last row is no document: it has nothing but counts, of each token in the task."""
 
     def run(batches):
+        total = np.zeros(0, np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a in range(0, len(ids), 64):
-                part = [t or "" for t in texts.slice(a, 64).to_pylist()]
-                found = encode_texts(tokenizer, part)
+                found = encode_texts(tokenizer, [t or "" for t in texts.slice(a, 64).to_pylist()])
                 if end_id is not None:
                     found = [np.append(x, x.dtype.type(end_id)) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, 64), pa.array([len(x) for x in found], pa.int64()), pa.array([_squeeze_ids(x) for x in found], pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+                n = np.bincount(np.concatenate(found), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                crc = [zlib.crc32(x) for x in found]
+                yield _encoded(ids.slice(a, 64), [len(x) for x in found], crc, [_squeeze_ids(x) for x in found], [None] * len(found))
+        yield _encoded([None], [None], [None], [None], [squeeze(total.tobytes())])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, ids binary, counts binary")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+
+def _encoded(doc_id, n_tokens: list, crc: list, ids: list, counts: list) -> pa.RecordBatch:
+    columns = [(doc_id, pa.int64()), (n_tokens, pa.int64()), (crc, pa.int64()), (ids, pa.binary()), (counts, pa.binary())]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns], names=["doc_id", "n_tokens", "ids_crc32", "ids", "counts"])
 
 
 def _squeeze_ids(ids: np.ndarray) -> bytes:
@@ -181,21 +183,16 @@ _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def token_counts(encoded: DataFrame) -> DataFrame:
-    """(token, n) over the corpus; each task counts first."""
+    """(token, n) over the corpus, from the tasks' counts."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in map(_expand_ids, batch.column(0).to_pylist()):
-                if len(ids):
-                    n = np.bincount(ids)
-                    if len(n) > len(total):
-                        total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                    total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token", "n"])
+            for data in batch.column(0).to_pylist():
+                total = np.frombuffer(expand(data), np.int64)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return encoded.select("counts").where("counts IS NOT NULL").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def frequency_ranks(encoded: DataFrame) -> np.ndarray:
@@ -316,9 +313,8 @@ def write_files(encoded: DataFrame, ranks: np.ndarray, folder: str, file_tokens:
         if ids:
             yield flush()
 
-    salt = F.xxhash64("ids")
-    dealt = encoded.select("doc_id", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), salt)
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), salt)
+    order = F.col("doc_id").asc_nulls_first(), F.col("ids_crc32")
+    dealt = encoded.where("counts IS NULL").select("doc_id", "ids", "ids_crc32").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, "part long, piece long, n_docs long, n_tokens long")
 
 
