@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import BUCKET_BYTES, Scratch, expand, squeeze
+from lorekeep.llm.common import BUCKET_BYTES, Scratch, expand, squeeze, tidy, tidy_group
 
 #: Classes: 0 is the end, the last holds words seen once and unknown ones.
 CLASSES = 64
@@ -117,7 +117,7 @@ def _tokenised(docs: DataFrame, block_bytes: int) -> DataFrame:
         if rows:
             yield make(block, rows)
 
-    return docs.mapInArrow(run, _BLOCKS)
+    return docs.mapInArrow(tidy(run), _BLOCKS)
 
 
 _BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), *[(n, pa.binary()) for n in ("ids", "nulls", "held", "sizes", "tokens", "words", "counts")]])
@@ -150,7 +150,7 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
                     n = counts[a : a + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(words[a : a + (1 << 16)], pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
 
-    return blocks.select("words", "counts").mapInArrow(run, "word binary, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    return blocks.select("words", "counts").mapInArrow(tidy(run), "word binary, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 # Exchange of the head words ---------------------------------------------------------------------
@@ -192,12 +192,12 @@ def head_bigrams(blocks: DataFrame, head: list[bytes], work: Scratch) -> DataFra
         data = np.int64(len(word)).tobytes() + table["n"].to_numpy().astype(np.int64).tobytes() + word.tobytes() + other.tobytes() + side.astype(np.uint8).tobytes()
         return pa.table({"part": table["part"].slice(0, 1), "data": pa.array([squeeze(data)], pa.binary())})
 
-    found = blocks.select("held", "sizes", "tokens", "words").mapInArrow(run, "pair long, n long")
+    found = blocks.select("held", "sizes", "tokens", "words").mapInArrow(tidy(run), "pair long, n long")
     pairs = work.write(found.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     a, b = F.floor(F.col("pair") / (HEAD + 2)), F.col("pair") % (HEAD + 2)
     both = pairs.select(F.explode(F.array(F.struct(a.alias("word"), b.alias("other"), F.lit(0).alias("side")), F.struct(b.alias("word"), a.alias("other"), F.lit(1).alias("side")))).alias("s"), "n")
     both = both.select((F.col("s.word") % GROUPS).cast("int").alias("part"), F.col("s.word").cast("int").alias("word"), F.col("s.other").cast("int").alias("other"), F.col("s.side").alias("side"), "n")
-    return work.write(both.groupBy("part").applyInArrow(pack, "part int, data binary"), "bigrams")  # 2 (HEAD + 2)² / GROUPS sums a group
+    return work.write(both.groupBy("part").applyInArrow(tidy_group(pack), "part int, data binary"), "bigrams")  # 2 (HEAD + 2)² / GROUPS sums a group
 
 
 def _sides(part: int, data: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ class Exchange:
                 for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     yield pa.RecordBatch.from_pydict(answer(part, data))
 
-        return self.bigrams.mapInArrow(run, schema).collect()  # fixed size: classes by classes, or the head words
+        return self.bigrams.mapInArrow(tidy(run), schema).collect()  # fixed size: classes by classes, or the head words
 
     def transitions(self, classes: np.ndarray) -> np.ndarray:
         def answer(part, data):
@@ -392,8 +392,8 @@ def place_words(blocks: DataFrame, head: dict[bytes, tuple[int, int]], trans: np
             "members": pa.array([*[None] * len(own), members], pa.list_(pa.int64())),
         })
 
-    sent = blocks.select("block", "held", "sizes", "tokens", "words", "counts").mapInArrow(send, "bucket long, block long, data binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "block long, bucket long, classes binary, seen binary, members array<long>")
+    sent = blocks.select("block", "held", "sizes", "tokens", "words", "counts").mapInArrow(tidy(send), "bucket long, block long, data binary")
+    return sent.groupBy("bucket").applyInArrow(tidy_group(answer), "block long, bucket long, classes binary, seen binary, members array<long>")
 
 
 def class_members(answers: DataFrame, classes: np.ndarray, n_head: int) -> np.ndarray:
@@ -429,7 +429,7 @@ def code_blocks(blocks: DataFrame, answers: DataFrame, head: dict[bytes, tuple[i
                 yield pa.RecordBatch.from_pylist([out], pa.schema([(k, pa.binary()) for k in out]))
 
     known = answers.where("block IS NOT NULL").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes", "seen"))).alias("known"))
-    return blocks.join(known, "block", "left").mapInArrow(run, "ids binary, nulls binary, held binary, sizes binary, tokens binary, classes binary, seen binary")
+    return blocks.join(known, "block", "left").mapInArrow(tidy(run), "ids binary, nulls binary, held binary, sizes binary, tokens binary, classes binary, seen binary")
 
 
 def class_transitions(coded: DataFrame) -> np.ndarray:
@@ -445,7 +445,7 @@ def class_transitions(coded: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "n"])
 
     trans = np.zeros(CLASSES * CLASSES)
-    for r in coded.select("held", "sizes", "tokens", "classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
+    for r in coded.select("held", "sizes", "tokens", "classes").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
         trans[r.cell] = r.n
     return trans.reshape(CLASSES, CLASSES)
 
@@ -491,4 +491,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ids = pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["nulls"], np.uint8).astype(bool))
                 yield pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return coded.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -8,6 +8,8 @@ is (null and repeated ids are rows like any other).
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -26,6 +28,11 @@ BLOCK_DOCS = 1 << 16
 #: Bytes of text for one bucket of hashes; the number of buckets follows the input.
 BUCKET_BYTES = 8 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another system's C library
+    _LIBC = None
+
 BLOCKS = T.StructType(
     [
         T.StructField("block", T.LongType()),
@@ -66,6 +73,36 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(run):
+    """A function of batches, for ``mapInArrow``, that releases memory at the end of its task."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """The same for a function of a table, for ``applyInArrow``."""
+
+    @functools.wraps(run)
+    def wrapped(table):
+        out = run(table)
+        release()
+        return out
+
+    return wrapped
+
+
 def squeeze(data: bytes | memoryview) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -149,7 +186,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield _pack(partition, part, ids, texts, extra)
 
     others = [F.col(c).alias(f"_{c}") for c in docs.columns if c != text_col] if carry else []
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *others).mapInArrow(pack, BLOCKS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *others).mapInArrow(tidy(pack), BLOCKS)
 
 
 SCHEMA = pa.schema(

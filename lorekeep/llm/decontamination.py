@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import tidy
+
 #: Edits allowed for a character of an item.
 ERRORS = 0.06
 #: Text of the items of one pass.
@@ -155,7 +157,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, errors: float = ERRORS, id_col
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(tidy(run), schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -172,7 +174,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> Dat
                 clean = [next(matcher.find(normal(t)), None) is None for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import Words, chunks, squeeze, expand, sums_by_text
+from lorekeep.llm.common import Words, chunks, expand, squeeze, sums_by_text, tidy, tidy_group
 
 #: Slots of the hashed n-grams.
 SLOTS = 1 << 17
@@ -76,11 +76,11 @@ def slot_counts(docs: DataFrame, target: DataFrame, target_rows: int = TARGET_RO
 
     sample = target.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id", F.lit("target")), "doc_id").limit(target_rows)
     flagged = docs.join(F.broadcast(sample.withColumn("chosen", F.lit(True))), "doc_id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))  # target_rows ids at most
-    rows = flagged.mapInArrow(run, "part int, counts binary")
+    rows = flagged.mapInArrow(tidy(run), "part int, counts binary")
     # sums of some tasks first, so that no task gets a part from every other
-    some = rows.withColumn("some", F.floor(F.spark_partition_id() / 64)).groupBy("part", "some").applyInArrow(add, "part int, counts binary")
+    some = rows.withColumn("some", F.floor(F.spark_partition_id() / 64)).groupBy("part", "some").applyInArrow(tidy_group(add), "part int, counts binary")
     total = np.zeros((2, SLOTS), np.int64)
-    for r in some.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+    for r in some.groupBy("part").applyInArrow(tidy_group(add), "part int, counts binary").collect():
         total[:, r.part * PART : (r.part + 1) * PART] = np.frombuffer(expand(r.counts), np.int64).reshape(2, -1)
     return total[0], total[1]
 
@@ -102,7 +102,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*weights, np.zeros(0)]))], names=["doc_id", "log_weight"])
 
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return docs.mapInArrow(run, "doc_id long, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+    return docs.mapInArrow(tidy(run), "doc_id long, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
 
 
 def _split(rest: DataFrame, bins, k: int) -> tuple[DataFrame, DataFrame, int, int]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, Words, bucket_count, chunks, expand, extra_columns, pack_documents, sequence_hash, squeeze
+from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, Words, bucket_count, chunks, expand, extra_columns, pack_documents, sequence_hash, squeeze, tidy, tidy_group
 from lorekeep.llm.components import components
 from lorekeep.llm.suffix_dedup import hash_keys, split_buckets
 
@@ -80,7 +80,7 @@ def _members(blocks: DataFrame, n: int) -> DataFrame:
                     names=["rid", "doc_id", "n_shingles", "signature"],
                 )
 
-    return blocks.mapInArrow(run, "rid long, doc_id long, n_shingles long, signature binary")
+    return blocks.mapInArrow(tidy(run), "rid long, doc_id long, n_shingles long, signature binary")
 
 
 def _frequencies(blocks: DataFrame, n: int, buckets: int) -> DataFrame:
@@ -119,8 +119,8 @@ def _frequencies(blocks: DataFrame, n: int, buckets: int) -> DataFrame:
         cut = np.cumsum([len(h) for h in hashes])[:-1]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array([squeeze(x.tobytes()) for x in np.split(back, cut)], pa.binary())})
 
-    sent = blocks.mapInArrow(send, "bucket long, block long, hashes binary, counts binary")
-    out = sent.groupBy("bucket").applyInArrow(answer, "block long, bucket long, counts binary")
+    sent = blocks.mapInArrow(tidy(send), "bucket long, block long, hashes binary, counts binary")
+    out = sent.groupBy("bucket").applyInArrow(tidy_group(answer), "block long, bucket long, counts binary")
     return out.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("counts"))
 
 
@@ -168,7 +168,7 @@ def _records(blocks: DataFrame, n: int, num: int, den: int, buckets: int) -> Dat
                 if rows:
                     yield _record_batch(rows)
 
-    return blocks.mapInArrow(run, "rid long, size long, matches int, skipped int, prefix array<long>, tokens array<long>")
+    return blocks.mapInArrow(tidy(run), "rid long, size long, matches int, skipped int, prefix array<long>, tokens array<long>")
 
 
 def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -234,7 +234,7 @@ def distinct_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
                 out = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else extra[f"_{c}"].combine_chunks() for c in columns]
                 yield from pa.table(out, names=columns).filter(pa.array(keep)).to_batches(max_chunksize=512)
 
-    return blocks.join(left, "block", "left").mapInArrow(finish, docs.schema)
+    return blocks.join(left, "block", "left").mapInArrow(tidy(finish), docs.schema)
 
 
 def _classes(blocks: DataFrame, work: Scratch, n: int, num: int, den: int, keep_blocks: bool) -> DataFrame:

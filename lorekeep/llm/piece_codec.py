@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import expand, squeeze
+from lorekeep.llm.common import expand, squeeze, tidy
 
 #: The mark for a blank.
 MARK = "▁"
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                     [batch.column(0).slice(a, 128), pa.array([len(x) for x in ids], pa.int64()), pa.array([squeeze(x.tobytes()) for x in ids], pa.binary()), pa.array(back)], names=["doc_id", "n_pieces", "ids", "round_trip"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids binary, round_trip boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids binary, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -165,7 +165,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(np.frombuffer(expand(x), np.uint32)) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
@@ -176,4 +176,4 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
             crc = [zlib.crc32(expand(x)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crc, pa.int64()), batch.column(3)], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
-    return encode(docs, model).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return encode(docs, model).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")

@@ -18,12 +18,14 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import Words, chunks, mix, squeeze, expand, sums_by_text
+from lorekeep.llm.common import Words, chunks, expand, mix, squeeze, sums_by_text, tidy, tidy_group
 
 #: Slots of the hashed features.
 SLOTS = 1 << 20
@@ -130,17 +132,21 @@ def unpack_row(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([np.cumsum(raw[1:cut]), np.cumsum(raw[cut:])]).astype(np.int32), size, np.maximum(size, 1) ** -POWER
 
 
-def keep_common(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-    """Takes slots which fewer than ``LEAST_DOCS`` rows hold out of the rows, in place."""
+def common_rows(packed: Sequence[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows with slots that ``LEAST_DOCS`` of them hold.  Rows are unpacked twice, one at a time, so
+    that the rare slots, most of all, are never in memory together."""
     seen = np.zeros(SLOTS, np.int32)
-    for slots, _, _ in rows:
-        seen[np.unique(slots)] += 1
+    for p in packed:
+        seen[np.unique(unpack_row(p)[0])] += 1
     often = seen >= LEAST_DOCS
-    for i, (slots, size, value) in enumerate(rows):
+    rows = []
+    for p in packed:
+        slots, size, value = unpack_row(p)
         stay = often[slots]
         n = np.count_nonzero(stay[: size[0]])
         slots = slots[stay]
-        rows[i] = slots, np.array([n, len(slots) - n]), value
+        rows.append((slots, np.array([n, len(slots) - n]), value))
+    return rows
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], good: np.ndarray, fold: np.ndarray, rate: float = 0.5, batch: int = 128) -> np.ndarray:
@@ -225,15 +231,13 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = TRAI
         ids = np.array(table["doc_id"].to_pylist(), np.int64)
         order = np.argsort(ids)
         good = np.array([table[h].to_pylist() for h in HEADS], np.float64)[:, order]
-        packed = table["features"]
-        found = [unpack_row(packed[i].as_py()) for i in order.tolist()]
         if (good.min(axis=1) == good.max(axis=1)).all():
             return pa.table({"model": pa.array([], pa.binary())})
         fold = mix(ids[order].astype(np.uint64)) % np.uint64(5) == 0
-        keep_common(found)
-        return pa.table({"model": pa.array([train(found, good, fold).tobytes()], pa.binary())})
+        features = table["features"].take(pa.array(order)).to_pylist()
+        return pa.table({"model": pa.array([train(common_rows(features), good, fold).tobytes()], pa.binary())})
 
-    model = rows.mapInArrow(prepare, "doc_id long, fine int, clean int, features binary, part int").groupBy("part").applyInArrow(fit, "model binary").collect()
+    model = rows.mapInArrow(tidy(prepare), "doc_id long, fine int, clean int, features binary, part int").groupBy("part").applyInArrow(tidy_group(fit), "model binary").collect()
     return np.frombuffer(model[0][0], np.float32).reshape(len(HEADS), -1) if model else None
 
 
@@ -272,7 +276,7 @@ def score(docs: DataFrame, model: np.ndarray | None, least: tuple[float, ...] =
                 done += len(texts)
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, p_fine double, p_clean double"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, least: tuple[float, ...] = LEAST_PROBABILITY) -> DataFrame:
@@ -289,4 +293,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame, least: tuple[float, ...
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

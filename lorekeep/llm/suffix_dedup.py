@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, bucket_count, chunks, expand, extra_columns, mix, pack_documents, squeeze
+from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, bucket_count, chunks, expand, extra_columns, mix, pack_documents, squeeze, tidy, tidy_group
 
 #: Bytes to which multikey quicksort orders suffixes before blind tries take over.
 SHALLOW = 24
@@ -174,8 +174,8 @@ def repeated_flags(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
         both = zip(np.split(hit, cut), np.split(hit & hot, cut), strict=True)
         return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": pa.array([np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in both], pa.binary()), "n": pa.array([len(h) for h in hashes], pa.int64())})
 
-    sent = blocks.mapInArrow(send, "bucket long, block long, hashes binary, several binary, contexts binary")
-    flags = sent.groupBy("bucket").applyInArrow(answer, "block long, bucket long, flags binary, n long")
+    sent = blocks.mapInArrow(tidy(send), "bucket long, block long, hashes binary, several binary, contexts binary")
+    flags = sent.groupBy("bucket").applyInArrow(tidy_group(answer), "block long, bucket long, flags binary, n long")
     return flags.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "flags"))).alias("flags"))
 
 
@@ -287,6 +287,21 @@ def equal_suffixes(data: bytes, starts: np.ndarray, length: int, shallow: int =
 _BIG = np.iinfo(np.int64).max
 
 
+def _cut_in_block(data: bytes, off: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether an equal context of a smaller document stands in the block; contexts are told apart by a
+    hash first and then byte by byte."""
+    kind = np.fromiter((hash((o, data[x:y])) for o, x, y in zip(off.tolist(), a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
+    order = np.lexsort((ids, kind))
+    new = np.ones(len(order), bool)
+    new[1:] = kind[order[1:]] != kind[order[:-1]]
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    cut = np.zeros(len(order), bool)
+    more = ids[order] > ids[head]
+    for i, h in zip(order[more].tolist(), head[more].tolist(), strict=True):
+        cut[i] = off[i] == off[h] and data[a[i] : b[i]] == data[a[h] : b[h]]
+    return cut
+
+
 def _contexts(blocks: DataFrame, flags: DataFrame, length: int, buckets: int) -> DataFrame:
     """(bucket, block, contexts, cuts, windows): contexts and windows to compare and what a block cuts by itself."""
 
@@ -305,22 +320,14 @@ def _contexts(blocks: DataFrame, flags: DataFrame, length: int, buckets: int) ->
                 off = place[hit] - first[hit]
                 ids = np.where(block.nulls, _BIG, block.ids)[doc[hit]]
                 data = block.data
-                a, b = first[hit].tolist(), (last[hit] + length).tolist()
-                context = [data[x:y] for x, y in zip(a, b, strict=True)]
-                # of equal contexts the block keeps the smallest document's
-                best: dict[tuple[int, bytes], int] = {}
-                for key, i in zip(zip(off.tolist(), context, strict=True), ids.tolist(), strict=True):
-                    old = best.get(key)
-                    if old is None or i < old:
-                        best[key] = i
-                least = np.array([best[k] for k in zip(off.tolist(), context, strict=True)], np.int64)
-                cut = ids > least
+                a, b = first[hit], last[hit] + length
+                cut = _cut_in_block(data, off, a, b, ids)
                 send_on = np.flatnonzero(~cut & ~hot)
                 order = send_on[np.argsort(bucket[send_on], kind="stable")]
                 rows = []
                 for bk, s in split_buckets(bucket[order].astype(np.uint64) << np.uint64(32)):
                     at = order[s]
-                    rows.append((bk, _pack_contexts(first[hit][at], off[at], ids[at], [context[i] for i in at.tolist()]), None, None))
+                    rows.append((bk, _pack_contexts(a[at], off[at], ids[at], [data[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]), None, None))
                 if cut.any():
                     rows.append((block.block % buckets, None, np.stack([first[hit][cut], last[hit][cut]]).astype(np.int64).tobytes(), None))
                 of = np.flatnonzero(~cut & hot)
@@ -331,7 +338,7 @@ def _contexts(blocks: DataFrame, flags: DataFrame, length: int, buckets: int) ->
                     names=["bucket", "block", "contexts", "cuts", "windows"],
                 )
 
-    return blocks.join(flags, "block", "left").mapInArrow(send, "bucket long, block long, contexts binary, cuts binary, windows binary")
+    return blocks.join(flags, "block", "left").mapInArrow(tidy(send), "bucket long, block long, contexts binary, cuts binary, windows binary")
 
 
 def _equal_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -529,10 +536,10 @@ def spans(cuts: list[bytes], length: int) -> np.ndarray:
 
 def _cuts(blocks: DataFrame, work: Scratch, length: int) -> DataFrame:
     """(block, cuts) of the blocks with something to remove."""
-    buckets = bucket_count(blocks)
+    buckets = 2 * bucket_count(blocks)  # contexts take several times their bytes in a task
     texts = blocks.drop("extra")
     flags = work.write(repeated_flags(texts, length, buckets), "flags")
-    compared = _contexts(texts, flags, length, buckets).groupBy("bucket").applyInArrow(_compare(length), "block long, cuts binary")
+    compared = _contexts(texts, flags, length, buckets).groupBy("bucket").applyInArrow(tidy_group(_compare(length)), "block long, cuts binary")
     cuts = work.write(compared.groupBy("block").agg(F.collect_list("cuts").alias("cuts")), "cuts")
     work.drop("flags")
     return cuts
@@ -584,7 +591,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                         names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
                     )
 
-    return blocks.drop("extra").join(cuts, "block", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
+    return blocks.drop("extra").join(cuts, "block", "left").mapInArrow(tidy(finish), "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
 
 
 def cut_documents(docs: DataFrame, length: int = 50, size_col: str = "n_chars") -> DataFrame:
@@ -617,7 +624,7 @@ def cut_documents(docs: DataFrame, length: int = 50, size_col: str = "n_chars")
                 table = pa.table(out, names=columns).filter(keep)
                 yield from table.to_batches(max_chunksize=512)
 
-    return blocks.join(cuts, "block", "left").mapInArrow(finish, docs.schema)
+    return blocks.join(cuts, "block", "left").mapInArrow(tidy(finish), docs.schema)
 
 
 SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))

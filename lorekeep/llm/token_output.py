@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import Scratch, expand, squeeze
+from lorekeep.llm.common import Scratch, expand, squeeze, tidy
 
 MAGIC = b"FVB1"
 #: Tokens of a file.
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "d
                 yield _encoded(ids.slice(a, 64), [len(x) for x in found], crc, [_squeeze_ids(x) for x in found], [None] * len(found))
         yield _encoded([None], [None], [None], [None], [squeeze(total.tobytes())])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, ids binary, counts binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_crc32 long, ids binary, counts binary")
 
 
 def _encoded(doc_id, n_tokens: list, crc: list, ids: list, counts: list) -> pa.RecordBatch:
@@ -192,7 +192,7 @@ def token_counts(encoded: DataFrame) -> DataFrame:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
-    return encoded.select("counts").where("counts IS NOT NULL").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return encoded.select("counts").where("counts IS NOT NULL").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def frequency_ranks(encoded: DataFrame) -> np.ndarray:
@@ -315,7 +315,7 @@ def write_files(encoded: DataFrame, ranks: np.ndarray, folder: str, file_tokens:
 
     order = F.col("doc_id").asc_nulls_first(), F.col("ids_crc32")
     dealt = encoded.where("counts IS NULL").select("doc_id", "ids", "ids_crc32").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "part long, piece long, n_docs long, n_tokens long")
+    return dealt.mapInArrow(tidy(run), "part long, piece long, n_docs long, n_tokens long")
 
 
 def read_files(spark: SparkSession, folder: str, index: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -343,7 +343,7 @@ def read_files(spark: SparkSession, folder: str, index: DataFrame, ranks: np.nda
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fvb").load(folder)
-    found = files.select("path", "content").mapInArrow(run, "part long, piece long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    found = files.select("path", "content").mapInArrow(tidy(run), "part long, piece long, doc_id long, at long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     base = index.select("part", "piece", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     return found.join(base, ["part", "piece"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
