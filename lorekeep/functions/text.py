@@ -128,8 +128,25 @@ def search_terms(query: str) -> list[str]:
 
 def matches_all_terms(text: Column, terms: list[str]) -> Column:
     """Every term is a word of the text; without terms nothing matches."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    low = F.lower(text)
     found = F.lit(bool(terms))
-    for t in terms:
-        found = found & F.array_contains(words, t)
+    for t in terms:  # terms are letters and digits only
+        found = found & low.rlike(f"(?<![a-z0-9]){t}(?![a-z0-9])")
     return found
+
+
+def ordinal_paths(levels: Column) -> Column:
+    """The ordinals of headings in a row, from an array of their levels: "1", "1.1", "1.2" for 1, 2, 2.
+
+    A heading keeps the ordinals above its level, as far as there are any, and counts on from its own.
+    """
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("path"), F.array().cast("array<string>").alias("all"))
+
+    def step(state: Column, level: Column) -> Column:
+        own = F.when(F.size(state["path"]) >= level, F.try_element_at(state["path"], level) + 1).otherwise(1)
+        path = F.concat(F.slice(state["path"], 1, F.greatest(level - 1, F.lit(0))), F.array(own))
+        shown = F.array_join(F.transform(path, lambda x: x.cast("string")), ".")
+        return F.struct(path.alias("path"), F.concat(state["all"], F.array(shown)).alias("all"))
+
+    return F.aggregate(levels, start, step, lambda s: s["all"])

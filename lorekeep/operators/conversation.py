@@ -74,7 +74,8 @@ def walk_order(rows: DataFrame, forward: bool = False) -> DataFrame:
 
 
 def chain_order(rows: DataFrame) -> DataFrame:
-    """(conversation_id, id, idx): the chain that goes to the least child at each step, from 0.
+    """(conversation_id, id, idx, issue): the chain that goes to the least child at each step, from 0; where
+    it would come back to itself a row without a place tells so.
 
     A chain can be as long as a conversation, so a group of ids is followed and no recursive query.
     """
@@ -91,9 +92,27 @@ def chain_order(rows: DataFrame) -> DataFrame:
             seen.add(at)
             chain.append(at)
             at = least.get(at)
-        return pd.DataFrame({"conversation_id": pdf["conversation_id"].iloc[0], "id": chain, "idx": range(len(chain))})
+        frame = pd.DataFrame({"id": chain, "idx": range(len(chain)), "issue": None}, columns=["id", "idx", "issue"]).astype({"idx": "Int64", "issue": object})
+        closed = _cycle(least)
+        if closed is not None:
+            frame.loc[len(frame)] = [closed, pd.NA, f"cycle at node: {closed}"]
+        frame.insert(0, "conversation_id", pdf["conversation_id"].iloc[0])
+        return frame
+
+    return rows.select("conversation_id", "id", "parent").groupBy("conversation_id").applyInPandas(run, "conversation_id string, id string, idx long, issue string")
 
-    return rows.select("conversation_id", "id", "parent").groupBy("conversation_id").applyInPandas(run, "conversation_id string, id string, idx long")
+
+def _cycle(least: dict) -> str | None:
+    """A node to which the steps to the least child come back; every node is passed once."""
+    came: dict = {}
+    for start in sorted(least):
+        at = start
+        while at is not None and at not in came:
+            came[at] = start
+            at = least.get(at)
+        if at is not None and came[at] == start:
+            return at
+    return None
 
 
 def orphans(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ The message stands where its end row stands, with the timing of its first step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,22 +38,27 @@ def segmented(walk: DataFrame) -> DataFrame:
 def fold_messages(walk: DataFrame) -> DataFrame:
     """(conv_id, seq, pos, kind, text, n_steps, steps, first_pos) of each message, seq from 1.
 
-    One shuffle by conversation; a conversation's rows are sorted once for both windows.
+    One shuffle by conversation; a turn is put together once, in proportion to its length.
     """
     rows = segmented(walk)
     is_end = (F.col("role") == "assistant") & F.col("end_turn")
     is_step = (F.col("role") == "assistant") & ~F.col("end_turn") & F.col("content_type").isin(STEPS)
-    turn = Window.partitionBy("conv_id", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    steps = F.collect_list(F.when(is_step, F.struct("pos", "content_type", F.array_join("parts", PART).alias("text")))).over(turn)
     alone = ((F.col("role") == "user") & (F.col("content_type") == "text")) | F.col("role").isin("system", "tool")
-    found = rows.withColumn("steps", steps).where(is_end | alone)
-    empty = F.slice("steps", 1, 0)
     text = (
         F.when(F.col("role") == "assistant", response_text(F.col("content_type"), F.col("parts")))
         .when(F.col("role") == "user", F.array_join("parts", PART))
         .otherwise(F.concat(F.lit("contents="), F.col("content_type")))
     )
-    found = found.select("conv_id", "pos", F.col("role").alias("kind"), text.alias("text"), F.when(is_end, F.col("steps")).otherwise(empty).alias("steps"))
+    message = F.struct("pos", F.col("role").alias("kind"), text.alias("text"))
+    # a turn's steps are collected once, and only the message that ends it takes them
+    turns = rows.groupBy("conv_id", "segment").agg(
+        F.array_sort(F.collect_list(F.when(is_step, F.struct("pos", "content_type", F.array_join("parts", PART).alias("text"))))).alias("steps"),
+        F.collect_list(F.when(alone, message)).alias("alone"),
+        F.collect_list(F.when(is_end, message)).alias("ends"),
+    )
+    told = lambda m, steps: F.struct(m["pos"].alias("pos"), m["kind"].alias("kind"), m["text"].alias("text"), steps.alias("steps"))
+    empty = F.slice("steps", 1, 0)
+    found = turns.select("conv_id", F.explode(F.concat(F.transform("alone", lambda m: told(m, empty)), F.transform("ends", lambda m: told(m, F.col("steps"))))).alias("m")).select("conv_id", "m.*")
     first = F.when(F.size("steps") > 0, F.col("steps")[0]["pos"]).otherwise(F.col("pos"))
     seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("pos"))
     return found.select("conv_id", seq.alias("seq"), "pos", "kind", "text", F.size("steps").alias("n_steps"), "steps", first.alias("first_pos"))
@@ -111,6 +118,85 @@ def elm_items(messages: DataFrame) -> DataFrame:
     return messages.where("kind IN ('user', 'assistant')").select("conv_id", "seq", F.when(F.col("kind") == "user", question).otherwise(answer).alias("item"))
 
 
+# Stored discussions -----------------------------------------------------------------------------
+
+#: Kinds of messages with a table of their own for their text.
+PLAIN = ("user", "system", "tool", "unknown")
+
+
+def to_tables(messages: DataFrame, titles: DataFrame) -> dict[str, DataFrame]:
+    """Discussions as tables: titles (conv_id, title); messages as ``fold_messages`` gives them.
+
+    Messages and steps are numbered from 1; keys are "conversation/message" and "conversation/message/step".
+    """
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("seq").cast("string"))
+    rows = messages.withColumn("message_key", key).withColumn("kind", F.when(F.col("kind").isin("assistant", *PLAIN), F.col("kind")).otherwise(F.lit("unknown")))
+    tables = {"discussion": titles.select("conv_id", "title"), "message": rows.select("message_key", "conv_id", "seq", "kind", "pos", "first_pos")}
+    for kind in PLAIN:
+        tables[f"{kind}_message"] = rows.where(F.col("kind") == kind).select("message_key", "text")
+    answers = rows.where("kind = 'assistant'")
+    tables["assistant_message"] = answers.select("message_key", F.col("message_key").alias("response_key"))
+    tables["response"] = answers.select(F.col("message_key").alias("response_key"), "text")
+    steps = answers.select("message_key", F.posexplode("steps").alias("i", "s")).select("message_key", (F.col("i") + 1).alias("seq"), "s.*").withColumn("step_key", F.concat_ws("/", "message_key", F.col("seq").cast("string")))
+    kind = F.when(F.col("content_type") == "code", "code").when(F.col("content_type") == "thoughts", "reflection").otherwise("intermediate")
+    steps = steps.withColumn("kind", kind)
+    tables["step"] = steps.select("step_key", "message_key", "seq", "kind", "pos", F.when(F.col("kind") == "intermediate", F.col("text")).alias("text"))
+    tables["code"] = steps.where("kind = 'code'").select("step_key", "text")
+    tables["reflection"] = steps.where("kind = 'reflection'").select("step_key", F.col("text").alias("content"))
+    return tables
+
+
+def from_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """(conv_id, seq, pos, kind, text, n_steps, steps, first_pos, error) of stored discussions; a message or
+    step whose payload is missing has an error."""
+    rows = tables["message"]
+    for kind in PLAIN:
+        rows = rows.join(tables[f"{kind}_message"].withColumnRenamed("text", f"{kind}_text"), "message_key", "left")
+    answers = tables["assistant_message"].join(tables["response"], "response_key", "left").select("message_key", F.col("text").alias("answer"))
+    rows = rows.join(answers, "message_key", "left")
+    text = F.when(F.col("kind") == "assistant", F.col("answer"))
+    for kind in PLAIN:
+        text = text.when(F.col("kind") == kind, F.col(f"{kind}_text"))
+    steps = tables["step"].join(tables["code"].withColumnRenamed("text", "code"), "step_key", "left").join(tables["reflection"], "step_key", "left")
+    payload = F.when(F.col("kind") == "code", F.col("code")).when(F.col("kind") == "reflection", F.col("content")).otherwise(F.col("text"))
+    named = F.when(F.col("kind") == "reflection", "thoughts").when(F.col("kind") == "intermediate", "text").otherwise(F.col("kind"))
+    lists = steps.groupBy("message_key").agg(F.array_sort(F.collect_list(F.struct("seq", "pos", named.alias("content_type"), payload.alias("text")))).alias("steps"))
+    lists = lists.withColumn("steps", F.transform("steps", lambda s: F.struct(s["pos"].alias("pos"), s["content_type"].alias("content_type"), s["text"].alias("text"))))
+    rows = rows.join(lists, "message_key", "left").withColumn("text", text)
+    rows = rows.withColumn("steps", F.coalesce("steps", F.array().cast(lists.schema["steps"].dataType)))
+    lost = F.exists("steps", lambda s: s["text"].isNull())
+    error = F.when(F.col("text").isNull(), F.concat(F.lit("no payload of message "), "message_key")).when(lost, F.concat(F.lit("no payload of a step of "), "message_key"))
+    return rows.select("conv_id", "seq", "pos", "kind", "text", F.size("steps").alias("n_steps"), "steps", "first_pos", error.alias("error"))
+
+
+def labelled(messages: DataFrame, stored: DataFrame) -> DataFrame:
+    """messages with label: the stored one (conv_id, seq, label), else one made from the text."""
+    from lorekeep.functions.text import fallback_one_line
+
+    kept = stored.select("conv_id", "seq", F.col("label").alias("_label"))
+    return messages.join(kept, ["conv_id", "seq"], "left").withColumn("label", F.coalesce("_label", fallback_one_line(F.col("text")))).drop("_label")
+
+
+def generate_labels(messages: DataFrame, label: Callable[[str], str]) -> DataFrame:
+    """(conv_id, seq, label, error) by a function from text to label, such as a call of a service: an
+    exception becomes the row's error.  The function runs in the tasks, text by text."""
+
+    def run(frames):
+        for frame in frames:
+            labels, errors = [], []
+            for text in frame["text"]:
+                try:
+                    labels.append(label(text))
+                    errors.append(None)
+                except Exception as e:  # whatever a service's client raises
+                    labels.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"conv_id": frame["conv_id"], "seq": frame["seq"], "label": labels, "error": errors})
+
+    kind = messages.schema["conv_id"].dataType.simpleString()
+    return messages.select("conv_id", "seq", "text").mapInPandas(run, f"conv_id {kind}, seq int, label string, error string")
+
+
 def document_rows(messages: DataFrame) -> DataFrame:
     """(conv_id, seq, place, style, text): the blocks of a discussion's document; system and tool stay out."""
     from lorekeep.functions.text import fallback_one_line

@@ -51,3 +51,45 @@ def last_wins(rows: DataFrame, key: str, position: str) -> DataFrame:
 def next_number(rows: DataFrame, column: str, before_first: int = 0) -> DataFrame:
     """One row: the largest number so far, or before_first, and one."""
     return rows.agg((F.coalesce(F.max(column), F.lit(before_first)) + 1).alias("next"))
+
+
+def flow_counts(docs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """(a, b, n): documents by the codes of two dimensions (key, code).  Documents are counted by their keys
+    first, so that the joins see a row for each pair of keys; one without a dimension's row is not counted."""
+    counted = docs.groupBy(left_key, right_key).agg(F.count("*").alias("n"))
+    a = left.select(F.col("key").alias(left_key), F.col("code").alias("a"))
+    b = right.select(F.col("key").alias(right_key), F.col("code").alias("b"))
+    return counted.join(a, left_key).join(b, right_key).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def as_map(rows: DataFrame, group: str, key: str, value: str, order: str) -> DataFrame:
+    """(group, map): for each group a map from key to the value that comes last in the given order."""
+    last = rows.where(F.col(key).isNotNull()).groupBy(group, key).agg(F.max_by(value, order).alias("_v"))
+    return last.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("_v").alias("value"))))).alias("map"))
+
+
+def outcome(rows: DataFrame, group: str, infra: str, logic: str) -> DataFrame:
+    """rows that tell a group's outcome, with outcome: its infrastructure errors if there is one, else its
+    logical errors, else the results."""
+    rank = F.when(F.col(infra).isNotNull(), 0).when(F.col(logic).isNotNull(), 1).otherwise(2)
+    ranked = rows.withColumn("_rank", rank)
+    worst = ranked.groupBy(group).agg(F.min("_rank").alias("_rank"))
+    names = F.element_at(F.array(F.lit("infrastructure"), F.lit("logic"), F.lit("result")), F.col("_rank") + 1)
+    return ranked.join(worst, [group, "_rank"]).withColumn("outcome", names).drop("_rank")
+
+
+def lifecycle(docs: DataFrame, stages: DataFrame) -> DataFrame:
+    """docs (status) with the index of their status in the lifecycle (status, stage); null without one."""
+    return docs.join(stages.select("status", "stage"), "status", "left")
+
+
+def targets(docs: DataFrame, ids: DataFrame | None = None, members: DataFrame | None = None, label: str | None = None, default_all: bool = False) -> DataFrame:
+    """docs (uid) chosen by ids (uid) or by the label of a group of members (uid, label).  Neither is an
+    error, unless default_all says that all are meant."""
+    if ids is not None:
+        return docs.join(ids.select("uid"), "uid", "left_semi")
+    if members is not None and label is not None:
+        return docs.join(members.where(F.col("label") == label).select("uid"), "uid", "left_semi")
+    if default_all:
+        return docs
+    raise ValueError("give ids, or a group's label")

@@ -1,13 +1,15 @@
 """Ordered trees of blocks with validity: walks, snapshots, positions and changes.
 
 Blocks: uid, parent (null for a root), seq_pos DECIMAL(38,10), content, valid_from, valid_to.
-Walks go level by level, one join for each; the depth of a document tree bounds their number.
+Walks go level by level, one join and one written table for each, until a level is empty.
+
+What changes blocks gives the new blocks; ``change_events`` tells what was done to each of them.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,53 +30,63 @@ def snapshot(blocks: DataFrame, seq: int) -> DataFrame:
     return as_of(blocks, seq).orderBy(F.asc_nulls_first("parent"), "seq_pos")
 
 
-def depth_first(blocks: DataFrame, seq: int, start: str | None = None, max_depth: int = 32) -> DataFrame:
-    """(depth, uid, parent, content, seq_pos, has_more, path) of the live blocks below start, or from the
-    roots on; sorting by path gives the depth-first order.  has_more: children lie below max_depth."""
-    live = as_of(blocks, seq).select("uid", "parent", "content", "seq_pos")
-    parents = live.where("parent IS NOT NULL").select(F.col("parent").alias("has_child")).distinct()
-    first = live.where(F.col("parent").isNull() if start is None else F.col("parent") == start)
-    level = first.select(F.lit(1).alias("depth"), "uid", "parent", "content", "seq_pos", F.array(F.col("seq_pos").cast(KEY)).alias("path"))
-    levels = [level]
-    for depth in range(2, max_depth + 1):
-        up = levels[-1].select(F.col("uid").alias("parent"), F.col("path").alias("up"))
-        level = live.join(up, "parent").select(F.lit(depth).alias("depth"), "uid", "parent", "content", "seq_pos", F.concat("up", F.array(F.col("seq_pos").cast(KEY))).alias("path"))
-        levels.append(level)
-    rows = reduce(DataFrame.union, levels)
-    more = (F.col("depth") == max_depth) & F.col("has_child").isNotNull()
-    return rows.join(parents, rows.uid == parents.has_child, "left").withColumn("has_more", more).drop("has_child")
-
-
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of the cluster; beside the warehouse if that is unset."""
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder of the cluster; in the warehouse if that is unset."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{shared.rstrip('/')}/taxonomy-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def taxonomy(nodes: DataFrame) -> DataFrame:
-    """(uid, parent, depth) from the roots on, for any depth and any number of nodes: each level is joined
-    to the one before and written, until one is empty.  A walk deeper than there are nodes is in a cycle."""
-    spark = nodes.sparkSession
-    root = _scratch(spark)
-
-    def write(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{root}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
-
-    nodes = write(nodes.select("uid", "parent"), "nodes")
-    below = nodes.where("parent IS NOT NULL")
-    total, depth = nodes.count(), 1
-    level = write(nodes.where("parent IS NULL").select("uid", "parent", F.lit(1).alias("depth")), "level-1")
+def _by_levels(spark: SparkSession, first: DataFrame, below: Callable[[DataFrame, int], DataFrame], name: str, most: int | None, limit: int) -> DataFrame:
+    """The union of first and the levels below it, each made from the one before.
+
+    Every level is written, so a walk of n levels has n joins and lost executors cost one level; it ends at
+    the first empty level or after ``most``.  More than ``limit`` levels mean a cycle.
+    """
+    root = _scratch(spark, name)
+
+    def write(rows: DataFrame, depth: int) -> DataFrame:
+        rows.write.parquet(f"{root}/level-{depth}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/level-{depth}")
+
+    depth, level = 1, write(first, 1)
     schema = level.schema
-    while not level.isEmpty():
+    while (most is None or depth < most) and not level.isEmpty():
         depth += 1
-        if depth > total + 1:
+        if depth > limit + 1:
             raise ValueError("a node stands below itself")
-        up = level.select(F.col("uid").alias("parent"))
-        level = write(below.join(up, "parent").select("uid", "parent", F.lit(depth).alias("depth")), f"level-{depth}")
+        level = write(below(level, depth), depth)
     return spark.read.schema(schema).parquet(*[f"{root}/level-{k}" for k in range(1, depth + 1)])
 
 
+def depth_first(blocks: DataFrame, seq: int, start: str | None = None, max_depth: int | None = None) -> DataFrame:
+    """(depth, uid, parent, content, seq_pos, has_more, path) of the live blocks below start, or from the
+    roots on; sorting by path gives the depth-first order.  has_more: children lie below max_depth."""
+    spark = blocks.sparkSession
+    live = as_of(blocks, seq).select("uid", "parent", "content", "seq_pos")
+    first = live.where(F.col("parent").isNull() if start is None else F.col("parent") == start)
+    first = first.select(F.lit(1).alias("depth"), "uid", "parent", "content", "seq_pos", F.array(F.col("seq_pos").cast(KEY)).alias("path"))
+
+    def below(level: DataFrame, depth: int) -> DataFrame:
+        up = level.select(F.col("uid").alias("parent"), F.col("path").alias("up"))
+        return live.join(up, "parent").select(F.lit(depth).alias("depth"), "uid", "parent", "content", "seq_pos", F.concat("up", F.array(F.col("seq_pos").cast(KEY))).alias("path"))
+
+    rows = _by_levels(spark, first, below, "walk", max_depth, live.count() if max_depth is None else max_depth)
+    if max_depth is None:
+        return rows.withColumn("has_more", F.lit(False))
+    parents = live.where("parent IS NOT NULL").select(F.col("parent").alias("has_child")).distinct()
+    cut = rows.where(F.col("depth") == max_depth).join(parents, F.col("uid") == F.col("has_child"), "left").withColumn("has_more", F.col("has_child").isNotNull()).drop("has_child")
+    return rows.where(F.col("depth") < max_depth).withColumn("has_more", F.lit(False)).unionByName(cut)
+
+
+def taxonomy(nodes: DataFrame) -> DataFrame:
+    """(uid, parent, depth) from the roots on, for any depth and any number of nodes."""
+    known = nodes.select("uid", "parent")
+    tied = known.where("parent IS NOT NULL")
+    first = known.where("parent IS NULL").select("uid", "parent", F.lit(1).alias("depth"))
+    below = lambda level, depth: tied.join(level.select(F.col("uid").alias("parent")), "parent").select("uid", "parent", F.lit(depth).alias("depth"))
+    return _by_levels(nodes.sparkSession, first, below, "taxonomy", None, known.count())
+
+
 def resequenced(blocks: DataFrame, step: int = 10000) -> DataFrame:
     """Siblings at step, 2 * step..; retired rows count too."""
     order = Window.partitionBy("parent").orderBy("seq_pos", "uid")
@@ -109,6 +121,53 @@ def move(blocks: DataFrame, moves: DataFrame, seq: int) -> DataFrame:
     return old.unionByName(fresh)
 
 
+def first_root(blocks: DataFrame) -> DataFrame:
+    """(doc, uid) of each document's first live root."""
+    roots = blocks.where("parent IS NULL AND valid_to IS NULL")
+    return roots.groupBy("doc").agg(F.min_by("uid", F.struct("seq_pos", "uid")).alias("uid"))
+
+
+def last_children(blocks: DataFrame) -> DataFrame:
+    """(parent, uid) of the last live child of each parent; of the roots with a null parent."""
+    return blocks.where("valid_to IS NULL").groupBy("parent").agg(F.max_by("uid", F.struct("seq_pos", "uid")).alias("uid"))
+
+
+def missing_roots(docs: DataFrame, blocks: DataFrame, seq: int) -> DataFrame:
+    """A root block for each document (doc) that has no live one."""
+    rootless = docs.select("doc").distinct().join(first_root(blocks), "doc", "left_anti")
+    none = F.lit(None).cast("string")
+    return rootless.select(F.concat(F.col("doc").cast("string"), F.lit("#root")).alias("uid"), none.alias("parent"), "doc", F.lit(1_000_000).cast(KEY).alias("seq_pos"), F.lit("document").alias("kind"), F.lit("TEST DOC").alias("content"), F.lit(seq).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
+
+
+def appended(blocks: DataFrame, children: DataFrame, seq: int) -> DataFrame:
+    """Blocks for children (uid, parent, place, content) behind the live ones of their parents, 1000 apart in
+    the order of place; a null parent stands for the roots."""
+    last = blocks.where("valid_to IS NULL").groupBy("parent").agg(F.max("seq_pos").alias("last")).withColumnRenamed("parent", "of")
+    order = Window.partitionBy("parent").orderBy("place", "uid")
+    rows = children.withColumn("n", F.row_number().over(order)).join(last, F.col("parent").eqNullSafe(F.col("of")), "left")
+    pos = (F.coalesce("last", F.lit(0)) + F.col("n") * 1000).cast(KEY)
+    return rows.select("uid", "parent", pos.alias("seq_pos"), "content", F.lit(seq).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
+
+
+def change_events(before: DataFrame, after: DataFrame, actor: int) -> DataFrame:
+    """(uid, event_type, event_data, actor): inserts and deletions that lead from one state of blocks to the next."""
+    old = before.select("uid", F.col("valid_to").alias("old_to"), F.lit(True).alias("known"))
+    rows = after.join(old, "uid", "left")
+    inserted, ended = F.col("known").isNull(), F.col("old_to").isNull() & F.col("valid_to").isNotNull()
+    data = F.when(inserted, F.to_json(F.struct(F.col("valid_from").alias("sequence"), "parent", "seq_pos"))).otherwise(F.to_json(F.struct(F.col("valid_to").alias("sequence"))))
+    return rows.where(inserted | ended).select("uid", F.when(inserted, "insert").otherwise("delete").alias("event_type"), data.alias("event_data"), F.lit(actor).alias("actor"))
+
+
+def stamped(labels: DataFrame, docs: DataFrame, label: str, seq: int) -> DataFrame:
+    """labels (doc, label, seq) with a label for each of docs at this sequence number."""
+    return labels.select("doc", "label", "seq").unionByName(docs.select("doc", F.lit(label).alias("label"), F.lit(seq).cast("long").alias("seq")))
+
+
+def block_stats(blocks: DataFrame, doc: str) -> DataFrame:
+    """(doc, n_blocks, kinds): how many blocks each document has, and their kinds in order."""
+    return blocks.groupBy(doc).agg(F.count("*").alias("n_blocks"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
 def preorder(rows: DataFrame, doc: str, path: str) -> DataFrame:
     """rows with uid 1..n in the order of their paths within a document."""
     return rows.withColumn("uid", F.row_number().over(Window.partitionBy(doc).orderBy(path)))

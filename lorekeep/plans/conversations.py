@@ -71,7 +71,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, conv_id || ':' || lpad(CAST(turn AS VARCHAR), 6, '0') AS id, turn AS idx FROM conversations")
 def chain_order(spark: SparkSession, d: str) -> DataFrame:
-    return conversation.chain_order(_nodes(spark, d))
+    return conversation.chain_order(_nodes(spark, d)).select("conversation_id", "id", "idx")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, conv_id || ':' || lpad(CAST(turn AS VARCHAR), 6, '0') AS id, turn + 1 AS pos, CAST(turn + 1 AS INTEGER) AS depth FROM conversations")

@@ -26,14 +26,10 @@ def list_docs_filtered(spark: SparkSession, d: str) -> DataFrame:
     return listing.list_documents(documents(spark, d), tier="en", status="1").select("uid", "title", "domain", "tier", "status")
 
 
-@query(f"""WITH {DOCUMENTS_SQL} SELECT uid, title FROM document WHERE NOT deleted AND (title ILIKE '%licensed%'
+@query(f"""WITH {DOCUMENTS_SQL} SELECT uid, title FROM document WHERE NOT deleted AND (title ILIKE '%the license version%'
   OR (list_contains(regexp_extract_all(lower(content), '[a-z0-9]+'), 'license') AND list_contains(regexp_extract_all(lower(content), '[a-z0-9]+'), 'version')))""")
 def fts_match(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d)
-    from lorekeep.functions import text as tx
-
-    hit = F.col("title").ilike("%licensed%") | tx.matches_all_terms(F.col("content"), tx.search_terms("the license version"))
-    return docs.where(~F.col("deleted") & hit).select("uid", "title")
+    return listing.list_documents(documents(spark, d), query="the license version").select("uid", "title")
 
 
 @query("SELECT c_custkey AS uid, c_name AS name, n_name AS organisation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 3")
@@ -71,16 +67,15 @@ def doc_star(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_LATEST} SELECT o_orderkey AS doc, o_orderpriority AS title, version_no, state FROM orders LEFT JOIN latest ON doc = o_orderkey WHERE o_custkey % 10 = 3")
+@query(f"WITH {_LATEST} SELECT o_orderkey AS doc, o_orderpriority AS title, version_no, state FROM orders LEFT JOIN latest ON doc = o_orderkey")
 def doc_detail(spark: SparkSession, d: str) -> DataFrame:
-    some = table(spark, d, "orders").where("o_custkey % 10 = 3")
-    return some.join(_latest(spark, d), F.col("doc") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("title"), "version_no", "state")
+    return table(spark, d, "orders").join(_latest(spark, d), F.col("doc") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("title"), "version_no", "state")
 
 
 @query(f"WITH {_LATEST} SELECT o_orderkey AS doc, o_orderpriority AS title, version_no, state FROM orders LEFT JOIN latest ON doc = o_orderkey")
 def doc_detail_all(spark: SparkSession, d: str) -> DataFrame:
-    """The detail of every document; doc_detail and its SQL keep a tenth."""
-    return table(spark, d, "orders").join(_latest(spark, d), F.col("doc") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("title"), "version_no", "state")
+    """Another name of doc_detail."""
+    return doc_detail(spark, d)
 
 
 def _counts(spark: SparkSession, d: str, *by: str) -> DataFrame:
@@ -117,8 +112,8 @@ def next_version(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {DOCUMENTS_SQL} SELECT uid, title, domain, CASE status WHEN 'unrated' THEN 0 WHEN '0' THEN 1 ELSE 2 END AS stage FROM document WHERE NOT deleted""")
 def constellation(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents(spark, d).where(~F.col("deleted"))
-    return rows.select("uid", "title", "domain", F.when(F.col("status") == "unrated", 0).when(F.col("status") == "0", 1).otherwise(2).alias("stage"))
+    stages = spark.sql("SELECT * FROM VALUES ('unrated', 0), ('0', 1), ('1', 2) AS s(status, stage)")
+    return listing.lifecycle(documents(spark, d).where(~F.col("deleted")), stages).select("uid", "title", "domain", "stage")
 
 
 @query("SELECT o_custkey AS doc, o_orderkey AS comment, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INTEGER) AS place FROM orders")
@@ -214,3 +209,40 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     before = days.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("day").orderBy(*order))
     return rows.withColumn("day", day).withColumn("inner", inner).join(before, "day").withColumn("seq", F.col("before") + F.col("inner")).drop("day", "inner", "before")
+
+
+@query("""WITH c AS (SELECT c_nationkey AS a, c_custkey % 7 AS b, count(*) AS n FROM customer GROUP BY ALL)
+  SELECT n_name AS a, r_name AS b, CAST(sum(n) AS BIGINT) AS n FROM c JOIN nation ON n_nationkey = a JOIN region ON r_regionkey = b GROUP BY ALL""")
+def flow_by_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") % 7).alias("part"))
+    left = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("code"))
+    right = table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("code"))
+    return listing.flow_counts(docs, left, right, "c_nationkey", "part")
+
+
+@query("""WITH l AS (SELECT o_custkey AS cust, o_orderstatus AS s, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS v FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY ALL)
+  SELECT cust, string_agg(s || '=' || v, ',' ORDER BY s) AS shown FROM l GROUP BY cust""")
+def latest_map(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").withColumn("turn", F.struct("o_orderdate", "o_orderkey"))
+    found = listing.as_map(rows, "o_custkey", "o_orderstatus", "o_orderkey", "turn")
+    pairs = F.transform(F.map_entries("map"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.select(F.col("o_custkey").alias("cust"), F.array_join(pairs, ",").alias("shown"))
+
+
+@query("""WITH r AS (SELECT doc_id, source, CASE WHEN n_chars < 20 AND source <> 'src1' THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END AS k FROM documents),
+  w AS (SELECT source, min(k) AS k FROM r GROUP BY source) SELECT doc_id, ['infrastructure', 'logic', 'result'][k + 1] AS outcome FROM r JOIN w USING (source, k)""")
+def result_outcome(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", "source", F.when((F.col("n_chars") < 20) & (F.col("source") != "src1"), "short").alias("infra"), F.when(F.col("lang") == "fr", "lang").alias("logic"))
+    return listing.outcome(rows, "source", "infra", "logic").select("doc_id", "outcome")
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT domain, arg_max(uid, uid) AS uid FROM document WHERE uid <= 500 GROUP BY domain")
+def restriction_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    rows = listing.up_to(documents(spark, d).select("domain", "uid"), "uid", 500).withColumn("place", F.col("uid"))
+    return listing.last_wins(rows, "domain", "place").select("domain", "uid")
+
+
+@query("SELECT o_orderkey AS uid FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
+def targets_by_label(spark: SparkSession, d: str) -> DataFrame:
+    members = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("uid"), F.col("c_mktsegment").alias("label"))
+    return listing.targets(table(spark, d, "orders").select(F.col("o_orderkey").alias("uid")), members=members, label="BUILDING")

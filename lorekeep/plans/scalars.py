@@ -83,10 +83,9 @@ _Q3 = "repeat(chr(34), 3)"
 
 @query(rf"""SELECT page_id, chr(34) || {_ELM.format("html")} || chr(34) AS elm,
   CASE WHEN b = '' THEN repeat(chr(34), 2) WHEN right(b, 1) = chr(34) THEN {_Q3} || b || ' ' || {_Q3} ELSE {_Q3} || b || {_Q3} END AS triple
-  FROM (SELECT page_id, html, replace(replace(substr(html, 1, page_id % 200), '\', '\\'), {_Q3}, repeat('\' || chr(34), 3)) AS b FROM pages)""")
+  FROM (SELECT page_id, html, replace(replace(html, '\', '\\'), {_Q3}, repeat('\' || chr(34), 3)) AS b FROM pages)""")
 def elm_escape(spark: SparkSession, d: str) -> DataFrame:
-    part = F.expr("substr(html, 1, cast(page_id % 200 as int))")
-    return table(spark, d, "pages").select("page_id", tx.elm_string(F.col("html")).alias("elm"), tx.elm_triple(part).alias("triple"))
+    return table(spark, d, "pages").select("page_id", tx.elm_string(F.col("html")).alias("elm"), tx.elm_triple(F.col("html")).alias("triple"))
 
 
 @query(rf"""SELECT page_id, CASE WHEN b = '' THEN repeat(chr(34), 2) WHEN right(b, 1) = chr(34) THEN {_Q3} || b || ' ' || {_Q3} ELSE {_Q3} || b || {_Q3} END AS triple
@@ -112,9 +111,9 @@ _HAS = " OR ".join(f"contains(lower(h), '{m}')" for m in tx.LAYOUT_MARKS)
 
 
 @query(rf"""SELECT page_id, (length(regexp_replace(h, '^\s+|\s+$', '', 'g')) > 180 OR {_HAS}) AS is_complex, (contains(lower(h), '<math') OR contains(lower(h), '</math')) AS has_math, CASE WHEN length(t) <= 80 THEN t ELSE substr(t, 1, 77) || '…' END AS short
-  FROM (SELECT page_id, h, regexp_replace(h, '^\s+|\s+$', '', 'g') AS t FROM (SELECT page_id, substr(html, 1, page_id % 300) AS h FROM pages))""")
+  FROM (SELECT page_id, h, regexp_replace(h, '^\s+|\s+$', '', 'g') AS t FROM (SELECT page_id, html AS h FROM pages))""")
 def html_complex(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "pages").select("page_id", F.expr("substr(html, 1, cast(page_id % 300 as int))").alias("h"))
+    h = table(spark, d, "pages").select("page_id", F.col("html").alias("h"))
     return h.select("page_id", tx.is_complex_html(F.col("h")).alias("is_complex"), tx.has_mathml(F.col("h")).alias("has_math"), tx.truncate_inline(F.col("h")).alias("short"))
 
 
@@ -126,11 +125,13 @@ def html_complex_whole(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tx.is_complex_html(h).alias("is_complex"), tx.has_mathml(h).alias("has_math"), tx.truncate_inline(h).alias("short"))
 
 
-@query("SELECT event_id, make_date(2024, month(ts), least(day(ts), day(last_day(make_date(2024, month(ts), 1))))) AS day FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 AND day(ts) <= 12 THEN make_date(2024, day(ts), month(ts)) ELSE make_date(2024, month(ts), least(day(ts), day(last_day(make_date(2024, month(ts), 1))))) END AS day FROM events")
 def month_day(spark: SparkSession, d: str) -> DataFrame:
-    """Dates written in one of three forms, read back in the year before 2025."""
+    """Dates written in one of four forms, read back in the year before 2025; a day up to 12 before a month
+    reads as a month before a day, as the order of the forms has it."""
     ts = F.col("ts").cast("timestamp")
-    shown = F.when(F.col("event_id") % 3 == 0, F.date_format(ts, "MMM d")).when(F.col("event_id") % 3 == 1, F.date_format(ts, "MMMM d")).otherwise(F.date_format(ts, "MM dd"))
+    form = F.col("event_id") % 4
+    shown = F.when(form == 0, F.date_format(ts, "MMM d")).when(form == 1, F.date_format(ts, "MMMM d")).when(form == 2, F.date_format(ts, "MM dd")).otherwise(F.date_format(ts, "dd MM"))
     return table(spark, d, "events").select("event_id", tx.month_day(shown, "2025-06-01").alias("day"))
 
 

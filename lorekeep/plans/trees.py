@@ -98,3 +98,68 @@ _KIND = "CASE WHEN n % 4 = 3 OR n % 4 = 2 THEN 'list' WHEN n % 8 = 4 THEN 'rule'
 def list_nesting(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "l")).select("doc_id", "n", F.expr(_KIND).alias("kind"))
     return op.list_hosts(blocks, "doc_id", "n")
+
+
+_HEAP_SQL = "node AS (SELECT 'c' || c_custkey AS uid, CASE WHEN c_custkey > 1 THEN 'c' || (c_custkey // 2) END AS parent, c_custkey AS k FROM customer)"
+
+
+def _heap(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a tree in which k // 2 is above k: as deep as the number of its digits in binary."""
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("long")
+    return table(spark, d, "customer").select(F.concat(F.lit("c"), k).alias("uid"), F.when(k > 1, F.concat(F.lit("c"), F.floor(k / 2))).alias("parent"), k.cast("decimal(38,10)").alias("seq_pos"), F.col("c_name").alias("content"), F.lit(0).cast("long").alias("valid_from"), none.alias("valid_to"))
+
+
+@query(f"WITH RECURSIVE {_HEAP_SQL}, w AS (SELECT uid, CAST(1 AS INTEGER) AS depth, CAST(k AS VARCHAR) AS path FROM node WHERE parent IS NULL UNION ALL SELECT n.uid, CAST(depth + 1 AS INTEGER), path || '.' || k FROM node n JOIN w ON n.parent = w.uid) SELECT * FROM w")
+def deep_walk(spark: SparkSession, d: str) -> DataFrame:
+    rows = op.depth_first(_heap(spark, d), 0)
+    return rows.select("uid", "depth", F.array_join(F.transform("path", lambda p: p.cast("long").cast("string")), ".").alias("path"))
+
+
+@query(f"""WITH {TREE_SQL}, last AS (SELECT parent, max(seq_pos) AS last FROM block WHERE valid_to IS NULL GROUP BY parent),
+  child AS (SELECT 'x' || n_nationkey || '-' || i AS uid, CASE WHEN n_nationkey < 20 THEN 'n' || n_nationkey END AS parent, i AS place FROM nation, (VALUES (1), (2)) v(i)),
+  placed AS (SELECT c.*, row_number() OVER (PARTITION BY parent ORDER BY place, uid) AS n FROM child c)
+  SELECT uid, p.parent, CAST(coalesce(last, 0) + n * 1000 AS DECIMAL(38,10)) AS seq_pos FROM placed p LEFT JOIN last l ON l.parent IS NOT DISTINCT FROM p.parent""")
+def append_children(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("place"))
+    rows = n.select(F.concat(F.lit("x"), "n_nationkey", F.lit("-"), "place").alias("uid"), F.when(F.col("n_nationkey") < 20, F.concat(F.lit("n"), "n_nationkey")).alias("parent"), "place", F.lit("new").alias("content"))
+    return op.appended(tree(spark, d), rows, 7).select("uid", "parent", "seq_pos")
+
+
+@query(f"""WITH {TREE_SQL} SELECT uid, 'delete' AS event_type, 6 AS seq FROM block WHERE valid_to IS NULL AND uid LIKE 'c%7' UNION ALL SELECT uid || '-b', 'insert', 6 FROM block WHERE uid LIKE 'c%7'""")
+def change_events(spark: SparkSession, d: str) -> DataFrame:
+    before = tree(spark, d)
+    moves = before.where("uid LIKE 'c%7'").select("uid", F.concat("uid", F.lit("-b")).alias("new_uid"), F.lit("r0").alias("new_parent"), F.lit(1).alias("new_pos"))
+    events = op.change_events(before, op.move(before, moves, 6), 1)
+    return events.select("uid", "event_type", F.get_json_object("event_data", "$.sequence").cast("int").alias("seq"))
+
+
+@query(f"""WITH {TREE_SQL} SELECT parent, arg_max(uid, (seq_pos, uid)) AS uid FROM block WHERE valid_to IS NULL GROUP BY parent""")
+def last_children(spark: SparkSession, d: str) -> DataFrame:
+    return op.last_children(tree(spark, d))
+
+
+@query(f"""WITH b AS (SELECT doc_id, {_KIND} AS kind FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents))
+  SELECT doc_id, count(*) AS n_blocks, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM b GROUP BY doc_id""")
+def block_stats(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "l")).select("doc_id", F.expr(_KIND).alias("kind"))
+    return op.block_stats(blocks, "doc_id")
+
+
+#: A line's level as a heading, from its place and length.
+_LEVEL = "1 + (n * 7 + length(l)) % 4"
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT doc_id, n, l, CAST({_LEVEL} AS INTEGER) AS lv FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents)),
+  w AS (SELECT doc_id, n, l, CAST([] AS INTEGER[]) AS before, [1] AS path FROM h WHERE n = 0
+    UNION ALL SELECT h.doc_id, h.n, h.l, w.path, list_append(w.path[1:h.lv - 1], CASE WHEN len(w.path) >= h.lv THEN w.path[h.lv] + 1 ELSE 1 END) FROM w JOIN h ON h.doc_id = w.doc_id AND h.n = w.n + 1)
+  SELECT doc_id, CAST(n AS INTEGER) AS n, array_to_string(path, '.') AS ordinals, substr(sha256('<docx-bytes>|' || array_to_string(before, '.') || '|' || substr(l, 1, 80)), 1, 12) AS key FROM w""")
+def section_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as headings: their ordinals, and keys from the ordinals before them."""
+    from lorekeep.functions import text as tx
+
+    lines = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    levels = F.transform("lines", lambda l, n: F.expr("1") + (n * 7 + F.length(l)) % 4)
+    rows = lines.withColumn("paths", tx.ordinal_paths(levels.cast("array<int>")))
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("lines", "paths", F.concat(F.array(F.lit("")), F.slice("paths", 1, F.size("paths") - 1)).alias("before"))).alias("n", "h"))
+    return rows.select("doc_id", "n", F.col("h.paths").alias("ordinals"), tx.stable_id(F.lit("<docx-bytes>"), F.col("h.before"), F.col("h.lines")).alias("key"))

@@ -80,3 +80,8 @@ def add_members(members: DataFrame, group: str, items: DataFrame, conversations:
     added = members.unionByName(known.join(members, ["label", "eid"], "left_anti"))
     missing = wanted.join(conversations.select("eid"), "eid", "left_anti")
     return added, missing.select("eid", F.concat(F.lit("conversation not found: "), "eid").alias("error"))
+
+
+def members_of(members: DataFrame, conversations: DataFrame, group: str) -> DataFrame:
+    """The conversations (eid and their other columns) that belong to a group."""
+    return conversations.join(members.where(F.col("label") == group).select("eid").distinct(), "eid", "left_semi")

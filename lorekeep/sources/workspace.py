@@ -1,15 +1,20 @@
 """Workspace pages and blocks from saved API responses (JSON lines of result envelopes).
 
 A live reader is a function that turns a cursor into the next envelope; ``fetch_all`` follows it, so
-that tests and batch jobs need no network.
+that tests and batch jobs need no network.  ``WorkspaceSource`` is that as a Spark data source; blocks
+below blocks are fetched level by level, each level's in parallel.
 """
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 #: The types of blocks that are understood.
 TYPES = ["paragraph", "image", "bulleted_list_item", "numbered_list_item", "divider", "heading_1", "heading_2", "heading_3", "code", "table", "quote", "child_page"]
@@ -59,3 +64,98 @@ def blocks(rows: DataFrame) -> DataFrame:
     level = F.when(kind.startswith("heading_"), F.substring(kind, 9, 1).cast("int"))
     error = F.when(~F.coalesce(kind.isin(TYPES), F.lit(False)), F.concat(F.lit("unsupported block type: "), F.coalesce(kind, F.lit("none"))))
     return rows.select(get("id", "string").alias("id"), kind.alias("type"), level.alias("level"), text.alias("text"), language.alias("language"), toggle.alias("toggleable"), width.alias("width"), F.coalesce(get("has_children", "boolean"), F.lit(False)).alias("has_children"), error.alias("error"))
+
+
+def link(path: str) -> Column:
+    """struct(url, expiry_time, error) of a file link: external, or hosted until a time."""
+    get = lambda p: F.try_variant_get(F.col("result"), f"$.{path}.{p}", "string")
+    kind, there = get("type"), F.try_variant_get(F.col("result"), f"$.{path}", "variant").isNotNull()
+    url = F.when(kind == "external", get("external.url")).when(kind == "file", get("file.url"))
+    expiry = F.when(kind == "file", get("file.expiry_time").try_cast("timestamp"))
+    error = F.when(there & ~F.coalesce(kind.isin("external", "file"), F.lit(False)), F.concat(F.lit(f"unsupported {path}.type: "), F.coalesce(kind, F.lit("none"))))
+    error = F.coalesce(error, F.when(there & (url.isNull() | ((kind == "file") & expiry.isNull())), F.lit(f"{path}: missing url or expiry_time")))
+    return F.struct(url.alias("url"), expiry.alias("expiry_time"), error.alias("error"))
+
+
+def unions(rows: DataFrame) -> DataFrame:
+    """(id, parent_type, parent_id, parent_error, icon_emoji, icon, cover, image, caption): the fields of pages
+    and blocks that are one of several kinds."""
+    get = lambda p, t="string": F.try_variant_get(F.col("result"), f"$.{p}", t)
+    kind = get("parent.type")
+    parent = F.when(kind == "workspace", get("parent.workspace")).when(kind == "database_id", get("parent.database_id")).when(kind == "page_id", get("parent.page_id"))
+    error = F.when(get("parent", "variant").isNotNull() & parent.isNull(), F.concat(F.lit("unsupported parent.type: "), F.coalesce(kind, F.lit("none"))))
+    emoji = F.when(get("icon.type") == "emoji", get("icon.emoji"))
+    icon = F.when(F.coalesce(get("icon.type") != "emoji", F.lit(False)), link("icon"))
+    caption = F.array_join(F.transform(get("image.caption", "array<struct<plain_text: string>>"), lambda p: p["plain_text"]), "")
+    return rows.select(
+        get("id").alias("id"), kind.alias("parent_type"), parent.alias("parent_id"), error.alias("parent_error"), emoji.alias("icon_emoji"), icon.alias("icon"),
+        F.when(get("cover", "variant").isNotNull(), link("cover")).alias("cover"), F.when(get("type") == "image", link("image")).alias("image"), F.when(get("type") == "image", F.coalesce(caption, F.lit(""))).alias("caption"),
+    )
+
+
+def _function(name: str) -> Callable:
+    """The function that "module:name" names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+class _WorkspaceReader(DataSourceReader):
+    def __init__(self, fetcher: str):
+        self.fetcher = fetcher
+
+    def read(self, partition):
+        for result in fetch_all(_function(self.fetcher)):
+            yield (json.dumps(result),)
+
+
+class WorkspaceSource(DataSource):
+    """spark.read.format("workspace").option("fetcher", "module:function"): a row (value) for each result.
+
+    The function turns a cursor (None at first) into the next envelope; cursors make this one partition.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "workspace"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _WorkspaceReader(self.options["fetcher"])
+
+
+def children(spark: SparkSession, parents: DataFrame, fetch: Callable[[str, str | None], dict]) -> DataFrame:
+    """(parent, ord, id, has_children, value) of the blocks below parents (id): fetch turns a block's id and
+    a cursor into the next envelope.  A parent is one call chain, and parents are fetched in parallel."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for parent in frame["id"]:
+                for place, block in enumerate(fetch_all(lambda cursor, parent=parent: fetch(parent, cursor))):
+                    out.append((parent, place, block["id"], bool(block.get("has_children")), json.dumps(block)))
+            yield pd.DataFrame(out, columns=["parent", "ord", "id", "has_children", "value"])
+
+    return parents.select("id").mapInPandas(run, "parent string, ord int, id string, has_children boolean, value string")
+
+
+def block_tree(spark: SparkSession, roots: DataFrame, fetch: Callable[[str, str | None], dict]) -> DataFrame:
+    """(depth, path, parent, ord, id, has_children, value) of all blocks below the roots (id), level by level
+    until none has children; sorting by root and path gives depth-first order.  Each level is written."""
+    from lorekeep.operators.tree import _by_levels
+
+    def level(up: DataFrame, depth: int) -> DataFrame:
+        found = children(spark, up.where("has_children").select("id"), fetch)
+        above = up.select(F.col("id").alias("parent"), "root", F.col("path").alias("above"))
+        return found.join(above, "parent").select(F.lit(depth).alias("depth"), "root", F.concat("above", F.array("ord")).alias("path"), "parent", "ord", "id", "has_children", "value")
+
+    none = F.lit(None).cast("string")
+    first = roots.select(F.lit(0).alias("depth"), F.col("id").alias("root"), F.array().cast("array<int>").alias("path"), none.alias("parent"), F.lit(0).alias("ord"), "id", F.lit(True).alias("has_children"), none.alias("value"))
+    return _by_levels(spark, first, level, "workspace", None, 10_000).where("depth > 0")
+
+
+def page_stats(blocks: DataFrame) -> DataFrame:
+    """(root, n_blocks, types): how many blocks each page has and of which types."""
+    kind = F.get_json_object("value", "$.type")
+    return blocks.groupBy("root").agg(F.count("*").alias("n_blocks"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("types"))
