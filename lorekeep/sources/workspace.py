@@ -151,8 +151,8 @@ def block_tree(spark: SparkSession, roots: DataFrame, fetch: Callable[[str, str
         return found.join(above, "parent").select(F.lit(depth).alias("depth"), "root", F.concat("above", F.array("ord")).alias("path"), "parent", "ord", "id", "has_children", "value")
 
     none = F.lit(None).cast("string")
-    first = roots.select(F.lit(0).alias("depth"), F.col("id").alias("root"), F.array().cast("array<int>").alias("path"), none.alias("parent"), F.lit(0).alias("ord"), "id", F.lit(True).alias("has_children"), none.alias("value"))
-    return _by_levels(spark, first, level, "workspace", None, 10_000).where("depth > 0")
+    first = roots.select(F.lit(1).alias("depth"), F.col("id").alias("root"), F.array().cast("array<int>").alias("path"), none.alias("parent"), F.lit(0).alias("ord"), "id", F.lit(True).alias("has_children"), none.alias("value"))
+    return _by_levels(spark, first, level, "workspace", None, 10_000).where("depth > 1").withColumn("depth", F.col("depth") - 1)
 
 
 def page_stats(blocks: DataFrame) -> DataFrame:
