@@ -58,19 +58,44 @@ class Scratch:
     """Tables of one run of an operator, each in its own folder of the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
+        _FOLDERS.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the rows and reads them back: lineage ends here and lost executors cost nothing."""
+        self.names.add(name)
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
         """Deletes tables which no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+            _delete(self.spark, f"{self.root}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these, which the result reads."""
+        self.drop(*(self.names - set(names)))
+
+
+#: Folders that this process has made, in order.
+_FOLDERS: list[str] = []
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folders_made() -> int:
+    return len(_FOLDERS)
+
+
+def drop_folders(spark: SparkSession, since: int) -> None:
+    """Deletes the folders made since then: of operators whose results are written elsewhere by now."""
+    for place in _FOLDERS[since:]:
+        _delete(spark, place)
+    del _FOLDERS[since:]
 
 
 def release() -> None:

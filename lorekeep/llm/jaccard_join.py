@@ -282,4 +282,5 @@ def _classes(blocks: DataFrame, work: Scratch, n: int, num: int, den: int, keep_
     own = work.write(own, "own")
     # written, so that the join can split a component with many documents
     least = work.write(own.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    work.keep("own", "least", "blocks")
     return own.join(least, "component").select("doc_id", "n_shingles", "component", "component_id", "rid")
