@@ -3,7 +3,12 @@
 Quality rules drop poor and toxic documents, the n-gram join leaves one document of each group of
 near copies, suffix sorting takes out passages that an earlier document holds, decontamination drops
 documents with benchmark items, and the piece codec encodes what is left.  All but the last return the
-columns of documents.
+columns of documents, others that the table has included.
+
+Cases: null and empty texts have no words and fall to the quality rules; rows with a null id are judged by
+their text, come last where the smaller id decides, and are never the copy that stays if another is there;
+repeated rows and ties leave one row; without labels or benchmark only the rules and the joins decide; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import decontamination, jaccard_join, piece_codec, quality_rules, suffix_dedup
-from lorekeep.llm.common import Scratch, read_table
+from lorekeep.llm.common import Scratch, drop_folders, folders_made, read_table
 from lorekeep.llm.queries import tokenizer_path
 
 
@@ -52,7 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
+        made = folders_made()
         docs = work.write(stage(spark, docs, sf_dir), name)
+        drop_folders(spark, made)
         if before:
             work.drop(before)
         before = name
