@@ -82,11 +82,9 @@ class _Encoder:
         """Ids of texts, each by itself."""
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _word(self, word: str, blank: bool) -> bytes:
+    def _word(self, shown: str) -> bytes:
         """Ids of a word of letters, which the tokenizer's own split leaves whole: the model's alone."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_LETTER)
-        return array(self.code, [t.id for t in self.tokenize(_BLANK + word if blank else word)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
@@ -99,16 +97,18 @@ class _Encoder:
         """Ids of a piece that the young generation lacks, and puts it there."""
         ids = self.old.get(piece)
         if ids is None:
-            m = _PIECE.match(piece) if self.plain else None
-            if m is None:
-                ids = self._new([piece[1:] if piece[0] == "\r" else piece if piece[0] == "\n" else " " + piece])[0]
-            else:
+            if self.plain and piece.isascii() and piece.isalpha():
+                ids = self._word(_BLANK + piece)
+            elif self.plain and (m := _PIECE.match(piece)):
                 lead, word, tail = m.groups()
-                ids = self._word(word, not lead)
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER)
+                ids = self._word(shown if lead else _BLANK + shown)
                 if lead == "\n":
                     ids = self._tail(lead) + ids
                 if tail:
                     ids += self._tail(tail)
+            else:
+                ids = self._new([piece[1:] if piece[0] == "\r" else piece if piece[0] == "\n" else " " + piece])[0]
         if len(piece) <= CACHE_CHARS:
             self.young[piece] = ids
         return ids
@@ -214,28 +214,31 @@ def frequency_ranks(encoded: DataFrame) -> np.ndarray:
 
 # The byte code --------------------------------------------------------------------------------
 
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
+_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    v = values.astype(np.uint32)
-    extra = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = extra
-    quads = padded.reshape(-1, 4)
+    v = values.astype("<u4")
+    width = max(1, -(-int(v.max(initial=0)).bit_length() // 8))
+    wide = 2 if width <= 2 else 4
+    raw = v.astype(f"<u{wide}").view(np.uint8).reshape(len(v), wide)
+    taken = np.ones(raw.shape, bool)
+    extra = np.zeros(-(-len(v) // 4) * 4, np.uint8)
+    for j in range(1, wide):
+        taken[:, j] = v >= np.uint32(1 << 8 * j)
+        extra[: len(v)] += taken[:, j]
+    quads = extra.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    width = int(extra.max(initial=0)) + 1
-    raw = v.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
-    return control.astype(np.uint8).tobytes(), raw[np.arange(width) <= extra[:, None]].tobytes()
+    return control.tobytes(), raw.ravel()[taken.ravel()].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values; each control byte is looked up in a table of four lengths."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    ends = np.cumsum(lengths)
-    at = ends - lengths
-    buf = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
+    at = np.cumsum(lengths, dtype=np.int64)
+    at -= lengths
+    buf = np.frombuffer(data, np.uint8)
     out = buf[at].astype(np.uint32)
     for j in range(1, int(lengths.max(initial=1))):
         more = np.flatnonzero(lengths > j)
