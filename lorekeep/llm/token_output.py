@@ -39,7 +39,7 @@ MAGIC = b"FVB1"
 #: Tokens of a file.
 FILE_TOKENS = 8 << 20
 #: Pieces of text kept with their ids in each of a worker's two generations, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 350_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 
 #: White space other than blanks and line feeds, and two or more of these at once.
 _ODD = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f", "  ", "\n\n", " \n", "\n "]
