@@ -61,10 +61,10 @@ class Scratch:
         self.spark, self.root, self.names = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
         _FOLDERS.append(self.root)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         """Writes the rows and reads them back: lineage ends here and lost executors cost nothing."""
         self.names.add(name)
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        df.write.option("compression", compression).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

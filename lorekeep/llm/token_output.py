@@ -356,7 +356,7 @@ def write_and_read(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataF
     """Encodes, ranks, writes and reads back.  One row per document."""
     spark = docs.sparkSession
     work = Scratch(spark, "token_output")
-    encoded = work.write(encode(docs, tokenizer, end_id), "encoded")
+    encoded = work.write(encode(docs, tokenizer, end_id), "encoded", compression="none")  # the ids are compressed
     ranks = frequency_ranks(encoded)
     folder = f"{work.root}/files"
     _mkdir(spark, folder)
