@@ -103,8 +103,9 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     doc = words.doc_of_word()
     of_words = _distinct(np.concatenate([words.hashes, pairs]) >> shift, np.concatenate([doc, doc[at]]), len(texts))
     n = len(words.buf)
-    grams = np.ndarray((n,), "<u8", words.data + bytes(8), strides=(1,)) & np.uint64((1 << 8 * CHAR_N) - 1)
     doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets))  # with the line feed after the text
+    left = np.minimum(words.offsets[doc + 1] - np.arange(n), CHAR_N).astype(np.uint64)  # no byte of the next text
+    grams = np.ndarray((n,), "<u8", words.data + bytes(8), strides=(1,)) & ((np.uint64(1) << left * np.uint64(8)) - np.uint64(1))
     return [of_words, _distinct((grams * np.uint64(0x9E3779B97F4A7C15)) >> shift, doc, len(texts))]
 
 
