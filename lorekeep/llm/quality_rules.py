@@ -4,25 +4,29 @@
 hashed word n-grams (1 and 2) and character n-grams (``CHAR_N`` bytes) of labelled rows, one for
 quality and one for toxicity, and calibrates each one's scores to probabilities on rows that its
 training has not seen (Platt's method).  ``score`` applies them in Arrow batches against fixed
-thresholds.  An n-gram counts once a text, and only n-grams of ``LEAST_DOCS`` training texts count.
+thresholds.  An n-gram counts once a text, and only n-grams of ``LEAST_DOCS`` training texts whose
+share differs between the two classes by ``LEAST_Z`` standard errors count: the bulk of a text's
+n-grams, which tell nothing of the class, would hide the few that do.
 
-Training takes at most ``TRAIN_ROWS`` labelled documents, those with the least hash of their id:
-more labels do not change what a task holds.  Features of the sample are made where the documents
-are; only they, one row a document, come together in the training task.
+Training takes at most ``TRAIN_ROWS`` labelled documents and ``TRAIN_BYTES`` of their texts, those
+with the least hash of their id, and none longer than ``TRAIN_TEXT_BYTES``: more labels or longer
+texts do not change what a task holds.  Features of the sample are made where the documents are;
+only they, one row a document, come together in the training task.
 
 Cases: null and empty texts have no words and fail the rules; a label row with a null counts as
-none; several labels of one document count as their worst; without labelled rows, or with one class
-only, a classifier keeps what passes the rules; repeated rows are judged alike; an empty table
-gives no rows; extra columns are ignored.
+none; several labels of one document count as their worst, and of several texts of one id the one
+with the least features is learnt from; without labelled rows, or with one class only, a classifier
+keeps what passes the rules; repeated rows are judged alike; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import Words, chunks, expand, mix, squeeze, sums_by_text, tidy, tidy_group
@@ -33,10 +37,15 @@ SLOTS = 1 << 20
 CHAR_N = 5
 #: The most labelled documents that training takes.
 TRAIN_ROWS = 16_000
+#: The most bytes of one text that training takes, and of all of them.
+TRAIN_TEXT_BYTES, TRAIN_BYTES = 1 << 20, 256 << 20
 #: The sum of n weights is divided by n to this power: few bad words shall count in a long text.
 POWER = 0.25
 #: Training texts that hold an n-gram which counts.
 LEAST_DOCS = 5
+#: Standard errors between the classes' shares of texts with an n-gram that counts.  With few rows even a
+#: perfect sign cannot reach it (its greatest value is the root of their number): half of that will do.
+LEAST_Z = 5.0
 #: What the classifiers tell, by the columns of ``good_labels``.
 HEADS = ("fine", "clean")
 #: A document goes if its calibrated probability of being fine, or of being clean, is below these:
@@ -140,14 +149,39 @@ def common_rows(packed: Sequence[bytes]) -> list[tuple[np.ndarray, np.ndarray, n
     for p in packed:
         seen[np.unique(unpack_row(p)[0])] += 1
     often = seen >= LEAST_DOCS
-    rows = []
-    for p in packed:
-        slots, size, value = unpack_row(p)
-        stay = often[slots]
+    return with_slots(map(unpack_row, packed), often)
+
+
+def telling(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], good: np.ndarray) -> np.ndarray:
+    """Slots whose share of the good rows and of the others differs by ``LEAST_Z`` standard errors."""
+    held = [np.zeros(SLOTS), np.zeros(SLOTS)]
+    for (slots, _, _), y in zip(rows, good, strict=True):
+        held[int(y)][np.unique(slots)] += 1
+    n1, n0 = good.sum(), len(good) - good.sum()
+    if not n1 or not n0:
+        return np.ones(SLOTS, bool)
+    share = (held[0] + held[1]) / len(good)
+    error = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    return (error > 0) & (np.abs(held[1] / n1 - held[0] / n0) >= min(LEAST_Z, len(good) ** 0.5 / 2) * error)
+
+
+def with_slots(rows: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], chosen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows without slots that are not chosen."""
+    found = []
+    for slots, size, value in rows:
+        stay = chosen[slots]
         n = np.count_nonzero(stay[: size[0]])
         slots = slots[stay]
-        rows.append((slots, np.array([n, len(slots) - n]), value))
-    return rows
+        found.append((slots, np.array([n, len(slots) - n]), value))
+    return found
+
+
+def fit_heads(packed: Sequence[bytes], good: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """The numbers of each head, learnt from the n-grams that tell its classes apart."""
+    rows = common_rows(packed)
+    own = np.flatnonzero(~fold)
+    heads = [train(with_slots(rows, telling([rows[i] for i in own], y[own])), y[None], fold) for y in good]
+    return np.concatenate(heads)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], good: np.ndarray, fold: np.ndarray, rate: float = 0.5, batch: int = 128) -> np.ndarray:
@@ -218,9 +252,14 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray | None:
     """Numbers of the model (for each head ``SLOTS`` weights and three more), None if there is nothing to learn."""
-    turn = F.xxhash64("doc_id", F.lit("quality"))
-    sample = F.broadcast(good_labels(labels).select("doc_id", *HEADS).orderBy(turn, "doc_id").limit(train_rows))  # train_rows ids at most
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").dropDuplicates(["doc_id"])
+    known = good_labels(labels).select(F.col("doc_id").cast("long").alias("doc_id"), *HEADS, F.xxhash64("doc_id", F.lit("quality")).alias("turn"))
+    sample = F.broadcast(known.orderBy("turn", "doc_id").limit(train_rows))  # train_rows ids at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = F.max(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    sizes = texts.join(sample, "doc_id").groupBy("doc_id", *HEADS, "turn").agg(size.alias("size")).where(F.col("size") <= TRAIN_TEXT_BYTES)
+    in_turn = Window.orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over train_rows rows at most
+    chosen = sizes.withColumn("bytes", F.sum("size").over(in_turn)).where(F.col("bytes") <= TRAIN_BYTES).select("doc_id", *HEADS)
+    rows = texts.join(F.broadcast(chosen), "doc_id")
     names = ["doc_id", *HEADS, "features", "part"]
 
     def prepare(batches):
@@ -236,9 +275,11 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = TRAI
             return pa.table({"model": pa.array([], pa.binary())})
         fold = mix(ids[order].astype(np.uint64)) % np.uint64(5) == 0
         features = table["features"].take(pa.array(order)).to_pylist()
-        return pa.table({"model": pa.array([train(common_rows(features), good, fold).tobytes()], pa.binary())})
+        return pa.table({"model": pa.array([fit_heads(features, good, fold).tobytes()], pa.binary())})
 
-    model = rows.mapInArrow(tidy(prepare), "doc_id long, fine int, clean int, features binary, part int").groupBy("part").applyInArrow(tidy_group(fit), "model binary").collect()
+    made = rows.select("doc_id", "text", *HEADS).mapInArrow(tidy(prepare), "doc_id long, fine int, clean int, features binary, part int")
+    each = made.groupBy("doc_id", *HEADS, "part").agg(F.min("features").alias("features"))
+    model = each.select(*names).groupBy("part").applyInArrow(tidy_group(fit), "model binary").collect()
     return np.frombuffer(model[0][0], np.float32).reshape(len(HEADS), -1) if model else None
 
 

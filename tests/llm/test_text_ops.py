@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.llm import class_ngrams, decontamination, importance_sampling, license_scan, piece_codec, quality_rules, sharding, token_output
-from lorekeep.llm.common import Scratch
+from lorekeep.llm.common import Scratch, Words, window_hash
 from lorekeep.llm.queries import SHARDS, tokenizer_path
 from tests.llm.cases import ODD, TURN, empty, frame, text
 
@@ -129,6 +129,49 @@ def test_quality_rules(spark):
     assert kept.schema == docs.schema and kept.count() == sum(r.kept for r in got)
     assert quality_rules.fit_quality_model(docs, labels.where("toxic = 5")) is None
     assert quality_rules.score(empty(spark), model).count() == 0
+    shuffled = quality_rules.fit_quality_model(frame(spark, [*reversed(rows), (1001, "another text of this id")]).repartition(7), labels)
+    assert shuffled.shape == model.shape and (shuffled == quality_rules.fit_quality_model(frame(spark, [*rows, (1001, "another text of this id")]), labels)).all()
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    """Probabilities from sets of n-grams, one text at a time."""
+    rows = [(i, text(30) + (" vile scum" if i % 4 == 0 else " kind fine") + ("" if i % 3 else " ÄÖ x")) for i in range(300)] + [(900, ""), (901, None), (902, "one"), (903, "ab " * 40)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model = quality_rules.fit_quality_model(docs, labels)
+    bits = quality_rules.SLOTS.bit_length() - 1
+    word_hash = lambda w: Words([w], lower=True).hashes
+    for (_, t), r in zip(rows, quality_rules.score(docs, model).collect(), strict=True):
+        data = (t or "").encode().lower() + b"\n"
+        ws = [w.encode() for w in words((t or "").translate(LOW))]
+        kinds = [
+            {int(word_hash(w)[0]) >> 64 - bits for w in ws} | {int(window_hash(np.concatenate([word_hash(a), word_hash(b)]), 2)[0]) >> 64 - bits for a, b in zip(ws, ws[1:])},
+            {(int.from_bytes(data[j : j + 5], "little") * 0x9E3779B97F4A7C15) % 2**64 >> 64 - bits for j in range(len(data))},
+        ]
+        for head, p in zip(model.astype(np.float64), (r.p_fine, r.p_clean)):
+            z = sum(sum(head[k] for k in kind) / max(len(kind), 1) ** 0.25 for kind in kinds)
+            bias, slope, shift = head[quality_rules.SLOTS :]
+            assert p == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, slope * (z + bias) + shift)))), rel=1e-6)
+        assert r.kept == (not r.base_failed and r.p_fine >= 0.25 and r.p_clean >= 0.3)
+
+
+def test_quality_training_is_bounded(spark, monkeypatch):
+    """Longest texts and those past the bytes of all are not learnt from; the rest is as if they were not labelled."""
+    rows = [(i, text(20) + (" vile" if i % 2 else " kind")) for i in range(200)] + [(500, text(3000) + " vile")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in [*range(200), 500]], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality_rules, "TRAIN_TEXT_BYTES", 2000)
+    without = quality_rules.fit_quality_model(frame(spark, rows), labels.where("doc_id < 500"))
+    assert (quality_rules.fit_quality_model(frame(spark, rows), labels) == without).all()
+    monkeypatch.setattr(quality_rules, "TRAIN_BYTES", 0)
+    assert quality_rules.fit_quality_model(frame(spark, rows), labels) is None
+
+
+def test_few_telling_ngrams():
+    """A slot in every row of one class and none of the other counts, one that both hold alike does not."""
+    rows = [(np.array([1, 2 + i % 2, 10 + i % 5]), np.array([3, 0]), np.ones(2)) for i in range(40)]
+    chosen = quality_rules.telling(rows, np.arange(40) % 2 * 1.0)
+    assert set(np.flatnonzero(chosen)) == {2, 3}
+    assert quality_rules.telling(rows, np.ones(40)).all()
 
 
 def test_importance_sampling(spark):
