@@ -120,6 +120,33 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(read_table(spark, sf_dir, "documents"), length=50))
 
 
+def op12_pivot_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.pivot_clustering import cluster_vectors
+
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def _op12_oracle(dims: int = 64, clusters: int = 8, rounds: int = 10) -> str:
+    """Each round as a step of its own, every vector against every centroid."""
+    steps = [f"""
+        v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+              WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+        c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS INTEGER) AS k, q AS c FROM v QUALIFY k < {clusters})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS MATERIALIZED (SELECT r, vec_id, q, k, d FROM (SELECT r, vec_id, q, k, CAST(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{i})
+              QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+        m{i} AS (SELECT k, list(m ORDER BY p) AS c FROM (
+              SELECT k, p, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM (SELECT k, unnest(q) AS x, unnest(range({dims})) AS p FROM a{i}) GROUP BY k, p) GROUP BY k),
+        c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))""")
+    return f"""
+        WITH {",".join(steps)}
+        SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_class_ngrams": op1_class_ngrams,
     "op2_quality_rules": op2_quality_rules,
@@ -131,11 +158,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_pivot_clustering": op12_pivot_clustering,
 }
 
 ORACLES: dict[str, str] = {
     "op3_sharding": _op3_oracle(),
     "op7_license_scan": _op7_oracle(),
+    "op12_pivot_clustering": _op12_oracle(),
     "op9_jaccard_join": """
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM (
