@@ -114,12 +114,32 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read_table(spark, sf_dir, "documents"), n=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
 
 
+def _links_oracle(percent: int, columns: str) -> str:
+    """All pairs that share a shingle; components by recursion."""
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM (
+                SELECT doc_id, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM w WHERE len(w) > 0))),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        link AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+                 JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= {percent} * (na.n + nb.n - i)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, {columns}
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.suffix_dedup import digest, remove_repeats
 
     return digest(remove_repeats(read_table(spark, sf_dir, "documents"), length=50))
 
 
+def op11_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.sketch_join import near_copies
+
+    return near_copies(read_table(spark, sf_dir, "documents"), n=3, num=85, den=100)
+
+
 def op12_pivot_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.pivot_clustering import cluster_vectors
 
@@ -147,6 +167,12 @@ def _op12_oracle(dims: int = 64, clusters: int = 8, rounds: int = 10) -> str:
         FROM a{rounds} JOIN c{rounds} USING (k)"""
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.filter_audit import audit
+
+    return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_class_ngrams": op1_class_ngrams,
     "op2_quality_rules": op2_quality_rules,
@@ -158,23 +184,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_sketch_join": op11_sketch_join,
     "op12_pivot_clustering": op12_pivot_clustering,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op3_sharding": _op3_oracle(),
     "op7_license_scan": _op7_oracle(),
     "op12_pivot_clustering": _op12_oracle(),
-    "op9_jaccard_join": """
-        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-        s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM (
-                SELECT doc_id, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM w WHERE len(w) > 0))),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        link AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
-                 JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 90 * (na.n + nb.n - i)),
-        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id
-        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+    "op13_filter_audit": """
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        f AS (SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS fails FROM d),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        cell AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+        o AS (SELECT '' AS o UNION ALL SELECT o || c FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c) WHERE NOT contains(o, c)),
+        step AS (SELECT o AS filter_order, s AS step, ascii(o[s]) - 64 AS own, list_transform(string_split(o[1:s - 1], ''), lambda c: CASE WHEN c = '' THEN 0 ELSE ascii(c) - 64 END) AS before FROM (SELECT o, unnest(range(1, 6)) AS s FROM o WHERE length(o) = 5)),
+        met AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fail, len(list_filter(before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS k FROM cell, step),
+        sums AS (SELECT part, filter_order, step, any_value(own) AS own, sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS kept, sum(CASE WHEN fail AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fail AND gone THEN n ELSE 0 END) AS redundant,
+                        sum(CASE WHEN fail AND k = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fail AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fail AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM met GROUP BY part, filter_order, step)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM sums""",
+    "op9_jaccard_join": _links_oracle(90, "r.c AS component_id"),
+    "op11_sketch_join": _links_oracle(85, "r.c AS component_id, d.doc_id = r.c AS kept"),
     "op10_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s

@@ -3,11 +3,17 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
+from itertools import permutations
 
 import numpy as np
 import pytest
 
+from lorekeep.llm import filter_audit as fa
 from lorekeep.llm import pivot_clustering as pc
+from lorekeep.llm.common import Scratch
+from tests.llm.cases import ODD, text
 
 
 def brute_clusters(rows, dims, clusters, rounds):
@@ -67,3 +73,74 @@ def test_digits():
     for v in [0, 1, -1, 2**40, -(2**40), 2**63, -(2**200)] + [turn.randint(-(2**90), 2**90) for _ in range(200)]:
         d = pc.digits(v)
         assert sum(x << (pc.DIGIT * i) for i, x in enumerate(d)) == v and all(abs(x) <= 2**pc.DIGIT for x in d)
+
+
+def fails(rows):
+    """The five failures of each row, in words."""
+    out = []
+    for i, _, t in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        smaller = any((j is not None) and (i is None or j < i) and (u or "") == t for j, _, u in rows)
+        out.append([len(w) < 50, 100 * len(set(w)) < 65 * len(w), 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), any(c in t for c in "#$%&*|"), smaller])
+    return out
+
+
+def brute_audit(rows, labels):
+    failed, out = fails(rows), []
+    good, toxic = ({i for i, *says in labels if i is not None and says[k] == 1} for k in (0, 1))
+    parts = [p or "" for _, p, _ in rows]
+    for part in set(parts):
+        mine = [k for k in range(len(rows)) if parts[k] == part]
+        removed_of, steps = Counter(), []
+        for order in permutations("ABCDE"):
+            left = set(mine)
+            for step, name in enumerate(order, 1):
+                f = "ABCDE".index(name)
+                all_failing = {k for k in mine if failed[k][f]}
+                gone = left & all_failing
+                redundant = all_failing - left
+                left -= gone
+                removed_of[name] += len(gone)
+                unique = sum(failed[k][f] and sum(failed[k]) == 1 for k in mine)
+                steps.append((part, "".join(order), step, len(left), len(gone), len(redundant), unique, sum(rows[k][0] in good for k in gone), sum(rows[k][0] in toxic for k in gone)))
+        out += [(*s, removed_of[s[1][s[2] - 1]]) for s in steps]
+    return sorted(out)
+
+
+def audit_rows(seed=9):
+    turn, rows = random.Random(seed), []
+    base = [text(turn.randint(0, 90), turn) + turn.choice(["", " A&B", " ABCDEFGHIJ" * 9, "\n"]) for _ in range(40)]
+    for i in range(260):
+        t = turn.choice(base) if turn.random() < 0.6 else base[0][: turn.randint(0, 200)] + turn.choice(["", "x", "é"])
+        rows.append((turn.choice([i, i, i, turn.randint(0, 260), None]), turn.choice(["s", "s", "t", None, ""]), turn.choice([t, t, t, t, None])))
+    return rows
+
+
+LABELS = [(i, i % 3, (i + 1) % 2) for i in range(0, 260, 2)] + [(4, 1, 1), (5, None, 1), (None, 1, 1), (6, 0, None)]
+
+
+@pytest.mark.parametrize(("rows", "sizes"), [(audit_rows(), {"block_bytes": 3000, "trie_bytes": 500, "range_bytes": 4000}), (audit_rows(4), {}), ([(i, "s", t) for i, t in ODD], {"trie_bytes": 100}), ([], {})])
+def test_audit(spark, rows, sizes):
+    docs = spark.createDataFrame([(i, t, p, 1, "k", 0) for i, p, t in rows], "doc_id long, text string, source string, mask int, part string, step int").repartition(3)
+    got = fa.audit(docs, spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int"), **sizes)
+    assert got.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert sorted(map(tuple, got.collect())) == brute_audit(rows, LABELS)
+
+
+def test_prefixes_are_lengthened(spark):
+    rows = [(i, ("same beginning of all " * 3)[: 40 + i % 30] + f"{i % 50}" * (i % 9)) for i in range(300)]
+    frame = spark.createDataFrame([(k, i, t.encode()) for k, (i, t) in enumerate(rows)], "rid long, doc_id long, text binary")
+    dealt = fa.dealt_by_prefix(frame, Scratch(spark, "t"), 2000).collect()
+    weight, whole = Counter(), {r.prefix for r in dealt if r.prefix == r.text}
+    for r in dealt:
+        assert r.text.startswith(r.prefix)
+        weight[r.prefix] += len(r.text) if len(r.text) > len(r.prefix) else 0
+    assert len(weight) > 10 and max(len(p) for p in weight) > fa.FIRST_PREFIX and whole and max(weight.values()) <= 2000
+
+
+def test_trie():
+    turn, trie, seen = random.Random(3), fa.RadixTrie(), {}
+    for n in range(3000):
+        t = bytes(turn.choice(b"ab") for _ in range(turn.randint(0, 9))) + b"c" * turn.randint(0, 2)
+        assert trie.insert(t, n) == seen.setdefault(t, n)

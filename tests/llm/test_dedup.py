@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lorekeep.llm import jaccard_join as jj
+from lorekeep.llm import sketch_join as sj
 from lorekeep.llm import suffix_dedup as sd
 from lorekeep.llm.common import Scratch
 from lorekeep.llm.components import components
@@ -158,3 +159,46 @@ def test_deep_shallow_order():
     strings = [bytes(turn.choice(b"ab") for _ in range(6)) for _ in range(200)]
     groups = sd.blind_trie_groups(strings)
     assert [strings[g[0]] for g in groups] == sorted(set(strings)) and all(len({strings[i] for i in g}) == 1 for g in groups)
+
+
+@pytest.mark.parametrize(("rows", "n", "num", "den", "k"), [(ODD, 3, 85, 100, 64), (ODD, 5, 8, 10, 64), (near_copies(), 3, 85, 100, 64), (near_copies(5), 2, 7, 10, 64), (near_copies(6), 2, 8, 10, 128), ([(3, None), (None, " ")], 3, 85, 100, 64)])
+def test_sketches(spark, rows, n, num, den, k):
+    got = sj.near_copies(frame(spark, rows), n, num, den, k, block_bytes=20_000)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    found = got.collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows, n, num, den)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found) and sj.near_copies(empty(spark)).count() == 0
+
+
+def boilerplate(n, seed=7):
+    """Documents that have common passages but are no copies of each other, and pairs that are."""
+    turn = random.Random(seed)
+    common, rows = [text(40, turn) for _ in range(3)], []
+    for i in range(0, n, 2):
+        own = " ".join(f"w{turn.randint(0, 10**9)}" for _ in range(100))
+        rows += [(i, own + " " + common[i % 3]), (i + 1, own + " changed " + common[i % 3])]
+    return rows
+
+
+def test_common_passages_are_not_posted(spark):
+    work, rows = Scratch(spark, "t"), boilerplate(400)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in sj.near_copies(frame(spark, rows), 3, 85, 100).collect()), key=str) == brute_components(rows, 3, 85, 100)
+    members = sj._members(work.write(sj.pack_documents(frame(spark, rows)), "blocks"), 3, 85, 100, 64)
+    postings = sj._postings(work.write(members.select("rid", "n_shingles", "retained", "needed").withColumnRenamed("n_shingles", "size"), "sketches"))
+    assert postings.groupBy("value").count().agg({"count": "max"}).first()[0] <= 20
+
+
+def test_sketch_bounds():
+    turn = random.Random(5)
+    sure = sj.sure_matches(64, 85, 100)
+    assert 20 < sure < 40 and sj.sure_matches(64, 85, 100, 0.5) >= 54
+    for _ in range(300):
+        size = turn.randint(1, 200)
+        a = set(turn.sample(range(10**9), size))
+        common = turn.sample(sorted(a), turn.randint(-(-size * 85 // 100), size))
+        b = set(common) | set(turn.sample(range(10**9), turn.randint(0, max(0, int(size * 0.15)))))
+        if 100 * len(a & b) >= 85 * len(a | b):
+            shared = len(set(sorted(a)[:64]) & set(sorted(b)[:64]))
+            assert all(shared >= sj.least_shared(len(x), 64, 85, 100, sure) for x in (a, b))
+    for size in range(1, 65):  # sets that are their own sketches share what the similarity asks for
+        assert sj.least_shared(size, 1000, 85, 100, 0) == -(-85 * size // 100)
