@@ -10,14 +10,15 @@ estimated least; a pair then shares as many prefix tokens as the smaller l of th
 1. Documents with equal sets form a class; only its first document goes on.
 2. Frequencies: blocks of documents send their distinct hashes to buckets, which answer with the
    frequency of each.  A token that one document has can match nothing, so only others are kept.
-3. Candidates come from the postings of prefix tokens, in rounds.  First each token's posting with
-   the earliest place (the hub) is paired with all others of the token.  Then, in rounds of more and
-   more, postings that are not in their hub's component are paired with all that are in another
-   component than their own.  In the end each pair of documents that share a prefix token has been
-   tried or lies in one component, yet a group of near copies costs a few pairs a document and not
-   all pairs.  Length and place filters drop pairs that cannot reach the threshold.
+3. Candidates come from the postings of prefix tokens, in rounds (``posting_lists.link_lists``).  In the end
+   each pair of documents that share a prefix token has been tried or lies in one component, and a group
+   of near copies costs a few pairs a document and not all pairs.  Length and place filters drop pairs
+   that cannot reach the threshold.
 4. Pairs that share enough prefix tokens are verified on their whole sets.
 
+Documents that share prefix tokens without being near copies of each other are all tried against each other: where
+most of a text is made of common passages, pairs grow with the square of the documents that share a token.
+
 Cases: null and empty texts, or texts without words, have empty sets and link with nothing; texts
 with fewer words than n have their whole sequence as one shingle; repeated rows are rows of one
 class; rows with a null id take part and never lend it to a component; an empty table gives no rows.
@@ -26,23 +27,19 @@ class; rows with a null id take part and never lend it to a component; an empty
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, Words, bucket_count, chunks, expand, extra_columns, pack_documents, sequence_hash, squeeze, tidy, tidy_group
-from lorekeep.llm.components import components
-from lorekeep.llm.suffix_dedup import hash_keys, split_buckets
+from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, Words, bucket_count, chunks, extra_columns, pack_documents, sequence_hash, tidy
+from lorekeep.llm.posting_lists import codes_of, frequencies, link_lists
 
 #: Largest number of matches a prefix is lengthened for.
 MOST_MATCHES = 6
 #: A verification costs as much as matching one posting for so many tokens.
 TOKENS_A_MATCH = 8
-#: Times as many postings become hubs in each round after the first.
-GROWTH = 8
 _ORD = 16  # bits of a document's place in its block
 
 
@@ -62,7 +59,7 @@ def shingle_sets(block: Block, n: int) -> list[np.ndarray]:
     return out
 
 
-def _members(blocks: DataFrame, n: int) -> DataFrame:
+def members_of(blocks: DataFrame, n: int) -> DataFrame:
     """(rid, doc_id, n_shingles, signature) of each document."""
 
     def run(batches):
@@ -83,47 +80,6 @@ def _members(blocks: DataFrame, n: int) -> DataFrame:
     return blocks.mapInArrow(tidy(run), "rid long, doc_id long, n_shingles long, signature binary")
 
 
-def _frequencies(blocks: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(block, counts): for each distinct token of the block, in order of its key, its frequency on
-    a scale of eighths of powers of two, 0 for one document."""
-
-    def send(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                sets = {s.tobytes(): s for s in shingle_sets(block, n)}
-                every = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
-                keys, count = np.unique(hash_keys(every, buckets), return_counts=True)
-                parts = split_buckets(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b for b, _ in parts], pa.int64()),
-                        pa.array([block.block] * len(parts), pa.int64()),
-                        pa.array([(keys[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, s in parts], pa.binary()),
-                        pa.array([squeeze(count[s].astype(np.uint32).tobytes()) for _, s in parts], pa.binary()),
-                    ],
-                    names=["bucket", "block", "hashes", "counts"],
-                )
-
-    def answer(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x, np.uint32) for x in table["hashes"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(expand(x), np.uint32) for x in table["counts"].to_pylist()]).astype(np.float64)
-        every = np.concatenate(hashes)
-        order = np.argsort(every, kind="stable")
-        s = every[order]
-        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        total = np.add.reduceat(counts[order], at)
-        code = np.minimum(255, np.ceil(8 * np.log2(total))).astype(np.uint8)
-        back = np.zeros(len(every), np.uint8)
-        back[order] = np.repeat(code, np.diff(np.concatenate([at, [len(s)]])))
-        cut = np.cumsum([len(h) for h in hashes])[:-1]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array([squeeze(x.tobytes()) for x in np.split(back, cut)], pa.binary())})
-
-    sent = blocks.mapInArrow(tidy(send), "bucket long, block long, hashes binary, counts binary")
-    out = sent.groupBy("bucket").applyInArrow(tidy_group(answer), "block long, bucket long, counts binary")
-    return out.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("counts"))
-
-
 def choose_matches(code: np.ndarray, size: int, shortest: int) -> int:
     """The number of matches l with the least estimated cost for a document.
 
@@ -146,9 +102,7 @@ def _records(blocks: DataFrame, n: int, num: int, den: int, buckets: int) -> Dat
                 block = Block(row)
                 sets = shingle_sets(block, n)
                 chosen = set(row["chosen"] or [])
-                every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                keys, inverse = np.unique(hash_keys(every, buckets), return_inverse=True)
-                codes = np.concatenate([*(np.frombuffer(expand(c["counts"]), np.uint8) for c in row["counts"] or []), np.zeros(0, np.uint8)])[inverse]
+                codes = codes_of(sets, row["counts"], buckets)
                 rows, at = [], 0
                 for d, s in enumerate(sets):
                     code, at = codes[at : at + len(s)], at + len(s)
@@ -197,14 +151,6 @@ def _verify(pairs: DataFrame, records: DataFrame, num: int, den: int) -> DataFra
     return both.where(shared * (den + num) >= (F.col("a_size") + F.col("b_size")) * num).select("a", "b")
 
 
-def _relabel(labels: DataFrame, links: DataFrame, work: Scratch, name: str) -> DataFrame:
-    """labels (rid, label) after these links."""
-    ends = links.join(labels.select(F.col("rid").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("rid").alias("b"), F.col("label").alias("lb")), "b")
-    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), work, f"{name}-edges")
-    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return work.write(labels.join(joined, "label", "left").select("rid", F.coalesce("least", "label").alias("label")), f"{name}-labels")
-
-
 def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component, component_id): components of documents linked by a similarity
     of num / den or more; component is a key of the class, component_id its smallest doc_id."""
@@ -240,42 +186,17 @@ def distinct_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 def _classes(blocks: DataFrame, work: Scratch, n: int, num: int, den: int, keep_blocks: bool) -> DataFrame:
     """(rid, doc_id, n_shingles, component, component_id) of each document."""
     blocks = blocks.drop("extra")
-    members = work.write(_members(blocks, n), "members")
+    members = work.write(members_of(blocks, n), "members")
     first = work.write(members.where("signature IS NOT NULL").groupBy("signature").agg(F.min("rid").alias("rid")), "first")
     chosen = first.groupBy(F.shiftright("rid", _ORD).alias("block")).agg(F.collect_list(F.col("rid").bitwiseAND((1 << _ORD) - 1).cast("int")).alias("chosen"))
     buckets = bucket_count(blocks)
-    counts = work.write(_frequencies(blocks, n, buckets), "counts")
+    counts = work.write(frequencies(blocks, lambda block: shingle_sets(block, n), buckets), "counts")
     records = work.write(_records(blocks.join(counts, "block", "left").join(chosen, "block", "left"), n, num, den, buckets), "records")
     work.drop("counts", *([] if keep_blocks else ["blocks"]))
 
-    postings = work.write(records.select("rid", "size", "skipped", F.posexplode("prefix").alias("i", "token")).select("token", "rid", "size", (F.col("i") + F.col("skipped")).alias("at")), "postings")
-    tokens = postings.groupBy("token").agg(F.min(F.struct("at", "rid", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    tokens = work.write(tokens.select("token", "n", F.col("hub.rid").alias("hub"), F.col("hub.at").alias("hub_at"), F.col("hub.size").alias("hub_size")), "tokens")
-    most = tokens.agg(F.max("n")).first()[0] or 0
+    postings = records.select("rid", "size", "skipped", F.posexplode("prefix").alias("i", "token")).select("token", "rid", "size", (F.col("i") + F.col("skipped")).alias("at"))
     labels = records.select("rid", F.col("rid").alias("label"))
-    member = postings.select("token", F.col("rid").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"))
-    for step in range(0, 2 + (math.ceil(math.log(max(most, 1), GROWTH)) if most else -2)):
-        low, high = (0 if step < 2 else GROWTH ** (step - 2)), GROWTH ** max(0, step - 1)
-        if step == 0:
-            hubs = tokens.select("token", F.col("hub").alias("a"), F.col("hub_size").alias("a_size"), F.col("hub_at").alias("a_at"))
-            found = hubs.join(member, "token").where(F.col("a") != F.col("b"))
-        else:
-            label = lambda who: labels.select(F.col("rid").alias(who), F.col("label").alias(f"{who}_label"))
-            seen = tokens.join(label("hub"), "hub").select("token", "n", "hub_label")
-            live = postings.join(labels, "rid").join(seen, "token")
-            # the share of a posting among the n of its token, even and the same in each round
-            turn = F.pmod(F.xxhash64("rid", "token"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
-            stray = work.write(live.where("label <> hub_label").select("token", F.col("rid").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"), F.col("label").alias("a_label"), turn.alias("turn")), f"strays-{step}")
-            if stray.where(F.col("turn") >= low).isEmpty():
-                break
-            hubs = stray.where((F.col("turn") >= low) & (F.col("turn") < high))
-            found = hubs.join(member, "token").where(F.col("a") != F.col("b")).join(label("b"), "b").where("a_label <> b_label")
-        pairs = found.where(_possible(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = work.write(_verify(work.write(pairs, f"pairs-{step}"), records, num, den), f"links-{step}")
-        work.drop(f"pairs-{step}")
-        if not links.isEmpty():
-            labels = _relabel(labels, links, work, f"round-{step}")
-    work.drop("postings", "tokens")
+    labels = link_lists(postings, _possible(num, den), lambda pairs, _: _verify(pairs, records, num, den), labels, work)
 
     own = members.join(first.select("signature", F.col("rid").alias("first")), "signature", "left").join(labels.select(F.col("rid").alias("first"), "label"), "first", "left")
     own = own.select("rid", "doc_id", "n_shingles", F.coalesce("label", "first", "rid").alias("component"))

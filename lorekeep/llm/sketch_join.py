@@ -13,11 +13,11 @@ probability below ``MISS``.  This is the chance that a link is lost, the order o
 2. Inverted lists: a document that must share c of its r retained values with any partner shares one of
    its r - c + 1 rarest, so only those are posted, and of them only values that another document retains.
    What very many documents have in common comes last and is seldom posted at all.
-3. Each list pairs its first document with all others; later rounds pair the documents that are not in
-   its component yet with those of other components, more in each round.  A list of near copies costs a few
-   pairs a document; no pair of a list is left out unless it is connected already.
-4. Pairs whose sizes allow the similarity are estimated on the sketch of their union; those that
-   reach the least count are verified on their full sets.  Pairs of small sets are certain already.
+3. Lists are gone through in rounds (``posting_lists.link_lists``): a list of near copies costs a few pairs a
+   document, and no pair of a list is left out unless it is connected already.  Pairs whose sizes, or the
+   places of the value in both sketches, rule the similarity out are dropped at once.
+4. The other pairs are estimated on the sketch of their union; those that reach the least count are
+   verified on their full sets.  Pairs of small sets are certain already.
 
 A list of documents that share its value and are no near copies of each other still costs the square of
 its length in pairs.  It takes documents that consist mostly of the same common passages.
@@ -30,24 +30,21 @@ rows; very long texts are blocks of their own, and a worker needs about ten byte
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, pack_documents, tidy
-from lorekeep.llm.components import components
-from lorekeep.llm.jaccard_join import shingle_sets
+from lorekeep.llm.common import BLOCK_BYTES, Block, Scratch, bucket_count, pack_documents, tidy
+from lorekeep.llm.jaccard_join import members_of, shingle_sets
+from lorekeep.llm.posting_lists import codes_of, frequencies, link_lists
 
 #: Values of a sketch.
-RETAINED = 64
+RETAINED = 256
 #: Chance that the sketches of two linked documents share less than is asked for.
 MISS = 1e-15
-#: Times as many documents of a list are paired in each round after the first.
-GROWTH = 8
 _ORD = 16  # bits of a document's place in its block
 
 
@@ -73,32 +70,46 @@ def least_shared(size: int, k: int, num: int, den: int, sure: int) -> int:
     return max(1, min(with_partner(min(max(b, least), most)) for b in (least, k, k + 1, most)))
 
 
-def _members(blocks: DataFrame, n: int, num: int, den: int, k: int) -> DataFrame:
-    """(rid, doc_id, n_shingles, signature, retained, needed) of each document; needed: of its retained values
-    so many must be shared."""
+def sketches_of(block: Block, n: int, k: int) -> list[np.ndarray]:
+    """The k smallest shingle hashes of each document."""
+    return [s[:k] for s in shingle_sets(block, n)]
+
+
+def _records(blocks: DataFrame, n: int, num: int, den: int, k: int, buckets: int) -> DataFrame:
+    """(rid, size, skipped, prefix, retained) of each class's first document with a posted value; skipped counts the
+    values before the posted ones, which no other document retains."""
     sure = sure_matches(k, num, den)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                sets = [np.sort(s.astype(np.int64)) for s in shingle_sets(block, n)]
-                for a in range(0, len(block), 4096):
-                    some = sets[a : a + 4096]
-                    kept = [s[:k] for s in some]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array((block.block << _ORD) + a + np.arange(len(some)), pa.int64()),
-                            block.doc_ids().slice(a, len(some)),
-                            pa.array([len(s) for s in some], pa.int64()),
-                            pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in some], pa.binary()),
-                            _lists(kept),
-                            pa.array([least_shared(len(s), k, num, den, sure) for s in some], pa.int32()),
-                        ],
-                        names=["rid", "doc_id", "n_shingles", "signature", "retained", "needed"],
-                    )
-
-    return blocks.mapInArrow(tidy(run), "rid long, doc_id long, n_shingles long, signature binary, retained array<long>, needed int")
+                sets = shingle_sets(block, n)
+                sketches, chosen = [s[:k] for s in sets], set(row["chosen"] or [])
+                codes = codes_of(sketches, row["counts"], buckets)
+                rows, at = [], 0
+                for d, s in enumerate(sketches):
+                    code, at = codes[at : at + len(s)], at + len(s)
+                    if d not in chosen or not code.any():
+                        continue
+                    order = np.lexsort((s, code))
+                    # of the retained values but needed - 1, those that no other document retains come first
+                    posted = order[: max(0, len(s) - least_shared(len(sets[d]), k, num, den, sure) + 1)]
+                    skipped = int((code[posted] == 0).sum())
+                    if skipped < len(posted):
+                        rows.append(((block.block << _ORD) + d, len(sets[d]), skipped, s[posted[skipped:]].astype(np.int64), s.astype(np.int64)))
+                    if len(rows) >= 512:
+                        yield _record_batch(rows)
+                        rows = []
+                if rows:
+                    yield _record_batch(rows)
+
+    return blocks.mapInArrow(tidy(run), "rid long, size long, skipped int, prefix array<long>, retained array<long>")
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+    return pa.RecordBatch.from_arrays([*cols, _lists([r[3] for r in rows]), _lists([r[4] for r in rows])], names=["rid", "size", "skipped", "prefix", "retained"])
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -121,40 +132,34 @@ def _sets(blocks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return blocks.join(places, "block").mapInArrow(tidy(run), "rid long, shingles array<long>")
 
 
-def _postings(sketches: DataFrame) -> DataFrame:
-    """(value, rid, size): each document under the rarest of its retained values that others retain too."""
-    values = sketches.select("rid", "size", "needed", F.explode("retained").alias("value"))
-    known = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = values.join(known, "value").groupBy("rid", "size", "needed").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("shared"))
-    # of the retained values but needed - 1, those that no other document retains come first
-    posted = F.size("shared") - F.col("needed") + 1
-    rarest = F.slice("shared", F.lit(1), F.greatest(posted, F.lit(0)).cast("int"))
-    return shared.select("rid", "size", F.explode(rarest).alias("v")).select("v.value", "rid", "size")
+def _possible(k: int, num: int, den: int) -> Column:
+    """Whether a pair that meets at a value can be similar: by the sizes, and by what follows the value in both
+    sketches if it is the first that they share."""
+    a, b = F.col("a_size"), F.col("b_size")
+    near = F.least(a, b) * den >= F.greatest(a, b) * num
+    certain = F.ceil((a + b) * num / (num + den) - 1e-9) - F.greatest(F.lit(0), a - k) - F.greatest(F.lit(0), b - k)
+    need = F.greatest(F.lit(1), certain, F.when(F.greatest(a, b) > k, sure_matches(k, num, den)).otherwise(0))
+    rest = F.least(F.least(a, F.lit(k)) - F.col("a_at"), F.least(b, F.lit(k)) - F.col("b_at"))
+    return near & (rest >= need)
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, work: Scratch, name: str, k: int, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, records: DataFrame, sets: DataFrame, work: Scratch, step: str, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar: estimated on sketches, then verified on full sets."""
     side = lambda df, s: df.select(*[F.col(c).alias(s if c == "rid" else f"{s}_{c}") for c in df.columns])
-    met = pairs.join(side(sketches.drop("needed"), "a"), "a").join(side(sketches.drop("needed"), "b"), "b")
+    light = records.select("rid", "size", "retained")
+    met = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b")
     common = F.array_intersect("a_retained", "b_retained")
-    union = F.slice(F.array_sort(F.array_union("a_retained", "b_retained")), 1, k)
+    # values are ordered as unsigned numbers, as they were retained
+    unsigned = F.transform(F.array_union("a_retained", "b_retained"), lambda v: v.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    edge = F.element_at(F.array_sort(unsigned), k)
+    within = F.size(F.filter(common, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)).cast("long")) <= edge))
     similar = lambda shared: shared * (num + den) >= (F.col("a_size") + F.col("b_size")) * num
     small = F.greatest("a_size", "b_size") <= k
-    enough = F.when(small, similar(F.size(common))).otherwise(F.size(F.array_intersect(common, union)) >= sure_matches(k, num, den))
-    estimated = work.write(met.where(enough).select("a", "b", "a_size", "b_size", small.alias("certain")), f"estimated-{name}")
+    enough = F.when(small, similar(F.size(common))).otherwise(within >= sure_matches(k, num, den))
+    estimated = work.write(met.where(enough).select("a", "b", "a_size", "b_size", small.alias("certain")), f"estimated-{step}")
     both = estimated.where("NOT certain").join(side(sets, "a"), "a").join(side(sets, "b"), "b")
     verified = both.where(similar(F.size(F.array_intersect("a_shingles", "b_shingles"))))
-    links = work.write(estimated.where("certain").select("a", "b").unionByName(verified.select("a", "b")), f"links-{name}")
-    work.drop(f"estimated-{name}")
-    return links
-
-
-def _joined(labels: DataFrame, links: DataFrame, work: Scratch, name: str) -> DataFrame:
-    """labels (rid, label) after these links."""
-    at = lambda end: labels.select(F.col("rid").alias(end), F.col("label").alias(f"{end}_label"))
-    edges = links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-    least = components(edges, work, f"{name}-edges").select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return work.write(labels.join(least, "label", "left").select("rid", F.coalesce("least", "label").alias("label")), f"{name}-labels")
+    return estimated.where("certain").select("a", "b").unionByName(verified.select("a", "b"))
 
 
 def near_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, k: int = RETAINED, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -162,42 +167,20 @@ def near_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, k: int
     of a similarity of num / den or more lead to, and kept tells that it is the document's own."""
     work = Scratch(docs.sparkSession, "sketch_join")
     blocks = work.write(pack_documents(docs, id_col, text_col, block_bytes), "blocks")
-    members = work.write(_members(blocks, n, num, den, k), "members")
+    members = work.write(members_of(blocks, n), "members")
     first = work.write(members.where("signature IS NOT NULL").groupBy("signature").agg(F.min("rid").alias("rid")), "first")
-    sketches = work.write(members.join(first.select("rid"), "rid", "left_semi").select("rid", F.col("n_shingles").alias("size"), "retained", "needed"), "sketches")
-
-    postings = work.write(_postings(sketches), "postings")
-    lists = postings.groupBy("value").agg(F.min("rid").alias("hub"), F.min_by("size", "rid").alias("hub_size"), F.count("*").alias("n")).where("n > 1")
-    lists = work.write(lists, "lists")
-    listed = postings.join(lists.select("value", "hub", "hub_size", "n"), "value")
-    sets = work.write(_sets(blocks, listed.select("rid").distinct(), n), "sets")
+    chosen = first.groupBy(F.shiftright("rid", _ORD).alias("block")).agg(F.collect_list(F.col("rid").bitwiseAND((1 << _ORD) - 1).cast("int")).alias("chosen"))
+    buckets = bucket_count(blocks)
+    counts = work.write(frequencies(blocks, lambda block: sketches_of(block, n, k), buckets), "counts")
+    records = work.write(_records(blocks.join(counts, "block", "left").join(chosen, "block", "left"), n, num, den, k, buckets), "records")
+    work.drop("counts")
+    # sets that are larger than their sketches
+    sets = work.write(_sets(blocks.drop("extra"), records.where(F.col("size") > k).select("rid"), n), "sets")
     work.drop("blocks")
 
-    labels = sketches.select("rid", F.col("rid").alias("label"))
-    most, step, low = lists.agg(F.max("n")).first()[0] or 0, 0, 0
-    fits = F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num
-    member = listed.select("value", F.col("rid").alias("b"), F.col("size").alias("b_size"))
-    while most and low < most:
-        high = GROWTH**step
-        if step == 0:
-            met = listed.select(F.col("hub").alias("a"), F.col("hub_size").alias("a_size"), F.col("rid").alias("b"), F.col("size").alias("b_size")).where("a <> b")
-        else:
-            own = lambda who: labels.select(F.col("rid").alias(who), F.col("label").alias(f"{who}_label"))
-            # the turn of a document among the n of its list, even and the same in each round
-            turn = F.pmod(F.xxhash64("rid", "value"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
-            stray = listed.join(own("rid"), "rid").join(own("hub"), "hub").where("rid_label <> hub_label").select("value", F.col("rid").alias("a"), F.col("size").alias("a_size"), F.col("rid_label").alias("a_label"), turn.alias("turn"))
-            stray = work.write(stray.where(F.col("turn") >= low), f"strays-{step}")
-            if stray.isEmpty():
-                break
-            met = stray.where(F.col("turn") < high).join(member, "value").where("a <> b").where(fits).join(own("b"), "b").where("a_label <> b_label")
-            low = high
-        pairs = work.write(met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{step}")
-        links = _linked(pairs, sketches, sets, work, str(step), k, num, den)
-        work.drop(f"pairs-{step}", f"strays-{step}")
-        if not links.isEmpty():
-            labels = _joined(labels, links, work, f"round-{step}")
-        step += 1
-    work.drop("postings", "lists", "sets")
+    postings = records.select("rid", "size", "skipped", F.posexplode("prefix").alias("i", "token")).select("token", "rid", "size", (F.col("i") + F.col("skipped")).alias("at"))
+    labels = records.select("rid", F.col("rid").alias("label"))
+    labels = link_lists(postings, _possible(k, num, den), lambda pairs, step: _linked(pairs, records, sets, work, step, k, num, den), labels, work)
 
     own = members.join(first.select("signature", F.col("rid").alias("first")), "signature", "left").join(labels.select(F.col("rid").alias("first"), "label"), "first", "left")
     own = work.write(own.select("doc_id", "n_shingles", F.coalesce("label", "first", "rid").alias("component")), "own")

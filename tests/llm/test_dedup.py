@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.llm import jaccard_join as jj
 from lorekeep.llm import sketch_join as sj
@@ -183,9 +184,11 @@ def boilerplate(n, seed=7):
 def test_common_passages_are_not_posted(spark):
     work, rows = Scratch(spark, "t"), boilerplate(400)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in sj.near_copies(frame(spark, rows), 3, 85, 100).collect()), key=str) == brute_components(rows, 3, 85, 100)
-    members = sj._members(work.write(sj.pack_documents(frame(spark, rows)), "blocks"), 3, 85, 100, 64)
-    postings = sj._postings(work.write(members.select("rid", "n_shingles", "retained", "needed").withColumnRenamed("n_shingles", "size"), "sketches"))
-    assert postings.groupBy("value").count().agg({"count": "max"}).first()[0] <= 20
+    blocks = work.write(sj.pack_documents(frame(spark, rows)), "blocks")
+    counts = sj.frequencies(blocks, lambda block: sj.sketches_of(block, 3, 64), 1)
+    chosen = blocks.select("block", F.sequence(F.lit(0), F.lit(399)).alias("chosen"))
+    records = sj._records(blocks.join(counts, "block").join(chosen, "block"), 3, 85, 100, 64, 1)
+    assert records.select(F.explode("prefix").alias("v")).groupBy("v").count().agg({"count": "max"}).first()[0] <= 20
 
 
 def test_sketch_bounds():
