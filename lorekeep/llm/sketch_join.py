@@ -46,6 +46,7 @@ RETAINED = 256
 #: Chance that the sketches of two linked documents share less than is asked for.
 MISS = 1e-15
 _ORD = 16  # bits of a document's place in its block
+_SIGN = np.uint64(1 << 63)  # turned, unsigned hashes keep their order as longs
 
 
 def sure_matches(k: int, num: int, den: int, miss: float = MISS) -> int:
@@ -77,7 +78,7 @@ def sketches_of(block: Block, n: int, k: int) -> list[np.ndarray]:
 
 def _records(blocks: DataFrame, n: int, num: int, den: int, k: int, buckets: int) -> DataFrame:
     """(rid, size, skipped, prefix, retained) of each class's first document with a posted value; skipped counts the
-    values before the posted ones, which no other document retains."""
+    values before the posted ones, which no other document retains.  Retained values are in the hashes' order as longs."""
     sure = sure_matches(k, num, den)
 
     def run(batches):
@@ -97,7 +98,7 @@ def _records(blocks: DataFrame, n: int, num: int, den: int, k: int, buckets: int
                     posted = order[: max(0, len(s) - least_shared(len(sets[d]), k, num, den, sure) + 1)]
                     skipped = int((code[posted] == 0).sum())
                     if skipped < len(posted):
-                        rows.append(((block.block << _ORD) + d, len(sets[d]), skipped, s[posted[skipped:]].astype(np.int64), s.astype(np.int64)))
+                        rows.append(((block.block << _ORD) + d, len(sets[d]), skipped, s[posted[skipped:]].astype(np.int64), (s ^ _SIGN).astype(np.int64)))
                     if len(rows) >= 512:
                         yield _record_batch(rows)
                         rows = []
@@ -149,10 +150,8 @@ def _linked(pairs: DataFrame, records: DataFrame, sets: DataFrame, work: Scratch
     light = records.select("rid", "size", "retained")
     met = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b")
     common = F.array_intersect("a_retained", "b_retained")
-    # values are ordered as unsigned numbers, as they were retained
-    unsigned = F.transform(F.array_union("a_retained", "b_retained"), lambda v: v.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    edge = F.element_at(F.array_sort(unsigned), k)
-    within = F.size(F.filter(common, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)).cast("long")) <= edge))
+    union = F.slice(F.sort_array(F.array_union("a_retained", "b_retained")), 1, k)
+    within = F.size(F.array_intersect(common, union))
     similar = lambda shared: shared * (num + den) >= (F.col("a_size") + F.col("b_size")) * num
     small = F.greatest("a_size", "b_size") <= k
     enough = F.when(small, similar(F.size(common))).otherwise(within >= sure_matches(k, num, den))
