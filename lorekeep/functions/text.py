@@ -104,6 +104,12 @@ def document_file_name(title: Column, uid: Column) -> Column:
     return F.concat(F.replace(title, F.lit(" "), F.lit("_")), F.lit("_"), uid.cast("string"), F.lit(".docx"))
 
 
+def safe_file_name(name: Column, most: int = 120) -> Column:
+    """name without what file systems refuse (separators, control characters); of a long one the end stays."""
+    plain = F.regexp_replace(name, r"[/\\\x00-\x1F\x7F]", "_")
+    return F.when(F.length(plain) <= most, plain).otherwise(F.concat(F.substring(plain, 1, most // 2), F.lit("_"), F.substring(plain, -(most - most // 2 - 1), most)))
+
+
 def month_day(c: Column, as_of: str) -> Column:
     """Date of a text such as "Jan 26", "January 26", "01 26" or "26 01" in the year before as_of's."""
     # the year is put in first: 29 February exists in a leap year only

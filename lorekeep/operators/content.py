@@ -6,15 +6,21 @@ required field is missing.  Parts of multimodal contents are decoded the same wa
 
 ``to_tables`` takes conversations apart into tables with keys made from the export's own ids; ``from_tables``
 joins them again.  A content whose payload is missing comes back as kind "unknown".
+
+``walk_columns`` is what the state machine of discussions takes of a decoded message: its steps (code, each
+thought by itself, a text between) and its text as an answer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.functions.text import escape_quotes
+
 #: The fields of each kind of content, with their types; "!" marks required ones.
 KINDS = {
     "code": "language string!, response_format_name string, text string!",
@@ -77,8 +83,7 @@ def decode(messages: DataFrame, content: str = "content") -> DataFrame:
     kind = _get(value, "$.content_type", "string")
     out, error = [], F.when(kind.isNull(), F.lit("content_type is missing"))
     for name, spec in KINDS.items():
-        spec_text = spec.replace("array<variant>", "array<variant>")
-        fields, names = _decoded(value, spec_text)
+        fields, names = _decoded(value, spec)
         good = (kind == name) & (F.size(names) == 0)
         out.append(F.when(good, fields).alias(name))
         error = error.when(kind == name, _missing(kind, names))
@@ -148,15 +153,16 @@ def rejected_messages(nodes: DataFrame) -> DataFrame:
 # Tables -----------------------------------------------------------------------------------------
 
 
-def to_tables(conversations: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
+def to_tables(conversations: DataFrame, nodes: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, _: rows) -> dict[str, DataFrame]:
     """Conversations (conversation_id, title, create_time, update_time) and their nodes as tables.
 
-    node_key and content_key are "conversation/node"; a content belongs to the message of its node.
+    node_key and content_key are "conversation/node"; a content belongs to the message of its node.  keep may
+    write rows that many tables are made from, under a name, and gives back what was written.
     """
     key = F.concat_ws("/", "conversation_id", "id")
     rows = nodes.withColumn("node_key", key)
-    said = decode(rows.where("message IS NOT NULL").select("node_key", "message", F.col("message.content").alias("content")))
-    contents = said.select(F.col("node_key").alias("content_key"), "node_key", F.lit(0).alias("seq"), F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(F.concat(F.lit("unknown:"), F.coalesce("kind", F.lit("")))).alias("content_type"))
+    said = keep(decode(rows.where("message IS NOT NULL").select("node_key", "message", F.col("message.content").alias("content"))), "decoded")
+    contents = said.select(F.col("node_key").alias("content_key"), "node_key", F.lit(0).alias("seq"), opaque(F.col("kind")).alias("content_type"))
     tables = {
         "conversations": conversations.select("conversation_id", "title", "create_time", "update_time"),
         "nodes": rows.select("node_key", "conversation_id", "id", F.when(F.col("parent").isNotNull(), F.concat_ws("/", "conversation_id", "parent")).alias("parent_key"), "children"),
@@ -170,13 +176,15 @@ def to_tables(conversations: DataFrame, nodes: DataFrame) -> dict[str, DataFrame
             tables[kind] = said.where(F.col(kind).isNotNull()).select(F.col("node_key").alias("content_key"), f"{kind}.*")
     tables["thoughts"] = said.where("thoughts IS NOT NULL").select(F.col("node_key").alias("content_key"), F.col("thoughts.source_analysis_msg_id").alias("source_analysis_msg_id"))
     tables["thought"] = said.where("thoughts IS NOT NULL").select(F.col("node_key").alias("content_key"), F.posexplode("thoughts.thoughts").alias("seq", "t")).select("content_key", "seq", "t.*")
+    tables["multimodal"] = said.where("multimodal_text IS NOT NULL").select(F.col("node_key").alias("content_key"))
     pieces = parts(said.withColumnRenamed("node_key", "content_key"), ["content_key"])
     part_key = ["content_key", "seq"]
     tables["multimodal_part"] = pieces.select(*part_key, "part_kind", "text", "error")
     tables["audio_pointer"] = pieces.where("audio IS NOT NULL").select(*part_key, "audio_kind", "audio.*")
     for name, column in (("transcription", "audio_transcription"), ("image_pointer", "image_asset_pointer"), ("real_time", PART_REAL_TIME), ("image_metadata", "image_metadata"), ("dalle", "dalle"), ("generation", "generation"), ("audio_metadata", "audio_metadata")):
         found = pieces.where(F.col(column).isNotNull())
-        tables[name] = found.select(*part_key, *[F.col(f"{column}.{n}").alias(n) for n in pieces.schema[column].dataType.names if n not in ("frames_asset_pointers",)])
+        # frames are kept as texts of JSON
+        tables[name] = found.select(*part_key, *[(F.transform(f"{column}.{n}", lambda v: F.to_json(v)) if n == "frames_asset_pointers" else F.col(f"{column}.{n}")).alias(n) for n in pieces.schema[column].dataType.names])
     return tables
 
 
@@ -195,27 +203,35 @@ def multimodal(tables: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("content_key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
 
 
-def from_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """(conversation_id, id, parent_key, children, role, name, end_turn, create_time, update_time, kind, a
-    struct for each kind) of the stored messages; a message without an author is left out."""
-    rows = tables["nodes"].join(tables["messages"], "node_key").join(tables["authors"], "node_key")
-    rows = rows.join(tables["contents"].select("content_key", F.col("node_key"), "content_type"), "node_key")
-    for kind in KINDS:
+def payloads(tables: dict[str, DataFrame]) -> DataFrame:
+    """(content_key, content_type, a struct for each of KINDS and the map other): what contents hold, one row each."""
+
+    def of(kind: str) -> DataFrame:
         if kind == "multimodal_text":
-            payload = multimodal(tables).select("content_key", F.struct("parts").alias(kind))
-        elif kind == "thoughts":
+            each = multimodal(tables)
+            none = F.array().cast(each.schema["parts"].dataType)
+            return tables["multimodal"].join(each, "content_key", "left").select("content_key", F.lit(kind).alias("content_type"), F.struct(F.coalesce("parts", none).alias("parts")).alias(kind))
+        if kind == "thoughts":
             each = tables["thought"].groupBy("content_key").agg(F.array_sort(F.collect_list(F.struct("seq", "summary", "content", "chunks", "finished"))).alias("thoughts"))
-            empty = F.array().cast(each.schema["thoughts"].dataType)
-            payload = tables["thoughts"].join(each, "content_key", "left").select("content_key", F.struct(F.coalesce("thoughts", empty).alias("thoughts"), "source_analysis_msg_id").alias(kind))
-        else:
-            payload = tables[kind].select("content_key", F.struct(*[c for c in tables[kind].columns if c != "content_key"]).alias(kind))
-        rows = rows.join(payload, "content_key", "left")
-    has = reduce(lambda a, k: F.when((F.col("content_type") == k) & F.col(k).isNotNull(), F.lit(k)).otherwise(a), KINDS, F.lit("unknown"))
-    return rows.select("conversation_id", "id", "parent_key", "children", "role", "name", "end_turn", "create_time", "update_time", has.alias("kind"), *KINDS)
+            none = F.array().cast(each.schema["thoughts"].dataType)
+            return tables["thoughts"].join(each, "content_key", "left").select("content_key", F.lit(kind).alias("content_type"), F.struct(F.coalesce("thoughts", none).alias("thoughts"), "source_analysis_msg_id").alias(kind))
+        return tables[kind].select("content_key", F.lit(kind).alias("content_type"), F.struct(*[c for c in tables[kind].columns if c != "content_key"]).alias(kind))
+
+    other = tables["unknown"].join(tables["contents"].select("content_key", "content_type"), "content_key").select("content_key", "content_type", "other")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*map(of, KINDS), other])
+
+
+def from_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """(conversation_id, id, parent_key, children, role, name, end_turn, create_time, update_time, content_type,
+    kind, a struct for each kind, other) of the stored messages; a message without an author is left out."""
+    rows = tables["nodes"].join(tables["messages"], "node_key").join(tables["authors"], "node_key")
+    rows = rows.join(tables["contents"].select("content_key", "node_key", "content_type"), "node_key").join(payloads(tables), ["content_key", "content_type"], "left")
+    has = reduce(lambda a, k: F.when(F.col(k).isNotNull(), F.lit(k)).otherwise(a), KINDS, F.lit("unknown"))
+    return rows.select("conversation_id", "id", "parent_key", "children", "role", "name", "end_turn", "create_time", "update_time", "content_type", has.alias("kind"), *KINDS, "other")
 
 
 def texts() -> Column:
-    """The texts of a decoded message, as the state machine takes them: parts of texts, code, titles of thoughts."""
+    """The texts of a decoded message: parts of texts, code, results, the source message's id of thoughts."""
     c = F.col
     one = F.when(c("kind") == "code", c("code.text")).when(c("kind") == "execution_output", c("execution_output.text")).when(c("kind") == "reasoning_recap", c("reasoning_recap.content"))
     one = one.when(c("kind") == "system_error", c("system_error.text")).when(c("kind") == "tether_browsing_display", c("tether_browsing_display.result")).when(c("kind") == "tether_quote", c("tether_quote.text"))
@@ -224,8 +240,57 @@ def texts() -> Column:
 
 
 def opaque(kind: Column) -> Column:
-    """The content type under which an incremental store keeps a kind: what it has no tables for is opaque."""
-    return F.when(kind == "multimodal_text", kind).when(kind.isin(*KINDS), kind).otherwise(F.concat(F.lit("unknown:"), kind))
+    """The content type under which a store keeps a kind: what it has no tables for is opaque."""
+    return F.when(kind.isin(*KINDS), kind).otherwise(F.concat(F.lit("unknown:"), F.coalesce(kind, F.lit(""))))
+
+
+# What discussions take --------------------------------------------------------------------------
+
+#: Between the parts of a text.
+PART = " |<part>| "
+#: Fixed form of a step of an assistant's turn; kind is code, reflection, intermediate or tool_call.
+STEP = "kind string, text string, language string, format string, summary string, chunks array<string>, finished boolean"
+
+
+def step(kind: str, text: Column, **fields: Column) -> Column:
+    """A step with the given fields, others null."""
+    own = {"kind": F.lit(kind), "text": text, **fields}
+    return F.struct(*[own.get(n, F.lit(None)).cast(t).alias(n) for n, t in (f.split(" ") for f in STEP.split(", "))])
+
+
+def steps() -> Column:
+    """The steps that a decoded message adds to a turn: one of its code or text, and one for each thought."""
+    thought = lambda t: step("reflection", t["content"], summary=t["summary"], chunks=F.coalesce(t["chunks"], F.array().cast("array<string>")), finished=t["finished"])
+    found = F.when(F.col("kind") == "code", F.array(step("code", F.col("code.text"), language=F.col("code.language"), format=F.col("code.response_format_name"))))
+    found = found.when(F.col("kind") == "text", F.array(step("intermediate", F.array_join("text.parts", PART)))).when(F.col("kind") == "thoughts", F.transform("thoughts.thoughts", thought))
+    return F.coalesce(found, F.array().cast(f"array<struct<{STEP}>>"))
+
+
+#: What an answer of each kind begins with.
+LABELS = {"text": "", "code": "CodeContent: ", "execution_output": "ExecutionOutputContent: ", "model_editable_context": "ModelEditableContent: ", "multimodal_text": "MultimodalTextContent: ", "reasoning_recap": "ReasoningRecapContent: ", "system_error": "SystemErrorContent: ", "tether_browsing_display": "TetherBrowsingDisplayContent: ", "tether_quote": "TetherQuoteContent: ", "thoughts": "ThoughtsContent: "}
+
+
+def response(tag: Column) -> Column:
+    """A decoded message's text as an answer, tag being its content type.  Parts of multimodal contents and unknown ones are shown as JSON,
+    an absent summary or asset as Nothing."""
+    c = F.col
+    shown = {
+        "system_error": F.concat_ws(" ", "system_error.name", "system_error.text"),
+        "tether_browsing_display": F.concat_ws(" ", "tether_browsing_display.result", *[F.coalesce(c(f"tether_browsing_display.{n}"), F.lit("Nothing")) for n in ("summary", "assets")], F.coalesce(c("tether_browsing_display.tether_id"), F.lit("No tetherID"))),
+        "tether_quote": F.concat_ws(" ", *[f"tether_quote.{n}" for n in ("url", "domain", "text", "title")], F.coalesce(c("tether_quote.tether_id"), F.lit("No tetherID"))),
+        "multimodal_text": F.to_json("multimodal_text.parts"),
+    }
+    text = F.when(F.lit(False), F.lit(""))
+    for kind, label in LABELS.items():
+        text = text.when(c("kind") == kind, F.concat(F.lit(label), shown.get(kind, F.array_join(texts(), PART))))
+    raw = F.transform(F.array_sort(F.map_entries("other")), lambda e: F.concat(F.lit('"'), escape_quotes(e["key"]), F.lit('":'), e["value"]))
+    return text.otherwise(F.concat(F.lit("OtherContent: "), F.regexp_replace(tag, "^unknown:", ""), F.lit(" {"), F.coalesce(F.array_join(raw, ","), F.lit("")), F.lit("}")))
+
+
+def walk_columns(stored: bool = False) -> list[Column]:
+    """content_type, parts, steps and response of decoded or stored messages, for ``discussion.fold_messages``."""
+    tag = F.col("content_type") if stored else opaque(F.col("kind"))
+    return [tag.alias("content_type"), texts().alias("parts"), steps().alias("steps"), response(tag).alias("response")]
 
 
 # Code of assistants -----------------------------------------------------------------------------
@@ -233,8 +298,14 @@ def opaque(kind: Column) -> Column:
 
 def embedded_document(text: Column) -> Column:
     """The content of a JSON document {name, type, content} within a text; null if it is none."""
+    return embedded_type(text)[1]
+
+
+def embedded_type(text: Column) -> tuple[Column, Column]:
+    """Type and content of a JSON document {name, type, content} within a text; null if it is none."""
     found = F.from_json(text, "name string, type string, content string")
-    return F.when(found["name"].isNotNull() & found["type"].isNotNull(), found["content"])
+    whole = found["name"].isNotNull() & found["type"].isNotNull() & found["content"].isNotNull()
+    return F.when(whole, found["type"]), F.when(whole, found["content"])
 
 
 def search_queries(text: Column) -> Column:

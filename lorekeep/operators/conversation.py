@@ -6,10 +6,11 @@ message.  Nodes become rows; a walk orders the rows of a conversation.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators import numbering
+
 #: Root of an exported conversation; else the first node without a parent is it.
 ROOT = "client-created-root"
 
@@ -42,77 +43,70 @@ def message_rows(rows: DataFrame) -> DataFrame:
     return rows.select("conversation_id", "id", "parent", "children", F.lower(m["author"]["role"]).alias("role"), kind.alias("content_type"), F.coalesce(parts, F.array().cast("array<string>")).alias("parts"), F.coalesce(m["end_turn"], F.lit(False)).alias("end_turn"), m["create_time"].alias("create_time"), m["update_time"].alias("update_time"))
 
 
+def _roots(rows: DataFrame) -> DataFrame:
+    """(conversation_id, root): the node of the export's own root, else the least node without a parent."""
+    least = F.struct(F.col("id") != ROOT, "id")
+    return rows.where((F.col("id") == ROOT) | F.col("parent").isNull()).groupBy("conversation_id").agg(F.min_by("id", least).alias("root"))
+
+
 def walk_order(rows: DataFrame, forward: bool = False) -> DataFrame:
     """(conversation_id, id, pos, depth, issue): each conversation's nodes in the order of a walk.
 
-    Siblings come last to first, or first to last if forward is set.  A child that the mapping lacks is an
-    issue with no place.  One conversation's ids are one group: its texts stay outside.
-    """
+    Siblings come last to first, or first to last if forward is set.  A child that the mapping lacks is an issue
+    with no place, and so is a node where it is listed again: it belongs under the node that it names as
+    its parent, or else under the first that lists it.  What the root does not lead to is not in the walk.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        children = {i: list(c) for i, c in zip(pdf["id"], pdf["children"], strict=True)}
-        parents = dict(zip(pdf["id"], pdf["parent"], strict=True))
-        roots = [ROOT] if ROOT in children else sorted(i for i, p in parents.items() if p is None)[:1]
-        out, seen, stack = [], set(), [(r, 1) for r in roots]
-        while stack:
-            i, depth = stack.pop()
-            if i not in children:
-                out.append((i, None, depth, f"missing node: {i}"))
-            elif i in seen:
-                out.append((i, None, depth, f"cycle at node: {i}"))
-            else:
-                seen.add(i)
-                out.append((i, len(seen), depth, None))
-                below = children[i] if not forward else children[i][::-1]
-                stack += [(c, depth + 1) for c in below]
-        frame = pd.DataFrame(out, columns=["id", "pos", "depth", "issue"])
-        frame.insert(0, "conversation_id", pdf["conversation_id"].iloc[0])
-        frame["pos"] = frame["pos"].astype("Int64")
-        return frame
-
-    return rows.select("conversation_id", "id", "parent", "children").groupBy("conversation_id").applyInPandas(run, "conversation_id string, id string, pos long, depth int, issue string")
+    Places come from sizes of subtrees (``numbering``), so a conversation may be of any length.
+    """
+    rows = rows.select("conversation_id", "id", "parent", "children")
+    roots = _roots(rows)
+    visit = F.col("children") if forward else F.reverse("children")
+    listed = rows.select("conversation_id", F.col("id").alias("lister"), F.posexplode(visit).alias("i", "id"))
+    known = rows.select("conversation_id", "id", "parent").join(roots, "conversation_id", "left")
+    listed = listed.join(known, ["conversation_id", "id"], "left").withColumn("there", F.col("root").isNotNull() & (F.col("root") != F.col("id")))
+    claim = Window.partitionBy("conversation_id", "id").orderBy(F.col("lister").eqNullSafe(F.col("parent")).desc(), "lister", "i")
+    listed = listed.withColumn("own", F.coalesce("there", F.lit(False)) & (F.row_number().over(claim) == 1))
+    key = lambda at, again: F.struct("conversation_id", at.alias("id"), again.alias("again"))
+    none = F.lit("")
+    # a node stands under its own key, a mention without a place under one of its own
+    listed = listed.withColumn("key", F.when(F.col("own"), key(F.col("id"), none)).otherwise(key(F.col("id"), F.concat("lister", F.lit("#"), "i"))))
+    below = listed.select("key", key(F.col("lister"), none).alias("parent"), F.col("own").cast("int").alias("counted"), "i")
+    tops = roots.select(key(F.col("root"), none).alias("key"), F.lit(None).cast(below.schema["parent"].dataType).alias("parent"), F.lit(1).alias("counted"), F.lit(0).alias("i"))
+    work = numbering.Rounds(rows.sparkSession, "walk")
+    nodes, _ = work.write(below.unionByName(tops))
+    sizes, _ = work.write(numbering.subtrees(nodes.select(F.col("key").alias("id"), "parent", "counted"), "walk").where("NOT closed"))
+    # within the list of one node's children
+    earlier = F.sum("size").over(Window.partitionBy("parent").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    paths = nodes.join(sizes, F.col("key") == F.col("id")).where(F.col("parent").isNotNull()).select("key", "parent", "counted", earlier.alias("earlier"))
+    paths = paths.unionByName(tops.select("key", "parent", "counted", F.lit(0).cast("long").alias("earlier")))
+    paths = paths.select(F.col("key").alias("id"), F.col("parent").alias("before"), (F.coalesce("earlier", F.lit(0)) + F.col("counted")).alias("pre"))
+    placed = numbering.ranked(paths, ["pre"], "walk").select("id", "pre")
+    walk = sizes.join(tops.select(F.col("key").alias("head")), "head", "left_semi").join(placed, "id")
+    walk = walk.select("pre", "depth", F.col("id.conversation_id").alias("conversation_id"), F.col("id.id").alias("id"), F.col("id.again").alias("again"))
+    there = rows.select("conversation_id", "id", F.lit(True).alias("there"))
+    told = walk.select("conversation_id", "id", "pre", "depth", "again").join(there, ["conversation_id", "id"], "left")
+    issue = F.when(F.col("there").isNull(), F.concat(F.lit("missing node: "), "id")).when(F.col("again") != "", F.concat(F.lit("cycle at node: "), "id"))
+    return told.select("conversation_id", "id", F.when(issue.isNull(), F.col("pre")).alias("pos"), F.col("depth").cast("int").alias("depth"), issue.alias("issue"))
 
 
 def chain_order(rows: DataFrame) -> DataFrame:
-    """(conversation_id, id, idx, issue): the chain that goes to the least child at each step, from 0; where
-    it would come back to itself a row without a place tells so.
+    """(conversation_id, id, idx, issue): the chain that goes to the least child at each step, from 0; where steps to
+    the least child come back to themselves a row without a place tells so, with the least node there.
 
-    A chain can be as long as a conversation, so a group of ids is followed and no recursive query.
+    The chain is ranked by pointer doubling: one of n nodes takes log2(n) joins.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        least: dict = {}
-        for i, p in zip(pdf["id"], pdf["parent"], strict=True):
-            if p is not None and (p not in least or i < least[p]):
-                least[p] = i
-        roots = sorted(i for i, p in zip(pdf["id"], pdf["parent"], strict=True) if p is None)
-        chain, at = [], roots[0] if roots else None
-        seen = set()
-        while at is not None and at not in seen:
-            seen.add(at)
-            chain.append(at)
-            at = least.get(at)
-        frame = pd.DataFrame({"id": chain, "idx": range(len(chain)), "issue": None}, columns=["id", "idx", "issue"]).astype({"idx": "Int64", "issue": object})
-        closed = _cycle(least)
-        if closed is not None:
-            frame.loc[len(frame)] = [closed, pd.NA, f"cycle at node: {closed}"]
-        frame.insert(0, "conversation_id", pdf["conversation_id"].iloc[0])
-        return frame
-
-    return rows.select("conversation_id", "id", "parent").groupBy("conversation_id").applyInPandas(run, "conversation_id string, id string, idx long, issue string")
-
-
-def _cycle(least: dict) -> str | None:
-    """A node to which the steps to the least child come back; every node is passed once."""
-    came: dict = {}
-    for start in sorted(least):
-        at = start
-        while at is not None and at not in came:
-            came[at] = start
-            at = least.get(at)
-        if at is not None and came[at] == start:
-            return at
-    return None
+    rows = rows.select("conversation_id", "id", "parent")
+    key = lambda c: F.struct("conversation_id", F.col(c).alias("id"))
+    steps = rows.where("parent IS NOT NULL").groupBy("conversation_id", "parent").agg(F.min("id").alias("id"))
+    least = steps.select("conversation_id", "id", F.col("parent").alias("before"))
+    links = rows.select("conversation_id", "id").distinct().join(least, ["conversation_id", "id"], "left")
+    links = links.select(key("id").alias("id"), F.when(F.col("before").isNotNull(), key("before")).alias("before"), F.lit(1).cast("long").alias("n"))
+    found = numbering.ranked(links, ["n"], "chain")
+    first = rows.where("parent IS NULL").groupBy("conversation_id").agg(F.min("id").alias("root"))
+    found = found.select(F.col("id.conversation_id").alias("conversation_id"), F.col("id.id").alias("id"), F.col("head.id").alias("head"), "closed", "n")
+    chain = found.where("NOT closed").join(first, "conversation_id").where("head = root").select("conversation_id", "id", (F.col("n") - 1).alias("idx"), F.lit(None).cast("string").alias("issue"))
+    back = found.where("closed").groupBy("conversation_id").agg(F.min("id").alias("id"))
+    return chain.unionByName(back.select("conversation_id", "id", F.lit(None).cast("long").alias("idx"), F.concat(F.lit("cycle at node: "), "id").alias("issue")))
 
 
 def orphans(rows: DataFrame) -> DataFrame:

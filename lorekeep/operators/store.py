@@ -32,8 +32,10 @@ def import_blocks(stored: DataFrame, gated: DataFrame, incoming: DataFrame, seq:
 
     stored: the block table (uid, parent, doc, seq_pos, kind, content, valid_from, valid_to).  incoming: key,
     parent, doc, seq_pos, kind, content.  Top blocks hang under the document's root, which is made if it
-    has none, behind the live blocks there.
+    has none, behind the live blocks there.  Keys become uids with the sequence number, so that an import that is
+    made again makes blocks of its own.
     """
+    numbered = lambda c: F.concat(F.col(c), F.lit(f"@{seq}"))
     passed = gated.where("reason IS NULL").select("doc", "user")
     mine = incoming.join(passed.select("doc").distinct(), "doc", "left_semi")
     fresh = missing_roots(passed, stored, seq)
@@ -43,7 +45,7 @@ def import_blocks(stored: DataFrame, gated: DataFrame, incoming: DataFrame, seq:
     placed = mine.join(roots, "doc").join(last, F.col("root") == F.col("_of"), "left")
     top = F.col("parent").isNull()
     pos = F.when(top, F.coalesce("_last", F.lit(0)) + F.col("seq_pos")).otherwise(F.col("seq_pos")).cast(KEY)
-    blocks = placed.select(F.col("key").alias("uid"), F.when(top, F.col("root")).otherwise(F.col("parent")).alias("parent"), "doc", pos.alias("seq_pos"), "kind", "content", F.lit(seq).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
+    blocks = placed.select(numbered("key").alias("uid"), F.when(top, F.col("root")).otherwise(numbered("parent")).alias("parent"), "doc", pos.alias("seq_pos"), "kind", "content", F.lit(seq).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
     blocks = fresh.select(*blocks.columns).unionByName(blocks)
     data = F.to_json(F.struct(F.col("valid_from").alias("sequence"), "parent", "kind", "seq_pos"))
     events = blocks.join(passed.groupBy("doc").agg(F.min("user").alias("actor")), "doc").select("doc", "uid", F.lit("insert").alias("event_type"), data.alias("event_data"), "actor")

@@ -1,19 +1,18 @@
 """Ordered trees of blocks with validity: walks, snapshots, positions and changes.
 
 Blocks: uid, parent (null for a root), seq_pos DECIMAL(38,10), content, valid_from, valid_to.
-Walks go level by level, one join and one written table for each, until a level is empty.
+Walks number the trees (``numbering``), so their joins grow with the logarithm of the depth.
 
 What changes blocks gives the new blocks; ``change_events`` tells what was done to each of them.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.numbering import ancestry, numbered
+
 KEY = "decimal(38,10)"
 
 
@@ -30,61 +29,48 @@ def snapshot(blocks: DataFrame, seq: int) -> DataFrame:
     return as_of(blocks, seq).orderBy(F.asc_nulls_first("parent"), "seq_pos")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the cluster; in the warehouse if that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def placed(blocks: DataFrame, seq: int) -> DataFrame:
+    """(uid, place, n_below, depth) of the blocks that are live at seq and hang below a live root: the walk of all
+    of them in depth-first order, siblings by key.  Below block b are those with b.place < place <= b.place + b.n_below."""
+    live = as_of(blocks, seq).select(F.col("uid").alias("id"), "parent", "seq_pos")
+    roots = live.where("parent IS NULL").select(F.col("id").alias("head"))
+    return numbered(live, ["seq_pos"], "walk").join(roots, "head", "left_semi").select(F.col("id").alias("uid"), "place", "n_below", "depth")
 
 
-def _by_levels(spark: SparkSession, first: DataFrame, below: Callable[[DataFrame, int], DataFrame], name: str, most: int | None, limit: int) -> DataFrame:
-    """The union of first and the levels below it, each made from the one before.
+def depth_first(blocks: DataFrame, seq: int, start: str | None = None, max_depth: int | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """(depth, uid, parent, content, seq_pos, place, n_below, has_more) of the live blocks below start, or from the
+    roots on; place is that in depth-first order, from 1, among all of them.  has_more: blocks lie below max_depth.
 
-    Every level is written, so a walk of n levels has n joins and lost executors cost one level; it ends at
-    the first empty level or after ``most``.  More than ``limit`` levels mean a cycle.
+    offset and limit choose a range of places, as the walk without max_depth counts them.
     """
-    root = _scratch(spark, name)
-
-    def write(rows: DataFrame, depth: int) -> DataFrame:
-        rows.write.parquet(f"{root}/level-{depth}")
-        return spark.read.schema(rows.schema).parquet(f"{root}/level-{depth}")
-
-    depth, level = 1, write(first, 1)
-    schema = level.schema
-    while (most is None or depth < most) and not level.isEmpty():
-        depth += 1
-        if depth > limit + 1:
-            raise ValueError("a node stands below itself")
-        level = write(below(level, depth), depth)
-    return spark.read.schema(schema).parquet(*[f"{root}/level-{k}" for k in range(1, depth + 1)])
-
-
-def depth_first(blocks: DataFrame, seq: int, start: str | None = None, max_depth: int | None = None) -> DataFrame:
-    """(depth, uid, parent, content, seq_pos, has_more, path) of the live blocks below start, or from the
-    roots on; sorting by path gives the depth-first order.  has_more: children lie below max_depth."""
-    spark = blocks.sparkSession
     live = as_of(blocks, seq).select("uid", "parent", "content", "seq_pos")
-    first = live.where(F.col("parent").isNull() if start is None else F.col("parent") == start)
-    first = first.select(F.lit(1).alias("depth"), "uid", "parent", "content", "seq_pos", F.array(F.col("seq_pos").cast(KEY)).alias("path"))
-
-    def below(level: DataFrame, depth: int) -> DataFrame:
-        up = level.select(F.col("uid").alias("parent"), F.col("path").alias("up"))
-        return live.join(up, "parent").select(F.lit(depth).alias("depth"), "uid", "parent", "content", "seq_pos", F.concat("up", F.array(F.col("seq_pos").cast(KEY))).alias("path"))
-
-    rows = _by_levels(spark, first, below, "walk", max_depth, live.count() if max_depth is None else max_depth)
-    if max_depth is None:
-        return rows.withColumn("has_more", F.lit(False))
-    parents = live.where("parent IS NOT NULL").select(F.col("parent").alias("has_child")).distinct()
-    cut = rows.where(F.col("depth") == max_depth).join(parents, F.col("uid") == F.col("has_child"), "left").withColumn("has_more", F.col("has_child").isNotNull()).drop("has_child")
-    return rows.where(F.col("depth") < max_depth).withColumn("has_more", F.lit(False)).unionByName(cut)
+    places = placed(blocks, seq)
+    rows = places.join(live, "uid")
+    if start is not None:
+        above = places.where(F.col("uid") == start).select(F.col("place").alias("_place"), F.col("n_below").alias("_n"), F.col("depth").alias("_depth"))
+        rows = rows.join(F.broadcast(above), (F.col("place") > F.col("_place")) & (F.col("place") <= F.col("_place") + F.col("_n")))  # one row
+        rows = rows.withColumn("place", F.col("place") - F.col("_place")).withColumn("depth", F.col("depth") - F.col("_depth"))
+    if max_depth is not None:
+        rows = rows.where(F.col("depth") <= max_depth)
+    if offset > 0:
+        rows = rows.where(F.col("place") > offset)
+    if limit is not None and limit >= 0:
+        rows = rows.where(F.col("place") <= max(offset, 0) + limit)
+    more = F.lit(False) if max_depth is None else (F.col("depth") == max_depth) & (F.col("n_below") > 0)
+    return rows.select(F.col("depth").cast("int").alias("depth"), "uid", "parent", "content", "seq_pos", "place", "n_below", more.alias("has_more"))
 
 
 def taxonomy(nodes: DataFrame) -> DataFrame:
     """(uid, parent, depth) from the roots on, for any depth and any number of nodes."""
-    known = nodes.select("uid", "parent")
-    tied = known.where("parent IS NOT NULL")
-    first = known.where("parent IS NULL").select("uid", "parent", F.lit(1).alias("depth"))
-    below = lambda level, depth: tied.join(level.select(F.col("uid").alias("parent")), "parent").select("uid", "parent", F.lit(depth).alias("depth"))
-    return _by_levels(nodes.sparkSession, first, below, "taxonomy", None, known.count())
+    above = ancestry(nodes.select(F.col("uid").alias("id"), "parent"), "taxonomy").where("NOT closed")
+    roots = nodes.where("parent IS NULL").select(F.col("uid").alias("head"))
+    found = above.join(roots, "head", "left_semi").select(F.col("id").alias("uid"), "depth")
+    return nodes.select("uid", "parent").join(found, "uid").select("uid", "parent", "depth")
+
+
+def cycles(nodes: DataFrame) -> DataFrame:
+    """(uid) of nodes (uid, parent) that stand below themselves or below one that does: no walk reaches them."""
+    return ancestry(nodes.select(F.col("uid").alias("id"), "parent"), "cycles").where("closed").select(F.col("id").alias("uid"))
 
 
 def resequenced(blocks: DataFrame, step: int = 10000) -> DataFrame:
@@ -115,12 +101,27 @@ def retire(blocks: DataFrame, uids: DataFrame, seq: int) -> DataFrame:
 
 
 def move(blocks: DataFrame, moves: DataFrame, seq: int) -> DataFrame:
-    """Blocks retired at seq and put anew under another parent: moves (uid, new_uid, new_parent, new_pos)."""
+    """Blocks retired at seq and put anew under another parent: moves (uid, new_uid, new_parent, new_pos), but
+    those that ``refused_moves`` tells."""
+    moves = moves.join(refused_moves(blocks, moves, seq).select("uid", "new_uid"), ["uid", "new_uid"], "left_anti")
     old = retire(blocks, moves, seq)
     fresh = moves.join(blocks, "uid").select(F.col("new_uid").alias("uid"), F.col("new_parent").alias("parent"), F.col("new_pos").cast(KEY).alias("seq_pos"), "content", F.lit(seq).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
     return old.unionByName(fresh)
 
 
+def refused_moves(blocks: DataFrame, moves: DataFrame, seq: int) -> DataFrame:
+    """(uid, new_uid, new_parent, reason) of moves that cannot be made: of a block that is not there, to a parent that
+    is not live, or under the block itself or what lies below it."""
+    there = lambda rows, name: rows.select(F.col("uid").alias(name), F.lit(True).alias(f"_{name}")).distinct()
+    places = placed(blocks, seq)
+    own = places.select("uid", "place", "n_below")
+    target = places.select(F.col("uid").alias("new_parent"), F.col("place").alias("_to"))
+    rows = moves.join(there(blocks, "uid"), "uid", "left").join(there(as_of(blocks, seq), "new_parent"), "new_parent", "left").join(own, "uid", "left").join(target, "new_parent", "left")
+    within = (F.col("uid") == F.col("new_parent")) | ((F.col("_to") >= F.col("place")) & (F.col("_to") <= F.col("place") + F.col("n_below")))
+    reason = F.when(F.col("_uid").isNull(), "no such block").when(F.col("new_parent").isNotNull() & F.col("_new_parent").isNull(), "no live parent").when(within, "below itself")
+    return rows.select("uid", "new_uid", "new_parent", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def first_root(blocks: DataFrame) -> DataFrame:
     """(doc, uid) of each document's first live root."""
     roots = blocks.where("parent IS NULL AND valid_to IS NULL")

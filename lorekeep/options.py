@@ -18,6 +18,9 @@ class Options:
     form: str = "json"
     label: str = ""
     ids: str = ""
+    doc: str = ""
+    user: str = ""
+    types: str = "Discourse.Types"
 
 
 def expand(text: str, env: dict[str, str] | None = None) -> str:

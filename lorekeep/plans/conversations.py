@@ -97,29 +97,30 @@ def transcript(spark: SparkSession, d: str) -> DataFrame:
     return discussion.transcript(discussion.fold_messages(messages(spark, d, alternative=True)))
 
 
-_TRIPLE = r"""CASE WHEN {0} = '' THEN repeat(chr(34), 2) WHEN right({0}, 1) = chr(34) THEN repeat(chr(34), 3) || {0} || ' ' || repeat(chr(34), 3) ELSE repeat(chr(34), 3) || {0} || repeat(chr(34), 3) END"""
-_ESC = r"replace(replace({}, '\', '\\'), repeat(chr(34), 3), repeat('\' || chr(34), 3))"
+TRIPLE = r"""CASE WHEN {0} = '' THEN repeat(chr(34), 2) WHEN right({0}, 1) = chr(34) THEN repeat(chr(34), 3) || {0} || ' ' || repeat(chr(34), 3) ELSE repeat(chr(34), 3) || {0} || repeat(chr(34), 3) END"""
+ESCAPED = r"replace(replace({}, '\', '\\'), repeat(chr(34), 3), repeat('\' || chr(34), 3))"
 
 
-@query(f"""WITH {_fold_sql(True)}, st AS (SELECT conv_id, segment, string_agg('T.Intermediate ' || {_TRIPLE.format("e")}, chr(10) || '  , ' ORDER BY pos) AS s FROM (SELECT *, {_ESC.format("text")} AS e FROM step) GROUP BY ALL),
-  m AS (SELECT *, {_ESC.format("text")} AS e, '{{ id = "msg_' || seq || '", kind = T.' AS head, ', title = "msg_' || seq || '", body = [ ' AS rest FROM message WHERE kind IN ('user', 'assistant'))
-  SELECT m.conv_id, seq, CASE kind WHEN 'user' THEN head || 'Question' || rest || 'T.Basic ' || {_TRIPLE.format("e")} || ' ] }}'
-    ELSE head || 'Answer' || rest || coalesce(s || chr(10) || '  , ', '') || 'T.LineSep' || chr(10) || '  , ' || 'T.Basic ' || {_TRIPLE.format("e")} || chr(10) || '    ] }}' END AS item
+@query(f"""WITH {_fold_sql(True)}, st AS (SELECT conv_id, segment, string_agg('T.Intermediate ' || {TRIPLE.format("e")}, chr(10) || '  , ' ORDER BY pos) AS s FROM (SELECT *, {ESCAPED.format("text")} AS e FROM step) GROUP BY ALL),
+  m AS (SELECT *, {ESCAPED.format("text")} AS e, '{{ id = "msg_' || seq || '", kind = T.' AS head, ', title = "msg_' || seq || '", body = [ ' AS rest FROM message WHERE kind IN ('user', 'assistant'))
+  SELECT m.conv_id, seq, CASE kind WHEN 'user' THEN head || 'Question' || rest || 'T.Basic ' || {TRIPLE.format("e")} || ' ] }}'
+    ELSE head || 'Answer' || rest || coalesce(s || chr(10) || '  , ', '') || 'T.LineSep' || chr(10) || '  , ' || 'T.Basic ' || {TRIPLE.format("e")} || chr(10) || '    ] }}' END AS item
   FROM m LEFT JOIN st ON st.conv_id = m.conv_id AND st.segment = m.segment AND kind = 'assistant'""")
 def elm_items(spark: SparkSession, d: str) -> DataFrame:
     return discussion.elm_items(discussion.fold_messages(messages(spark, d, alternative=True)))
 
 
-@query(f"""WITH {_fold_sql(True)} SELECT conv_id, seq, count(*) AS blocks, sum(length(text)) AS chars FROM (
-  SELECT conv_id, seq, text FROM message WHERE kind IN ('user', 'assistant')
-  UNION ALL SELECT conv_id, seq, 'x' FROM message WHERE kind IN ('user', 'assistant') UNION ALL SELECT conv_id, seq, 'end-of-reflection' FROM message WHERE kind = 'assistant' UNION ALL SELECT conv_id, seq, '' FROM message WHERE kind = 'assistant'
-  UNION ALL SELECT m.conv_id, m.seq, s.text FROM message m JOIN step s ON s.conv_id = m.conv_id AND s.segment = m.segment WHERE m.kind = 'assistant'
-  UNION ALL SELECT m.conv_id, m.seq, 'Intermediate' FROM message m JOIN step s ON s.conv_id = m.conv_id AND s.segment = m.segment WHERE m.kind = 'assistant') GROUP BY ALL""")
+_HEADER = r"""array_to_string(string_split(CASE WHEN length({0}) <= 120 THEN {0} ELSE substr({0}, 1, 119) || '…' END, ' ')[1:14], ' ')""".format(r"trim(regexp_replace(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 600), '\s+', ' ', 'g'))")
+
+
+@query(f"""WITH {_fold_sql(True)}, st AS (SELECT conv_id, segment, flatten(list([{{'style': 'Heading 3', 'text': 'Intermediate'}}, {{'style': 'GF Intermediate Body', 'text': text}}] ORDER BY pos)) AS s FROM step GROUP BY ALL),
+  block AS (SELECT m.conv_id, seq, CASE kind WHEN 'user' THEN [{{'style': 'GF M Header', 'text': 'Manager> ' || {_HEADER}}}, {{'style': 'GF Q Body', 'text': text}}]
+    ELSE [{{'style': 'GF A Header', 'text': 'Analyst> ' || {_HEADER}}}] || coalesce(s, []) || [{{'style': 'GF EndOfReflection', 'text': 'end-of-reflection'}}, {{'style': 'Rule', 'text': ''}}, {{'style': 'GF A Body', 'text': text}}] END AS b
+    FROM message m LEFT JOIN st ON st.conv_id = m.conv_id AND st.segment = m.segment WHERE kind IN ('user', 'assistant'))
+  SELECT conv_id, seq, CAST(place AS INTEGER) AS place, b.style AS style, b.text AS text FROM (SELECT conv_id, seq, unnest(b) AS b, unnest(range(len(b))) AS place FROM block)""")
 def docx_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks and characters of each message's document rows; a header counts one character."""
-    rows = discussion.document_rows(discussion.fold_messages(messages(spark, d, alternative=True)))
-    size = F.when(F.col("style").endswith("Header"), 1).otherwise(F.length("text"))
-    return rows.groupBy("conv_id", "seq").agg(F.count("*").alias("blocks"), F.sum(size).alias("chars"))
+    """The paragraphs of each question and answer."""
+    return discussion.document_rows(discussion.fold_messages(messages(spark, d, alternative=True)))
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:

@@ -21,33 +21,37 @@ def query(sql: str | None = None):
     return keep
 
 
-def _walk_sql(seq: int, anchor: str, depth: int) -> str:
-    return f"""WITH RECURSIVE {TREE_SQL}, live AS (SELECT * FROM block WHERE valid_from <= {seq} AND (valid_to IS NULL OR valid_to > {seq})),
-  w AS (SELECT CAST(1 AS INTEGER) AS depth, uid, parent, content, seq_pos, [seq_pos] AS path FROM live WHERE {anchor}
-    UNION ALL SELECT CAST(w.depth + 1 AS INTEGER), c.uid, c.parent, c.content, c.seq_pos, list_append(w.path, c.seq_pos) FROM w JOIN live c ON c.parent = w.uid WHERE w.depth < {depth})
-  SELECT depth, uid, parent, content, CAST(row_number() OVER (ORDER BY path, uid) AS INTEGER) AS place, depth = {depth} AND uid IN (SELECT parent FROM live WHERE parent IS NOT NULL) AS has_more FROM w"""
+def _live_sql(seq: int) -> str:
+    return f"live AS (SELECT * FROM block WHERE valid_from <= {seq} AND (valid_to IS NULL OR valid_to > {seq}))"
+
 
+def _walk_sql(seq: int, anchor: str, depth: int, places: str = "true") -> str:
+    """Walks by paths; places are those among all blocks below the anchor."""
+    return f"""WITH RECURSIVE {TREE_SQL}, {_live_sql(seq)},
+  w AS (SELECT CAST(1 AS INTEGER) AS depth, uid, parent, content, seq_pos, [seq_pos] AS path FROM live WHERE {anchor}
+    UNION ALL SELECT CAST(w.depth + 1 AS INTEGER), c.uid, c.parent, c.content, c.seq_pos, list_append(w.path, c.seq_pos) FROM w JOIN live c ON c.parent = w.uid),
+  p AS (SELECT *, row_number() OVER (ORDER BY path, uid) AS place FROM w),
+  b AS (SELECT a.uid, count(*) - 1 AS n_below FROM w a JOIN w x ON x.path[1:len(a.path)] = a.path GROUP BY a.uid)
+  SELECT depth, p.uid, parent, content, place, n_below, depth = {depth} AND n_below > 0 AS has_more FROM p JOIN b ON b.uid = p.uid WHERE depth <= {depth} AND {places}"""
 
-def _placed(spark: SparkSession, d: str, seq: int, start: str | None, depth: int) -> DataFrame:
-    """The walk with places: siblings' subtrees are counted, so that no task sorts all rows."""
-    rows = op.depth_first(tree(spark, d), seq, start, depth)
-    top = rows.groupBy(F.col("path")[0].alias("first")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
 
-    before = top.select("first", (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("before"))  # a row for each top block
-    inner = F.row_number().over(Window.partitionBy(F.col("path")[0]).orderBy("path", "uid"))
-    rows = rows.withColumn("inner", inner).join(before, F.col("path")[0] == F.col("first"))
-    return rows.select("depth", "uid", "parent", "content", (F.col("before") + F.col("inner")).cast("int").alias("place"), "has_more")
+_WALKED = ["depth", "uid", "parent", "content", "place", "n_below", "has_more"]
 
 
 @query(_walk_sql(2, "parent IS NULL", 3))
 def blocks_dfs(spark: SparkSession, d: str) -> DataFrame:
-    return _placed(spark, d, 2, None, 3)
+    return op.depth_first(tree(spark, d), 2, None, 3).select(*_WALKED)
+
+
+@query(_walk_sql(2, "parent IS NULL", 99, "place BETWEEN 101 AND 400"))
+def blocks_dfs_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the walk as a range of places."""
+    return op.depth_first(tree(spark, d), 2, offset=100, limit=300).select(*_WALKED)
 
 
-@query(_walk_sql(3, "parent = 'r1'", 1))
+@query(_walk_sql(3, "parent = 'r1'", 2))
 def subtree_dfs(spark: SparkSession, d: str) -> DataFrame:
-    return _placed(spark, d, 3, "r1", 1)
+    return op.depth_first(tree(spark, d), 3, "r1", 2).select(*_WALKED)
 
 
 @query(f"WITH {TREE_SQL} SELECT uid, parent, seq_pos, content FROM block WHERE valid_from <= 2 AND (valid_to IS NULL OR valid_to > 2)")
@@ -110,10 +114,33 @@ def _heap(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.concat(F.lit("c"), k).alias("uid"), F.when(k > 1, F.concat(F.lit("c"), F.floor(k / 2))).alias("parent"), k.cast("decimal(38,10)").alias("seq_pos"), F.col("c_name").alias("content"), F.lit(0).cast("long").alias("valid_from"), none.alias("valid_to"))
 
 
-@query(f"WITH RECURSIVE {_HEAP_SQL}, w AS (SELECT uid, CAST(1 AS INTEGER) AS depth, CAST(k AS VARCHAR) AS path FROM node WHERE parent IS NULL UNION ALL SELECT n.uid, CAST(depth + 1 AS INTEGER), path || '.' || k FROM node n JOIN w ON n.parent = w.uid) SELECT * FROM w")
+@query(f"""WITH RECURSIVE {_HEAP_SQL}, w AS (SELECT uid, k, CAST(1 AS INTEGER) AS depth, [k] AS path FROM node WHERE parent IS NULL UNION ALL SELECT n.uid, n.k, CAST(depth + 1 AS INTEGER), list_append(path, n.k) FROM node n JOIN w ON n.parent = w.uid),
+  up AS (SELECT k AS a, k FROM w UNION ALL SELECT a // 2, k FROM up WHERE a > 1), size AS (SELECT a, count(*) - 1 AS n_below FROM up GROUP BY a)
+  SELECT uid, depth, row_number() OVER (ORDER BY path) AS place, n_below FROM w JOIN size ON a = k""")
 def deep_walk(spark: SparkSession, d: str) -> DataFrame:
-    rows = op.depth_first(_heap(spark, d), 0)
-    return rows.select("uid", "depth", F.array_join(F.transform("path", lambda p: p.cast("long").cast("string")), ".").alias("path"))
+    return op.depth_first(_heap(spark, d), 0).select("uid", "depth", "place", "n_below")
+
+
+@query("SELECT 'c' || c_custkey AS uid, CAST(c_custkey % 50 + 1 AS INTEGER) AS depth, 'c' || (c_custkey - c_custkey % 50) AS head FROM customer")
+def chain_depths(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in chains of fifty, one below the other."""
+    from lorekeep.operators.numbering import ancestry
+
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(F.concat(F.lit("c"), k).alias("id"), F.when(k % 50 != 0, F.concat(F.lit("c"), k - 1)).alias("parent"))
+    return ancestry(rows).select(F.col("id").alias("uid"), "depth", "head")
+
+
+@query(f"""WITH RECURSIVE {TREE_SQL}, {_live_sql(6)}, move AS (SELECT n.uid, CASE WHEN s % 3 = 0 THEN c.uid WHEN s % 3 = 1 THEN 'r0' ELSE 'gone' END AS new_parent FROM (SELECT n_nationkey AS s, 'n' || n_nationkey AS uid FROM nation) n LEFT JOIN (SELECT parent, min(uid) AS uid FROM live WHERE uid LIKE 'c%' GROUP BY parent) c ON c.parent = n.uid)
+  SELECT uid, new_parent, CASE WHEN new_parent = 'gone' THEN 'no live parent' ELSE 'below itself' END AS reason FROM move WHERE new_parent = 'gone' OR new_parent LIKE 'c%'""")
+def refused_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Nations moved under a customer of theirs, under a region, or under nothing that is there."""
+    blocks = tree(spark, d)
+    own = op.as_of(blocks, 6).where("uid LIKE 'c%'").groupBy("parent").agg(F.min("uid").alias("child")).withColumnRenamed("parent", "uid")
+    s = F.col("n_nationkey") % 3
+    moves = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("n"), "n_nationkey").alias("uid")).join(own, "uid", "left")
+    moves = moves.select("uid", F.concat("uid", F.lit("-b")).alias("new_uid"), F.when(s == 0, F.col("child")).when(s == 1, F.lit("r0")).otherwise(F.lit("gone")).alias("new_parent"), F.lit(1).alias("new_pos"))
+    return op.refused_moves(blocks, moves, 6).select("uid", "new_parent", "reason")
 
 
 @query(f"""WITH {TREE_SQL}, last AS (SELECT parent, max(seq_pos) AS last FROM block WHERE valid_to IS NULL GROUP BY parent),

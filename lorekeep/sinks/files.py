@@ -1,6 +1,8 @@
-"""Files from rows: one file a row, written by the tasks under a name of the attempt and then renamed.
+"""Files from rows: one file a row, put into place when all tasks have written.
 
-Makers of contents: JSON and YAML of block trees, Elm modules, Word documents.
+``FileSink`` is a Spark data source for writing.  A task writes its files and a list of them below a temporary
+folder of the run; the driver's commit moves them into place, list by list, and an aborted run leaves
+nothing.  Makers of contents: JSON and YAML of block trees, Elm modules, Word documents.
 """
 
 from __future__ import annotations
@@ -11,34 +13,110 @@ import re
 import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+_PENDING, _WRITTEN = "_temporary", "_written"
+
+
+def _store(folder: str):
+    """(file system, path) of a folder; folders without a scheme are local ones."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+@dataclass
+class TaskFiles(WriterCommitMessage):
+    """What the driver gets of a task: where its list of files stands."""
+
+    folder: str | None
+    n_files: int
+
+
+class FileWriter(DataSourceWriter):
+    """Writes below <folder>/_temporary/<run> and moves into <folder> at the commit."""
+
+    def __init__(self, folder: str, run: str, overwrite: bool):
+        self.folder, self.run, self.overwrite = folder, run, overwrite
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        store, place = _store(self.folder)
+        own, listed = f"{place}/{_PENDING}/{self.run}/{uuid.uuid4().hex}", []
+        for name, content in rows:
+            if not name or "/" in name or name in (".", ".."):
+                raise ValueError(f"no file name: {name!r}")
+            if not listed:
+                store.create_dir(own, recursive=True)
+            data = content.encode() if isinstance(content, str) else bytes(content)
+            with store.open_output_stream(f"{own}/{len(listed)}") as out:
+                out.write(data)
+            listed.append(json.dumps({"name": name, "bytes": len(data)}))
+        if not listed:
+            return TaskFiles(None, 0)
+        with store.open_output_stream(f"{own}/list") as out:
+            out.write("\n".join(listed).encode())
+        return TaskFiles(own, len(listed))
+
+    def commit(self, messages: list) -> None:
+        """Moves the files; those of attempts that failed stay in the temporary folder, which is deleted."""
+        store, place = _store(self.folder)
+        store.create_dir(f"{place}/{_WRITTEN}/{self.run}", recursive=True)
+        for task in messages:
+            if task is None or task.folder is None:
+                continue
+            with store.open_input_stream(f"{task.folder}/list") as lines:  # one task's at a time
+                listed = lines.read()
+            for i, line in enumerate(listed.decode().split("\n")):
+                store.move(f"{task.folder}/{i}", f"{place}/{json.loads(line)['name']}")
+            store.move(f"{task.folder}/list", f"{place}/{_WRITTEN}/{self.run}/{task.folder.rsplit('/', 1)[1]}")
+        self._drop(store, place)
+
+    def abort(self, messages: list) -> None:
+        self._drop(*_store(self.folder))
+
+    def _drop(self, store, place: str) -> None:
+        from pyarrow import fs
 
+        if store.get_file_info(f"{place}/{_PENDING}/{self.run}").type == fs.FileType.Directory:
+            store.delete_dir(f"{place}/{_PENDING}/{self.run}")
+            if not store.get_file_info(fs.FileSelector(f"{place}/{_PENDING}")):
+                store.delete_dir(f"{place}/{_PENDING}")
 
-def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes rows (name, content as string or binary) to files of the folder; (name, bytes) of what was
-    written.  A repeated task replaces its files; the result must be read for anything to be written."""
 
-    def run(frames):
-        from pyarrow import fs
+class FileSink(DataSource):
+    """df.write.format("files").mode("append").save(folder): a file for each row (name, content as binary).
 
-        store, place = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        store.create_dir(place, recursive=True)
-        for frame in frames:
-            sizes = []
-            for name, content in zip(frame["name"], frame["content"], strict=True):
-                data = content.encode() if isinstance(content, str) else bytes(content)
-                temp = f"{place}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(temp) as out:
-                    out.write(data)
-                store.move(temp, f"{place}/{name}")
-                sizes.append(len(data))
-            yield pd.DataFrame({"name": frame["name"], "bytes": sizes})
+    Files of the same name are replaced.  Names must be unique within a run, which ``write_files`` checks.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "files"
 
-    return rows.select("name", "content").mapInPandas(run, "name string, bytes long")
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return FileWriter(self.options["path"], self.options.get("run") or uuid.uuid4().hex, overwrite)
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes rows (name, content as string or binary) to files of the folder, all or none of them; (name, bytes)
+    of what was written.  Two rows of one name are an error before anything is written."""
+    spark = rows.sparkSession
+    twice = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1 OR name IS NULL").select("name").first()
+    if twice is not None:
+        raise ValueError(f"several files have the name {twice.name!r}")
+    spark.dataSource.register(FileSink)
+    run = uuid.uuid4().hex
+    rows.select("name", F.col("content").cast("binary").alias("content")).write.format("files").option("run", run).mode("append").save(folder)
+    return spark.read.schema("name string, bytes long").json(f"{folder}/{_WRITTEN}/{run}")
 
 
 # Trees as text ----------------------------------------------------------------------------------
@@ -90,19 +168,24 @@ def tree_texts(blocks: DataFrame, form: str = "json") -> DataFrame:
 # Elm --------------------------------------------------------------------------------------------
 
 
-def module_name(title: Column) -> Column:
-    """An Elm module's name from a title: letters and digits only, led by a letter."""
-    plain = F.regexp_replace(title, "[^A-Za-z0-9]", "")
-    return F.when(plain.rlike("^[A-Za-z]"), F.concat(F.upper(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2)))).otherwise(F.concat(F.lit("M"), plain))
+def module_name(eid: Column) -> Column:
+    """An Elm module's name from a conversation's id: its letters and digits behind "Discourse_", the first one
+    upper-case, and D in place of a first one that is no letter."""
+    plain = F.regexp_replace(F.coalesce(eid, F.lit("")), r"[^\p{L}\p{N}]", "")
+    lead = F.when(plain.rlike(r"^\p{L}"), F.upper(F.substring(plain, 1, 1))).otherwise(F.lit("D"))
+    return F.when(plain == "", F.lit("Discourse_Discourse")).otherwise(F.concat(F.lit("Discourse_"), lead, F.substr(plain, F.lit(2))))
+
 
+def elm_modules(items: DataFrame, titles: DataFrame, types: str) -> DataFrame:
+    """(name, content): an Elm module for each discussion.  items: conv_id, seq, item; titles: conv_id, title.
+    types: the module that declares the types of messages, such as "Discourse.Types"."""
+    from lorekeep.functions.text import elm_string
 
-def elm_modules(items: DataFrame, titles: DataFrame, prefix: str = "LegalNodes.Docs.") -> DataFrame:
-    """(name, content): an Elm module for each discussion.  items: conv_id, seq, item; titles: conv_id, title."""
     listed = items.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "item"))), lambda x: x["item"]), "\n  , ").alias("body"))
-    rows = titles.join(listed, "conv_id").withColumn("module", module_name(F.col("title")))
-    text = F.concat(
-        F.lit(f"module {prefix}"), "module", F.lit(" exposing (items)\n\nimport Types as T\n\n\nitems : List T.Item\nitems =\n  [ "), "body", F.lit("\n  ]\n"),
-    )
+    eid = F.col("conv_id").cast("string")
+    rows = titles.join(listed, "conv_id", "left").withColumn("module", module_name(eid))
+    content = F.concat(F.lit("content = ("), elm_string(F.coalesce("title", F.lit(""))), F.lit(", "), elm_string(eid), F.lit(", messages)"))
+    text = F.concat_ws("\n", F.concat(F.lit("module "), "module", F.lit(" exposing (content)")), F.lit(""), F.lit(f"import {types} as T"), F.lit(""), content, F.lit(""), F.concat(F.lit("messages = [\n  "), F.coalesce("body", F.lit("")), F.lit("\n  ]")), F.lit(""))
     return rows.select(F.concat("module", F.lit(".elm")).alias("name"), text.alias("content"))
 
 
@@ -141,10 +224,11 @@ def word_bytes(blocks: list[tuple[str, str]]) -> bytes:
 def word_files(rows: DataFrame, titles: DataFrame) -> DataFrame:
     """(name, content): a Word file for each discussion.  rows: conv_id, seq, place, style, text as
     ``discussion.document_rows`` gives them; titles: conv_id, title, which stands first as Heading 1."""
-    from lorekeep.functions.text import document_file_name
+    from lorekeep.functions.text import document_file_name, safe_file_name
 
     listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "place", "style", "text"))).alias("blocks"))
-    joined = titles.join(listed, "conv_id", "left").select(document_file_name(F.col("title"), F.col("conv_id")).alias("name"), "title", "blocks")
+    name = safe_file_name(document_file_name(F.coalesce("title", F.lit("")), F.col("conv_id")))
+    joined = titles.join(listed, "conv_id", "left").select(name.alias("name"), "title", "blocks")
 
     def run(frames):
         for frame in frames:

@@ -10,10 +10,14 @@ from lorekeep.operators.conversation import EXPORT_SCHEMA
 
 def read_export(spark: SparkSession, path: str, export: bool = True) -> DataFrame:
     """Conversations of the files; export: each file is an array.  A file that is no such JSON fails the read."""
-    files = spark.read.text(path, wholetext=True)
+    return decode_export(spark.read.text(path, wholetext=True), export)
+
+
+def decode_export(texts: DataFrame, export: bool = True) -> DataFrame:
+    """The same of texts (value)."""
     if export:
-        return files.select(F.explode(F.from_json("value", f"ARRAY<STRUCT<{_nested(EXPORT_SCHEMA)}>>", {"mode": "FAILFAST"})).alias("c")).select("c.*")
-    return files.select(F.from_json("value", EXPORT_SCHEMA, {"mode": "FAILFAST"}).alias("c")).select("c.*")
+        return texts.select(F.explode(F.from_json("value", f"ARRAY<STRUCT<{_nested(EXPORT_SCHEMA)}>>", {"mode": "FAILFAST"})).alias("c")).select("c.*")
+    return texts.select(F.from_json("value", EXPORT_SCHEMA, {"mode": "FAILFAST"}).alias("c")).select("c.*")
 
 
 def _nested(schema: str) -> str:

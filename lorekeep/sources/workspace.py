@@ -141,18 +141,52 @@ def children(spark: SparkSession, parents: DataFrame, fetch: Callable[[str, str
 
 
 def block_tree(spark: SparkSession, roots: DataFrame, fetch: Callable[[str, str | None], dict]) -> DataFrame:
-    """(depth, path, parent, ord, id, has_children, value) of all blocks below the roots (id), level by level
-    until none has children; sorting by root and path gives depth-first order.  Each level is written."""
-    from lorekeep.operators.tree import _by_levels
-
-    def level(up: DataFrame, depth: int) -> DataFrame:
-        found = children(spark, up.where("has_children").select("id"), fetch)
-        above = up.select(F.col("id").alias("parent"), "root", F.col("path").alias("above"))
-        return found.join(above, "parent").select(F.lit(depth).alias("depth"), "root", F.concat("above", F.array("ord")).alias("path"), "parent", "ord", "id", "has_children", "value")
-
-    none = F.lit(None).cast("string")
-    first = roots.select(F.lit(1).alias("depth"), F.col("id").alias("root"), F.array().cast("array<int>").alias("path"), none.alias("parent"), F.lit(0).alias("ord"), "id", F.lit(True).alias("has_children"), none.alias("value"))
-    return _by_levels(spark, first, level, "workspace", None, 10_000).where("depth > 1").withColumn("depth", F.col("depth") - 1)
+    """(depth, path, parent, ord, id, has_children, value, error) of all blocks below the roots (id), level by level
+    until none has children; sorting by root and path gives depth-first order.
+
+    What lies below a block is known only when it is fetched, so there is a written table a level.  A block that
+    stands below itself is not followed and has an error.
+    """
+    from lorekeep.operators.numbering import Rounds
+
+    work, none = Rounds(spark, "workspace"), F.lit(None).cast("string")
+    first = roots.select(F.lit(0).alias("depth"), F.col("id").alias("root"), F.array().cast("array<int>").alias("path"), F.array("id").alias("above"), none.alias("parent"), F.lit(0).alias("ord"), "id", F.lit(True).alias("has_children"), none.alias("value"))
+    level, seen = work.write(first, open=F.col("has_children"))
+    levels, depth = [], 0
+    while seen["open"]:
+        depth += 1
+        found = children(spark, level.where("has_children").select("id").distinct(), fetch)
+        above = level.where("has_children").select(F.col("id").alias("parent"), "root", F.col("path").alias("_path"), "above")
+        again = F.array_contains("above", F.col("id"))
+        rows = found.join(above, "parent").select(F.lit(depth).alias("depth"), "root", F.concat("_path", F.array("ord")).alias("path"), F.concat("above", F.array("id")).alias("above"), "parent", "ord", "id", (F.col("has_children") & ~again).alias("has_children"), "value")
+        level, seen = work.write(rows, open=F.col("has_children"))
+        levels.append(work.n)
+    every = level.limit(0) if not levels else spark.read.schema(level.schema).parquet(*[f"{work.place}/{n}" for n in levels])
+    again = F.size("above") > F.size(F.array_distinct("above"))
+    out, _ = work.write(every.select("depth", "root", "path", "parent", "ord", "id", "has_children", "value", F.when(again, F.concat(F.lit("block below itself: "), "id")).alias("error")))
+    work.drop(*range(1, work.n))
+    return out
+
+
+def saved_tree(envelopes: DataFrame) -> DataFrame:
+    """(root, place, depth, n_below, parent, id, type, text, error) of blocks in saved envelopes (value): those below
+    each page or block in the order of the envelopes' "page" numbers (0 if there is none) and of their results.
+
+    The order of the whole tree comes from numbering, for trees of any depth.
+    """
+    from lorekeep.operators.numbering import numbered
+
+    rows = envelopes.select(F.from_json("value", "page INT, results ARRAY<VARIANT>").alias("e")).select(F.coalesce("e.page", F.lit(0)).alias("page"), F.posexplode("e.results").alias("ord", "result"))
+    get = lambda p: F.try_variant_get("result", p, "string")
+    kept = rows.select(get("$.id").alias("id"), F.coalesce(get("$.parent.block_id"), get("$.parent.page_id")).alias("parent"), "page", "ord", "result").where("id IS NOT NULL")
+    pages = kept.select("parent").distinct().join(kept.select(F.col("id").alias("parent")), "parent", "left_anti").where("parent IS NOT NULL")
+    nodes = kept.select("id", "parent", "page", "ord").unionByName(pages.select(F.col("parent").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("page"), F.lit(0).alias("ord")))
+    placed = numbered(nodes, ["page", "ord"], "saved")
+    tops = placed.join(pages.select(F.col("parent").alias("id")), "id").select(F.col("id").alias("head"), F.col("place").alias("_place"))
+    found = placed.join(tops, "head").where(F.col("place") > F.col("_place"))
+    typed = blocks(kept.select("result")).select("id", "type", "text", "error")
+    out = found.join(kept.select("id", "parent"), "id").join(typed, "id")
+    return out.select(F.col("head").alias("root"), (F.col("place") - F.col("_place")).alias("place"), (F.col("depth") - 1).cast("int").alias("depth"), "n_below", "parent", "id", "type", "text", "error")
 
 
 def page_stats(blocks: DataFrame) -> DataFrame:

@@ -21,10 +21,10 @@ def blocks(spark, rows):
 
 def test_walk_as_of(spark):
     b = blocks(spark, [("1", None, 10, 0, None), ("2", "1", 10, 0, None), ("3", "1", 5, 0, 3), ("4", "2", 1, 2, None)])
-    rows = tree.depth_first(b, 2, max_depth=5).orderBy("path").collect()
+    rows = tree.depth_first(b, 2, max_depth=5).orderBy("place").collect()
     assert [(r.uid, r.depth) for r in rows] == [("1", 1), ("3", 2), ("2", 2), ("4", 3)]
-    assert [r.uid for r in tree.depth_first(b, 3, max_depth=5).orderBy("path").collect()] == ["1", "2", "4"]
-    assert [(r.uid, r.has_more) for r in tree.depth_first(b, 2, max_depth=2).orderBy("path").collect()] == [("1", False), ("3", False), ("2", True)]
+    assert [r.uid for r in tree.depth_first(b, 3, max_depth=5).orderBy("place").collect()] == ["1", "2", "4"]
+    assert [(r.uid, r.has_more) for r in tree.depth_first(b, 2, max_depth=2).orderBy("place").collect()] == [("1", False), ("3", False), ("2", True)]
     assert tree.as_of(b, 99).count() == 3
     ends = {r.uid: r.valid_to for r in tree.retire(b, spark.createDataFrame([("2",), ("3",)], "uid string"), 7).collect()}
     assert ends == {"1": None, "2": 7, "3": 3, "4": None}
@@ -68,7 +68,7 @@ def test_fold_golden(spark):
     ])
     rows = discussion.fold_messages(w).orderBy("seq").collect()
     assert [(r.kind, r.text, r.n_steps, r.first_pos) for r in rows] == [("user", "q", 0, 0), ("user", "between", 0, 5), ("assistant", "answer", 3, 1), ("system", "contents=text", 0, 9)]
-    assert [s.content_type for s in rows[2].steps] == ["thoughts", "thoughts", "code"]
+    assert [s.kind for s in rows[2].steps] == ["reflection", "reflection", "code"]
     assert [(r.pos, r.issue) for r in discussion.issues(w).orderBy("pos").collect()] == [(7, "unexpected user content: multimodal_text"), (8, "unknown role: critic")]
 
 
