@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _NUMBERED = re.compile(r"^(\d+(?:\.\d+)*)\)?\s+([\s\S]*)$", re.ASCII)
-SCHEMA = "doc_id string, uid int, parent_uid int, ord int, depth int, path string, ordinals string, kind string, level int, text string, stable_id string, style string, num_id int, list_level int, num_format string, comment string, error string"
+SCHEMA = "doc_id string, uid int, parent_uid int, ord int, depth int, path string, ordinals string, kind string, level int, text string, stable_id string, style string, num_id int, list_level int, num_format string, comment string, source_uid int, error string"
 PARAGRAPHS = "doc_id string, uid int, kind string, text string, style_id string, style string, outline int, num_id int, list_level int, num_format string, level_text string, comment string, inserted string, deleted string, error string"
 SOURCE = "<docx-bytes>"
 #: Styles of Word that stand for other kinds than paragraphs.
@@ -133,12 +133,14 @@ class Sections:
 
 def _table(item: Item) -> list[Node]:
     """Rows, cells and their paragraphs of a table."""
-    rows = []
+    rows, number = [], item.attrs.get("source_uid")
     for cells in item.attrs.get("cells", []):
         row = Node("table_row")
         for paragraphs in cells:
             cell = Node("table_cell")
-            cell.kids = [Node("paragraph", p) for p in paragraphs]
+            for p in paragraphs:  # numbered behind the table, as in the file's paragraphs
+                number = None if number is None else number + 1
+                cell.kids.append(Node("paragraph", p, source_uid=number))
             row.kids.append(cell)
         rows.append(row)
     return rows
@@ -252,32 +254,57 @@ def _level_of(info: dict) -> int | None:
     return int(named[1]) if named else None if info["outline"] is None or info["outline"] > 8 else info["outline"] + 1
 
 
+def _add_listed(out: list[Item], open_lists: list[tuple], info: dict, item: Item) -> None:
+    """Puts a numbered paragraph into its list: one of the same level and number goes on, a deeper one begins a
+    list within the last item, and one that is less deep closes the lists below its level."""
+    level, number = info["list_level"], info["num_id"]
+    while open_lists and (open_lists[-1][0] > level or (open_lists[-1][0] == level and open_lists[-1][1] != number)):
+        open_lists.pop()
+    if not open_lists or open_lists[-1][0] < level:
+        begun = Item("list", attrs={"ordered": info["num_format"] not in (None, "bullet")})
+        (open_lists[-1][2].parts[-1] if open_lists else out).append(begun)
+        open_lists.append((level, number, begun))
+    open_lists[-1][2].parts.append([item])
+
+
 def flow(package: Package) -> list[Item]:
-    """The body's items: paragraphs in a row that are numbered form a list, quoted ones a quote."""
+    """The body's items: numbered paragraphs in a row form lists, nested by level; quoted ones a quote.
+
+    Each item has the number of its paragraph among the file's (``paragraphs``) as source_uid.
+    """
     out: list[Item] = []
-    body_begun = False
+    body_begun, number, open_lists = False, -1, []
     for e in package.elements():
+        number += 1
         if e.tag == f"{_W}tbl":
-            out.append(Item("table", "[table]", attrs={"cells": package.cells(e)}))
+            cells = package.cells(e)
+            out.append(Item("table", "[table]", attrs={"cells": cells, "source_uid": number}))
+            number += sum(len(cell) for row in cells for cell in row)
+            open_lists = []
             continue
         info = package.info(e)
         text, style, level = _text(e, tracked=True).strip(), (info["style"] or "").lower(), _level_of(info)
-        attrs = {k: info[k] for k in _CARRIED}
+        attrs = {k: info[k] for k in _CARRIED} | {"source_uid": number}
         if style in TITLES and not body_begun:
             continue  # of the document, see document_meta
         body_begun = True
         listed = info["num_id"] is not None and info["list_level"] is not None
+        if level is None and listed:
+            _add_listed(out, open_lists, info, Item("paragraph", text, attrs=attrs))
+            continue
         if level is not None:
             out.append(Item("heading", text, level, attrs=attrs))
-        elif listed or (style in QUOTES and text):
-            kind = "list" if listed else "quote"
-            if not out or out[-1].kind != kind:
-                out.append(Item(kind, attrs={"ordered": info["num_format"] not in (None, "bullet")}))
+        elif style in QUOTES and text:
+            if not out or out[-1].kind != "quote":
+                out.append(Item("quote"))
             out[-1].parts.append([Item("paragraph", text, attrs=attrs)])
         elif any(r.get("hr") == "t" or r.get("{urn:schemas-microsoft-com:office:office}hr") == "t" for r in e.iter()):
-            out.append(Item("rule"))
+            out.append(Item("rule", attrs={"source_uid": number}))
         elif text:
             out.append(Item("code" if style in CODES else "paragraph", text, attrs=attrs))
+        else:
+            continue  # an empty paragraph parts no list
+        open_lists = []
     return out
 
 
@@ -290,7 +317,8 @@ def paragraphs(package: Package) -> list[dict]:
             out.append({"uid": len(out), "kind": "list_item" if info["num_id"] is not None and info["list_level"] is not None else "paragraph", "text": _text(e), **info})
         else:
             out.append({"uid": len(out), "kind": "table", "text": "[table]"})
-            out += [{"uid": len(out) + i, "kind": "cell", "text": p} for i, p in enumerate(p for row in package.cells(e) for cell in row for p in cell)]
+            inner = [p for r in e.findall(f"{_W}tr") for c in r.findall(f"{_W}tc") for p in c.findall(f"{_W}p")]
+            out += [{"uid": len(out) + i, "kind": "cell", "text": _text(p).strip(), **package.info(p)} for i, p in enumerate(inner)]
     return out
 
 
@@ -301,7 +329,7 @@ def parse(data: bytes, nesting: str = "reference", promote: bool = True, levels:
 
 def _flat(data: bytes) -> Node:
     root = Node("document")
-    root.kids = [Node(p["kind"], p["text"], key=stable_id("", p["text"]), **{k: p.get(k) for k in _CARRIED}) for p in paragraphs(Package(data))]
+    root.kids = [Node(p["kind"], p["text"], key=stable_id("", p["text"]), source_uid=p["uid"], **{k: p.get(k) for k in _CARRIED}) for p in paragraphs(Package(data))]
     return root
 
 
@@ -400,19 +428,31 @@ def document_meta(files: DataFrame) -> DataFrame:
     return _by_file(files, read, "doc_id string, title string, author string, date string")
 
 
-def enrich(blocks: DataFrame, info: DataFrame, level: str = "min", order: str = "before") -> DataFrame:
-    """blocks with the styles and numbering of the file's paragraphs, by their place among paragraphs and
-    headings.  level: "none", "min" (style and number ids), "full" (number format and text too).  order: a
-    block takes its paragraph "before" the blocks under it, or "after" them, which shifts headings."""
+def enrich(blocks: DataFrame, info: DataFrame, level: str = "min", by: str = "source", order: str = "before") -> DataFrame:
+    """blocks with the styles and numbering of the file's paragraphs (``read_paragraphs``).
+
+    level: "none", "min" (style and number ids), "full" (number format and text too).  by: "source", the number of
+    the paragraph that a block was made from, or "place" among paragraphs and headings, for blocks that do not
+    know it; title, code and table paragraphs shift places.  order, by place: a block takes its paragraph "before" the
+    blocks under it, or "after" them, which shifts headings.
+    """
     if level not in ("none", "min", "full"):
         raise ValueError(f"unknown level: {level}")
+    if by not in ("source", "place"):
+        raise ValueError(f"unknown join: {by}")
     names = {"none": [], "min": ["style_id", "style", "num_id", "list_level"], "full": ["style_id", "style", "num_id", "list_level", "num_format", "level_text"]}[level]
-    taking = blocks.where(F.col("kind").isin("paragraph", "heading"))
-    key = F.col("path") if order == "before" else F.concat("path", F.lit("~"))  # "~" sorts behind the paths below
-    place = taking.select("doc_id", "uid", F.row_number().over(Window.partitionBy("doc_id").orderBy(key)).alias("n"))
-    own = info.where("kind IN ('paragraph', 'list_item') AND text <> '' AND error IS NULL")
-    own = own.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("uid")).alias("n"), *[F.col(c).alias(f"_{c}") for c in names])
-    joined = blocks.join(place.join(own, ["doc_id", "n"]).drop("n"), ["doc_id", "uid"], "left")
+    found = [F.col(c).alias(f"_{c}") for c in names]
+    good = info.where("error IS NULL")
+    if by == "source":
+        own = good.select("doc_id", F.col("uid").alias("source_uid"), *found)
+        joined = blocks.join(own, ["doc_id", "source_uid"], "left")
+    else:
+        taking = blocks.where(F.col("kind").isin("paragraph", "heading"))
+        key = F.col("path") if order == "before" else F.concat("path", F.lit("~"))  # "~" sorts behind the paths below
+        place = taking.select("doc_id", "uid", F.row_number().over(Window.partitionBy("doc_id").orderBy(key)).alias("n"))
+        own = good.where("kind IN ('paragraph', 'list_item') AND text <> ''")
+        own = own.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("uid")).alias("n"), *found)
+        joined = blocks.join(place.join(own, ["doc_id", "n"]).drop("n"), ["doc_id", "uid"], "left")
     others = [c for c in blocks.columns if c not in names]
     return joined.select(*others, *[(F.coalesce(c, f"_{c}") if c in blocks.columns else F.col(f"_{c}")).alias(c) for c in names])
 

@@ -3,14 +3,15 @@
 import io
 import zipfile
 
+import pytest
 
 from lorekeep.sources import docx
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
-def para(text, style=None, num=None, extra=""):
-    props = (f'<w:pStyle w:val="{style}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="0"/><w:numId w:val="{num}"/></w:numPr>' if num else "")
+def para(text, style=None, num=None, extra="", level=0):
+    props = (f'<w:pStyle w:val="{style}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{num}"/></w:numPr>' if num else "")
     return f"<w:p><w:pPr>{props}</w:pPr><w:r><w:t>{text}</w:t></w:r>{extra}</w:p>"
 
 
@@ -99,14 +100,44 @@ def test_paragraphs_meta_and_enrichment(spark, tmp_path):
     assert [r.text for r in flat] == ["T", "H", "p1", "p2"] and all(r.depth == 1 for r in flat)
     blocks = spark.createDataFrame([("d", 1, "000001", "heading"), ("d", 2, "000001.000001", "paragraph"), ("d", 3, "000001.000002", "paragraph")], "doc_id string, uid int, path string, kind string")
     told = spark.createDataFrame([("d", i, "paragraph", "t", s, s, i, 0, "f", "l", None) for i, s in enumerate(["H1", "p1", "p2"])], "doc_id string, uid int, kind string, text string, style_id string, style string, num_id int, list_level int, num_format string, level_text string, error string")
-    styles = lambda **k: [r.style for r in docx.enrich(blocks, told, **k).orderBy("uid").collect()]
+    styles = lambda **k: [r.style for r in docx.enrich(blocks, told, by="place", **k).orderBy("uid").collect()]
     assert styles() == ["H1", "p1", "p2"] and styles(order="after") == ["p2", "H1", "p1"]
-    assert "level_text" in docx.enrich(blocks, told, level="full").columns and "style" not in docx.enrich(blocks, told, level="none").columns
+    assert "level_text" in docx.enrich(blocks, told, "full", "place").columns and "style" not in docx.enrich(blocks, told, "none", "place").columns
     rows = docx.child_rows(docx.read_documents(files)).orderBy("key").collect()
     assert [r.kind for r in rows] == ["heading", "paragraph", "list", "list_item", "paragraph"] and rows[0].parent is None and rows[1].parent == rows[0].key and '"stable_id"' in rows[0].attrs
     assert docx.images(docx.read_documents(files)).count() == 0
 
 
+def test_lists_by_level():
+    """Three levels, a number of its own, a jump, and lists parted by other paragraphs."""
+    item = lambda t, level=0, num=1: para(t, num=num, level=level)
+    name = lambda n: (n.text or {"list": "L", "list_item": "I"}.get(n.kind, n.kind)) + ("(" + ",".join(map(name, n.kids)) + ")" if n.kids else "")
+    shown = lambda body: ",".join(map(name, docx.parse(archive(body), promote=False).kids))
+    # a list within an item hangs under the item's paragraph, as one after a paragraph does
+    assert shown(item("a") + item("b", 1) + item("c", 2) + item("d", 1) + item("e")) == "L(I(a(L(I(b(L(I(c)))),I(d)))),I(e))"
+    assert shown(item("a") + item("b", 2) + item("c", 1)) == "L(I(a(L(I(b)),L(I(c)))))"
+    assert shown(item("a", 1) + item("b")) == "L(I(a)),L(I(b))"
+    assert shown(item("a") + item("b", 0, 2) + item("c", 1, 2)) == "L(I(a)),L(I(b(L(I(c)))))"
+    assert shown(item("a") + para("p") + item("b")) == "L(I(a)),p(L(I(b)))" and shown(item("a") + para("") + item("b")) == "L(I(a),I(b))"
+
+
+def test_enrichment_by_source(spark, tmp_path):
+    """Titles, code and cells do not shift the styles of what follows them."""
+    table = lambda *cells: "<w:tbl><w:tr>" + "".join(f"<w:tc>{para(c, 'CS')}</w:tc>" for c in cells) + "</w:tr></w:tbl>"
+    (tmp_path / "a.docx").write_bytes(archive(para("T", "Title") + para("h", "H1") + para("p1", "S1") + table("c1", "c2") + para("") + para("p2", "S2") + para("i", "S3", num=1)))
+    (tmp_path / "b.docx").write_bytes(archive(para("h", "H1") + para("code", "Source Code") + para("p1", "S1") + para("p2", "S2")))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    rich = docx.enrich(docx.read_documents(files), docx.read_paragraphs(files), "full")
+    got = {(r.doc_id[-6:], r.text): r.style_id for r in rich.collect() if r.text}
+    assert got == {
+        ("a.docx", "h"): "H1", ("a.docx", "p1"): "S1", ("a.docx", "[table]"): None, ("a.docx", "c1"): "CS", ("a.docx", "c2"): "CS", ("a.docx", "p2"): "S2", ("a.docx", "i"): "S3",
+        ("b.docx", "h"): "H1", ("b.docx", "code"): "Source Code", ("b.docx", "p1"): "S1", ("b.docx", "p2"): "S2",
+    }
+    assert [r.num_id for r in rich.where("kind = 'list_item'").collect()] == [1]
+    with pytest.raises(ValueError):
+        docx.enrich(rich, rich, by="luck")
+
+
 def test_text_of_runs():
     link = '<w:hyperlink><w:r><w:t> link</w:t></w:r></w:hyperlink><w:ins><w:r><w:t> new</w:t></w:r></w:ins><w:del><w:r><w:delText> old</w:delText></w:r></w:del><w:r><w:commentReference w:id="7"/></w:r>'
     root = docx.parse(archive(para("t", extra=link)))
