@@ -25,10 +25,19 @@ def text_matches(title: Column, content: Column, query: str) -> Column:
     return title.ilike(f"%{query}%") | tx.matches_all_terms(content, tx.search_terms(query))
 
 
-def list_documents(docs: DataFrame, domain=None, tier=None, status=None, query: str | None = None) -> DataFrame:
-    """Documents that are not deleted, by optional filters."""
+def list_documents(docs: DataFrame, domain=None, tier=None, status=None, query: str | None = None, due=None, updated=None) -> DataFrame:
+    """Documents that are not deleted, by optional filters; due and updated are the last date and time allowed.  An
+    empty query asks for nothing."""
     rows = matching(docs.where(~F.col("deleted")), domain=domain, tier=tier, status=status)
-    return rows if query is None else rows.where(text_matches(F.col("title"), F.col("content"), query))
+    rows = up_to(up_to(rows, "due_date", due), "updated_at", updated)
+    return rows if not query else rows.where(text_matches(F.col("title"), F.col("content"), query))
+
+
+def find_one(rows: DataFrame, **key) -> DataFrame:
+    """The row with these values, or none: a null in the key finds nothing."""
+    for column, value in key.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows.limit(1)
 
 
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:

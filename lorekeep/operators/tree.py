@@ -180,3 +180,15 @@ def list_hosts(blocks: DataFrame, doc: str, order: str) -> DataFrame:
     # the last block that is no list; none if another kind than a paragraph or heading comes between
     last = F.last(F.when(F.col("kind") != "list", F.struct("kind", F.col(order).alias("at"))), ignorenulls=True).over(before)
     return blocks.withColumn("_l", last).withColumn("host", F.when((F.col("kind") == "list") & F.col("_l.kind").isin("paragraph", "heading"), F.col("_l.at"))).drop("_l")
+
+
+def item_hosts(items: DataFrame, doc: str, order: str, level: str, levels: int = 9) -> DataFrame:
+    """items with host: the last item before of a lower level, under which a nested list puts it; null at the top.
+
+    Word has nine levels; the last item of each is carried along, so a document is sorted once and never joined
+    with itself.
+    """
+    before = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col(level) == k, F.col(order)), ignorenulls=True).over(before) for k in range(levels - 1)]
+    lower = [F.when(F.col(level) > k, c) for k, c in enumerate(last)]
+    return items.withColumn("host", F.greatest(*lower) if len(lower) > 1 else lower[0])

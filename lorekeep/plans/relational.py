@@ -26,6 +26,21 @@ def list_docs_filtered(spark: SparkSession, d: str) -> DataFrame:
     return listing.list_documents(documents(spark, d), tier="en", status="1").select("uid", "title", "domain", "tier", "status")
 
 
+_BOUNDED = "SELECT o_orderkey AS uid, o_orderstatus AS status, o_orderpriority AS tier, c_mktsegment AS domain, CAST(o_orderdate AS DATE) AS due_date, o_orderdate + INTERVAL 10 DAY AS updated_at, o_totalprice < 1000 AS deleted FROM orders JOIN customer ON c_custkey = o_custkey"
+
+
+@query(f"SELECT uid, status, domain, tier FROM ({_BOUNDED}) WHERE NOT deleted AND domain = 'BUILDING' AND status = 'O' AND due_date <= DATE '1997-06-30' AND updated_at <= TIMESTAMP '1997-06-01 00:00:00'")
+def list_docs_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents, by domain, status and both last dates."""
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    docs = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+        F.col("o_orderkey").alias("uid"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("tier"), F.col("c_mktsegment").alias("domain"), F.to_date("o_orderdate").alias("due_date"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 10 DAY")).alias("updated_at"), (F.col("o_totalprice") < 1000).alias("deleted"),
+    )
+    found = listing.list_documents(docs, domain="BUILDING", status="O", query="", due=F.lit("1997-06-30").cast("date"), updated=F.lit("1997-06-01 00:00:00").cast("timestamp_ntz"))
+    return found.select("uid", "status", "domain", "tier")
+
+
 @query(f"""WITH {DOCUMENTS_SQL} SELECT uid, title FROM document WHERE NOT deleted AND (title ILIKE '%the license version%'
   OR (list_contains(regexp_extract_all(lower(content), '[a-z0-9]+'), 'license') AND list_contains(regexp_extract_all(lower(content), '[a-z0-9]+'), 'version')))""")
 def fts_match(spark: SparkSession, d: str) -> DataFrame:

@@ -190,3 +190,53 @@ def section_ordinals(spark: SparkSession, d: str) -> DataFrame:
     rows = lines.withColumn("paths", tx.ordinal_paths(levels.cast("array<int>")))
     rows = rows.select("doc_id", F.posexplode(F.arrays_zip("lines", "paths", F.concat(F.array(F.lit("")), F.slice("paths", 1, F.size("paths") - 1)).alias("before"))).alias("n", "h"))
     return rows.select("doc_id", "n", F.col("h.paths").alias("ordinals"), tx.stable_id(F.lit("<docx-bytes>"), F.col("h.before"), F.col("h.lines")).alias("key"))
+
+
+@query(f"""WITH {_HEAP_SQL}, b AS (SELECT 'c' || c_custkey AS uid, 'n' || c_nationkey AS parent, c_custkey AS k FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY k) AS r FROM b),
+  f AS (SELECT parent, min(k) AS k FROM b GROUP BY parent), i AS (SELECT r.uid || '-' || n AS uid, r.parent, r.r, n FROM f JOIN r ON r.k = f.k, (SELECT unnest(range(1, 41)) AS n)),
+  a AS (SELECT uid, parent, r, 0 AS n FROM r UNION ALL SELECT * FROM i)
+  SELECT uid, parent, row_number() OVER (PARTITION BY parent ORDER BY r, n) AS place FROM a""")
+def keyed_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as siblings with hardly a gap between them, and forty blocks behind the first of each nation."""
+    from pyspark.sql import Window
+
+    from lorekeep.operators.placing import insert_after
+
+    c, none = table(spark, d, "customer"), F.lit(None).cast("long")
+    blocks = c.select(F.concat(F.lit("c"), "c_custkey").alias("uid"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), (F.col("c_custkey") * F.lit("0.0000000001").cast("decimal(12,10)")).cast("decimal(38,10)").alias("seq_pos"), F.col("c_name").alias("content"), F.lit(0).cast("long").alias("valid_from"), none.alias("valid_to"))
+    first = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("k")).select(F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.concat(F.lit("c"), "k").alias("after"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("n"))
+    put = insert_after(blocks, first.select(F.concat("after", F.lit("-"), "n").alias("uid"), "parent", "after", "n", F.lit("new").alias("content")), 1)
+    return put.select("uid", "parent", F.row_number().over(Window.partitionBy("parent").orderBy("seq_pos")).alias("place"))
+
+
+@query(f"WITH {TREE_SQL} SELECT uid, parent, seq_pos, content FROM block WHERE valid_from <= 3 AND (valid_to IS NULL OR valid_to > 3)")
+def replay_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks as of a number, from the log of what was done to them."""
+    from lorekeep.operators import events
+
+    return events.replay(events.block_events(tree(spark, d)), "block", 3).select(F.col("key").alias("uid"), "parent", "seq_pos", "content")
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS k, epoch_us(ts) AS ms, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  c AS (SELECT k, max(i) AS i FROM e WHERE i = 1 OR i % 7 = 1 GROUP BY k)
+  SELECT CAST(e.k AS VARCHAR) AS doc, arg_max(event_type, e.i) FILTER (e.i % 7 <> 3) AS title, CAST(arg_max(value, e.i) FILTER (e.i % 7 IN (1, 3)) AS DOUBLE) AS score, CAST(min(ms) AS BIGINT) AS created, CAST(max(ms) AS BIGINT) AS updated
+  FROM e JOIN c ON c.k = e.k AND e.i >= c.i GROUP BY e.k HAVING arg_max(e.i % 7, e.i) <> 0""")
+def replay_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a document's: every seventh creates, the one before deletes, the third sets the score only."""
+    from pyspark.sql import Window
+
+    from lorekeep.operators import events
+
+    rows = table(spark, d, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).withColumn("ms", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = rows.select("user_id", "ms", "i", F.col("event_type").alias("title"), F.col("value").alias("score"))
+    of = lambda cond, kind, fields: events.event_rows(rows.where(cond), "document", "user_id", "ms", kind, fields, "i")
+    log = events.union(of("i % 7 = 1", "create", ["title", "score"]), of("i % 7 = 3", "update", ["score"]), of("i % 7 IN (2, 4, 5, 6)", "update", ["title"]), of("i % 7 = 0", "delete", []))
+    return events.document_state(log).select(F.col("key").alias("doc"), "title", "score", "created", "updated")
+
+
+@query("""WITH b AS (SELECT doc_id, CAST(n AS INTEGER) AS n, CAST((n * 7 + length(l)) % 4 AS INTEGER) AS level FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents))
+  SELECT a.doc_id, a.n, a.level, max(p.n) AS host FROM b a LEFT JOIN b p ON p.doc_id = a.doc_id AND p.n < a.n AND p.level < a.level GROUP BY ALL""")
+def list_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as items of a list with levels: the item under which each hangs."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "l"))
+    return op.item_hosts(lines.select("doc_id", "n", ((F.col("n") * 7 + F.length("l")) % 4).alias("level")), "doc_id", "n", "level", 4)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
 
 #: The types of blocks that are understood.
 TYPES = ["paragraph", "image", "bulleted_list_item", "numbered_list_item", "divider", "heading_1", "heading_2", "heading_3", "code", "table", "quote", "child_page"]
@@ -108,10 +108,64 @@ class _WorkspaceReader(DataSourceReader):
             yield (json.dumps(result),)
 
 
+class _WorkspaceStream(SimpleDataSourceStreamReader):
+    """Results by the time of their last edit.  An offset is a place in the interface's own order: the time from
+    which on results are asked for, the cursor within that answer, and the ids of that very time that have been read.
+
+    Reading from one offset leads to the same next offset while the answers stand, so a batch that is planned but
+    not finished when a run ends is read again, page by page, from its start to its end.
+    """
+
+    def __init__(self, fetcher: str, argument: str, pages: int):
+        self.fetcher, self.argument, self.pages = fetcher, argument, pages
+
+    def initialOffset(self) -> dict:
+        return {"since": None, "cursor": None, "edge": [], "newest": None, "newest_ids": []}
+
+    def _page(self, at: dict) -> tuple[list[tuple], dict, bool]:
+        """Rows of the next page, the offset behind it, and whether there is more."""
+        envelope = _function(self.fetcher)(at["since"], at["cursor"], self.argument)
+        rows, newest, ids = [], at["newest"], list(at["newest_ids"])
+        for result in envelope["results"]:
+            edited = result["last_edited_time"]
+            if edited == at["since"] and result["id"] in at["edge"]:
+                continue  # read before
+            rows.append((json.dumps(result),))
+            if newest is None or edited > newest:
+                newest, ids = edited, []
+            if edited == newest:
+                ids.append(result["id"])
+        cursor = envelope.get("next_cursor") if envelope.get("has_more") else None
+        if cursor is not None:
+            return rows, {**at, "cursor": cursor, "newest": newest, "newest_ids": ids}, True
+        if newest is None or newest == at["since"]:  # nothing newer: what was read of that time is added
+            return rows, {**at, "cursor": None, "edge": sorted({*at["edge"], *ids}), "newest": None, "newest_ids": []}, False
+        return rows, {"since": newest, "cursor": None, "edge": sorted(ids), "newest": None, "newest_ids": []}, False
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, at = [], start
+        for _ in range(self.pages):
+            found, at, more = self._page(at)
+            rows += found
+            if not more:
+                break
+        return iter(rows), at
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        at, more = start, True
+        while at != end and more:
+            found, at, more = self._page(at)
+            yield from found
+
+
 class WorkspaceSource(DataSource):
     """spark.read.format("workspace").option("fetcher", "module:function"): a row (value) for each result.
 
     The function turns a cursor (None at first) into the next envelope; cursors make this one partition.
+
+    spark.readStream takes a function of (since, cursor, argument) that gives the results edited at or after
+    since, the oldest edit first; options "argument" (such as the id of a database) and "pages", the most pages of
+    a batch.  Only the edges of a batch are kept, and its pages pass through the driver.
     """
 
     @classmethod
@@ -124,6 +178,9 @@ class WorkspaceSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _WorkspaceReader(self.options["fetcher"])
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _WorkspaceStream(self.options["fetcher"], self.options.get("argument", ""), int(self.options.get("pages", "10")))
+
 
 def children(spark: SparkSession, parents: DataFrame, fetch: Callable[[str, str | None], dict]) -> DataFrame:
     """(parent, ord, id, has_children, value) of the blocks below parents (id): fetch turns a block's id and
