@@ -12,6 +12,7 @@ are its words and one end, and the end stands before the first word too.
    words move.  Rounds end when both halves in turn raise it by less than ``LEAST_RISE`` of itself.
 3. Every other word seen twice or more goes to the class that its own contexts fit best: blocks send
    the classes on both sides of each occurrence to buckets of words, which answer with class and count.
+   A word that is frequent in a block is sent as counts, and these are summed over blocks first.
    Words seen once stay together in the last class, which stands for unknown words too.
 4. Class transitions are counted with all classes, and then every block scores its texts.
 
@@ -45,6 +46,8 @@ CLASSES = 64
 #: Words that are clustered in rounds; one more number stands for all others.
 HEAD = 4096
 _REST = HEAD + 1
+#: A word that occurs so often in a block leaves it as counts, which are summed before they meet in its bucket.
+FREQUENT = 8
 #: A round that raises the likelihood by less than this share of it changes nothing worth a round.
 LEAST_RISE = 2e-4
 #: Rows of the table of head bigrams.
@@ -326,15 +329,20 @@ def _bucket_slices(words: list[bytes], buckets: int) -> tuple[np.ndarray, list[t
     return order, [(int(bucket[a]), slice(a, b)) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(words)], strict=True) if a < b]
 
 
-def place_words(blocks: DataFrame, head: dict[bytes, tuple[int, int]], trans: np.ndarray, buckets: int) -> DataFrame:
+def place_words(blocks: DataFrame, head: dict[bytes, tuple[int, int]], trans: np.ndarray, buckets: int, work: Scratch) -> DataFrame:
     """(block, bucket, classes, seen, members): class and training count of the block's words that are
     not in the head; a row without a block tells how many words a bucket has of each class.
 
     head: class and training count of head words.  A word's class is the one with the largest
     first-order gain in likelihood, sum of log N(class, other) over its contexts less 2 n log N(class).
+
+    Words that are frequent in a block leave it as counts by class and side, which Spark sums over the blocks, so
+    that such a word is 2 * CLASSES numbers in its bucket however often it occurs.
     """
     shared = blocks.sparkSession.sparkContext.broadcast(head)  # HEAD words
     log_trans, log_size = np.log(trans + SMOOTH), np.log(trans.sum(0) + SMOOTH)
+    columns = ["bucket", "block", "data", "word", "cells", "sums"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def send(batches):
         for batch in batches:
@@ -351,49 +359,73 @@ def place_words(blocks: DataFrame, head: dict[bytes, tuple[int, int]], trans: np
                 at = np.flatnonzero(own & (rank[tokens] >= 0))
                 at = at[np.argsort(rank[tokens[at]], kind="stable")]
                 # the token after a word is in the same text, for the end is in the head
-                left, right = _before(cls)[at].astype(np.uint8), cls[at + 1].astype(np.uint8)
+                left, right = _before(cls)[at], cls[at + 1]
                 n = counts[rest].astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(n)])
+                often = n >= FREQUENT
+                word = rank[tokens[at]]
+                summed = often[word]
+                cells = np.concatenate([word[summed] * 2 * CLASSES + left[summed], (word[summed] * 2 + 1) * CLASSES + right[summed]])
+                cells, sums = np.unique(cells, return_counts=True)
+                left, right = left[~summed].astype(np.uint8), right[~summed].astype(np.uint8)
+                single = np.where(often, 0, n).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(single)])
                 rows = []
                 for b, s in parts:
                     names = b"\n".join([words[i - 1] for i in rest[s].tolist()])
                     a, z = int(ends[s.start]), int(ends[s.stop])
-                    rows.append((b, squeeze(np.array([s.stop - s.start, z - a], np.int64).tobytes() + n[s].tobytes() + left[a:z].tobytes() + right[a:z].tobytes() + names)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([row["block"]] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "data"])
+                    rows.append((b, row["block"], squeeze(np.array([s.stop - s.start, z - a], np.int64).tobytes() + n[s].tobytes() + single[s].tobytes() + left[a:z].tobytes() + right[a:z].tobytes() + names), None, None, None))
+                cut = np.flatnonzero(np.diff(cells // (2 * CLASSES), prepend=-1))
+                for a, z in zip(cut.tolist(), [*cut.tolist(), len(cells)][1:], strict=True):
+                    rows.append((None, None, None, words[rest[cells[a] // (2 * CLASSES)] - 1], (cells[a:z] % (2 * CLASSES)).tolist(), sums[a:z].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=columns)
 
     def answer(table: pa.Table) -> pa.Table:
         number: defaultdict = defaultdict(count().__next__)
-        own, occurrences, left, right = [], [], [], []
-        for data in table["data"].to_pylist():
+        own, totals, occurrences, left, right = [], [], [], [], []
+        packed = table.filter(table["data"].is_valid())
+        for data in packed["data"].to_pylist():
             data = expand(data)
             m, t = np.frombuffer(data, np.int64, 2).tolist()
-            at = 16 + 4 * m
+            at = 16 + 8 * m
             own.append(np.fromiter(map(number.__getitem__, data[at + 2 * t :].split(b"\n")), np.int64, m))
-            occurrences.append(np.repeat(own[-1], np.frombuffer(data, np.int32, m, 16)))
+            totals.append(np.frombuffer(data, np.int32, m, 16))
+            occurrences.append(np.repeat(own[-1], np.frombuffer(data, np.int32, m, 16 + 4 * m)))
             left.append(np.frombuffer(data, np.uint8, t, at))
             right.append(np.frombuffer(data, np.uint8, t, at + t))
         word, left, right = np.concatenate(occurrences), np.concatenate(left), np.concatenate(right)
-        total = np.bincount(word, minlength=len(number))
+        total = np.bincount(np.concatenate(own), np.concatenate(totals), len(number)).astype(np.int64)
         order = np.argsort(word, kind="stable")
         word, left, right = word[order], left[order], right[order]
+        summed = table.filter(table["word"].is_valid())
+        cells, sums = (summed[c].combine_chunks() for c in ("cells", "sums"))
+        often = np.repeat(np.array([number[w] for w in summed["word"].to_pylist()], np.int64), cells.value_lengths().to_numpy(zero_copy_only=False))
+        cells, sums = cells.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sums.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         classes = np.full(len(number), CLASSES - 1, np.uint8)
         for a in range(0, len(number), _PORTION):
             m = min(_PORTION, len(number) - a)
             i, j = np.searchsorted(word, [a, a + m])
             cell = (word[i:j] - a) * CLASSES
             before, after = (np.bincount(cell + x[i:j], minlength=m * CLASSES).reshape(m, CLASSES).astype(np.float64) for x in (left, right))
+            mine = np.flatnonzero((often >= a) & (often < a + m))
+            both = np.bincount((often[mine] - a) * 2 * CLASSES + cells[mine], sums[mine], m * 2 * CLASSES).reshape(m, 2 * CLASSES)
+            before, after = before + both[:, :CLASSES], after + both[:, CLASSES:]
             gain = after @ log_trans.T + before @ log_trans - 2 * total[a : a + m, None] * log_size
             classes[a : a + m] = np.where(total[a : a + m] > 1, 1 + gain[:, 1 : CLASSES - 1].argmax(1), CLASSES - 1)
         members = np.bincount(classes[total > 0], minlength=CLASSES).tolist()
         return pa.table({
-            "block": pa.array([*table["block"].to_pylist(), None], pa.int64()), "bucket": pa.array([*table["bucket"].to_pylist(), None], pa.int64()),
+            "block": pa.array([*packed["block"].to_pylist(), None], pa.int64()), "bucket": pa.array([*packed["bucket"].to_pylist(), None], pa.int64()),
             "classes": pa.array([*(squeeze(classes[x].tobytes()) for x in own), None], pa.binary()),
             "seen": pa.array([*(_pack_numbers(total[x]) for x in own), None], pa.binary()),
             "members": pa.array([*[None] * len(own), members], pa.list_(pa.int64())),
         })
 
-    sent = blocks.select("block", "held", "sizes", "tokens", "words", "counts").mapInArrow(tidy(send), "bucket long, block long, data binary")
-    return sent.groupBy("bucket").applyInArrow(tidy_group(answer), "block long, bucket long, classes binary, seen binary, members array<long>")
+    sent = blocks.select("block", "held", "sizes", "tokens", "words", "counts").mapInArrow(tidy(send), "bucket long, block long, data binary, word binary, cells array<int>, sums array<long>")
+    sent = work.write(sent, "sent")
+    each = sent.where("word IS NOT NULL").select("word", F.explode(F.arrays_zip("cells", "sums")).alias("c")).groupBy("word", "c.cells").agg(F.sum("c.sums").alias("n"))
+    lists = each.groupBy("word").agg(F.collect_list(F.struct("cells", "n")).alias("c"))  # 2 * CLASSES at most
+    none = F.lit(None)
+    often = lists.select(F.shiftright(F.crc32("word") * buckets, 32).alias("bucket"), none.cast("long").alias("block"), none.cast("binary").alias("data"), "word", F.col("c.cells").alias("cells"), F.col("c.n").alias("sums"))
+    return sent.where("word IS NULL").unionByName(often).groupBy("bucket").applyInArrow(tidy_group(answer), "block long, bucket long, classes binary, seen binary, members array<long>")
 
 
 def class_members(answers: DataFrame, classes: np.ndarray, n_head: int) -> np.ndarray:
@@ -468,10 +500,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = words.where(F.col("word") != _END).orderBy(F.desc("n"), "word").limit(HEAD).collect()  # HEAD words
     exchange = cluster_head(blocks, [bytes(r.word) for r in top], work)
     head = {_END: (0, total.ends or 0), **{bytes(r.word): (int(exchange.classes[i]), r.n) for i, r in enumerate(top, 1)}}
-    answers = work.write(place_words(blocks, head, exchange.transitions(exchange.classes), buckets), "answers")
+    answers = work.write(place_words(blocks, head, exchange.transitions(exchange.classes), buckets, work), "answers")
     coded = work.write(code_blocks(blocks, answers, head, buckets), "coded")
     trans, members = class_transitions(coded), class_members(answers, exchange.classes, len(top))
-    work.drop("blocks", "words", "pairs", "bigrams", "answers")
+    work.drop("blocks", "words", "pairs", "bigrams", "sent", "answers")
 
     log_trans = np.log10((trans + SMOOTH) / (trans.sum(1, keepdims=True) + SMOOTH * CLASSES))
     log_weight = np.log10(trans.sum(0) + SMOOTH * np.maximum(members, 1))
