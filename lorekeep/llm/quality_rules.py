@@ -142,27 +142,32 @@ def unpack_row(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([np.cumsum(raw[1:cut]), np.cumsum(raw[cut:])]).astype(np.int32), size, np.maximum(size, 1) ** -POWER
 
 
-def common_rows(packed: Sequence[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The rows with slots that ``LEAST_DOCS`` of them hold.  Rows are unpacked twice, one at a time, so
-    that the rare slots, most of all, are never in memory together."""
+def common_slots(packed: Sequence[bytes]) -> np.ndarray:
+    """Slots that ``LEAST_DOCS`` of the rows hold."""
     seen = np.zeros(SLOTS, np.int32)
     for p in packed:
         seen[np.unique(unpack_row(p)[0])] += 1
-    often = seen >= LEAST_DOCS
-    return with_slots(map(unpack_row, packed), often)
+    return seen >= LEAST_DOCS
 
 
-def telling(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], good: np.ndarray) -> np.ndarray:
-    """Slots whose share of the good rows and of the others differs by ``LEAST_Z`` standard errors."""
-    held = [np.zeros(SLOTS), np.zeros(SLOTS)]
-    for (slots, _, _), y in zip(rows, good, strict=True):
-        held[int(y)][np.unique(slots)] += 1
-    n1, n0 = good.sum(), len(good) - good.sum()
-    if not n1 or not n0:
-        return np.ones(SLOTS, bool)
-    share = (held[0] + held[1]) / len(good)
-    error = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    return (error > 0) & (np.abs(held[1] / n1 - held[0] / n0) >= min(LEAST_Z, len(good) ** 0.5 / 2) * error)
+def telling(packed: Sequence[bytes], good: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """For each row of good, the slots whose share of its good rows and of its others differs by ``LEAST_Z``
+    standard errors; of the rows that own numbers."""
+    held = np.zeros((len(good), 2, SLOTS), np.int32)
+    for i in own.tolist():
+        slots = np.unique(unpack_row(packed[i])[0])
+        for h, y in zip(held, good, strict=True):
+            h[int(y[i])][slots] += 1
+    found = []
+    for (h0, h1), y in zip(held, good[:, own], strict=True):
+        n1, n0 = y.sum(), len(y) - y.sum()
+        if not n1 or not n0:
+            found.append(np.ones(SLOTS, bool))
+            continue
+        share = (h0 + h1) / len(y)
+        error = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+        found.append((error > 0) & (np.abs(h1 / n1 - h0 / n0) >= min(LEAST_Z, len(y) ** 0.5 / 2) * error))
+    return found
 
 
 def with_slots(rows: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], chosen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,10 +182,14 @@ def with_slots(rows: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], chosen
 
 
 def fit_heads(packed: Sequence[bytes], good: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    """The numbers of each head, learnt from the n-grams that tell its classes apart."""
-    rows = common_rows(packed)
-    own = np.flatnonzero(~fold)
-    heads = [train(with_slots(rows, telling([rows[i] for i in own], y[own])), y[None], fold) for y in good]
+    """The numbers of each head, learnt from the n-grams that tell its classes apart.
+
+    Rows are unpacked one at a time in each pass, so that only the slots that a head learns from are in memory
+    together.
+    """
+    often, heads = common_slots(packed), []
+    for y, tells in zip(good, telling(packed, good, np.flatnonzero(~fold)), strict=True):
+        heads.append(train(with_slots(map(unpack_row, packed), often & tells), y[None], fold))
     return np.concatenate(heads)
 
 
@@ -274,7 +283,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = TRAI
         if (good.min(axis=1) == good.max(axis=1)).all():
             return pa.table({"model": pa.array([], pa.binary())})
         fold = mix(ids[order].astype(np.uint64)) % np.uint64(5) == 0
-        features = table["features"].take(pa.array(order)).to_pylist()
+        features = [table["features"][i].as_buffer() for i in order.tolist()]  # no copies
         return pa.table({"model": pa.array([fit_heads(features, good, fold).tobytes()], pa.binary())})
 
     made = rows.select("doc_id", "text", *HEADS).mapInArrow(tidy(prepare), "doc_id long, fine int, clean int, features binary, part int")

@@ -168,10 +168,12 @@ def test_quality_training_is_bounded(spark, monkeypatch):
 
 def test_few_telling_ngrams():
     """A slot in every row of one class and none of the other counts, one that both hold alike does not."""
-    rows = [(np.array([1, 2 + i % 2, 10 + i % 5]), np.array([3, 0]), np.ones(2)) for i in range(40)]
-    chosen = quality_rules.telling(rows, np.arange(40) % 2 * 1.0)
-    assert set(np.flatnonzero(chosen)) == {2, 3}
-    assert quality_rules.telling(rows, np.ones(40)).all()
+    packed = [quality_rules.squeeze(np.array([3, 1, 1 + i % 2, 8 - i % 2 + i % 5], np.int32).tobytes()) for i in range(40)]
+    assert quality_rules.unpack_row(packed[1])[0].tolist() == [1, 3, 11]
+    some, all_alike = quality_rules.telling(packed, np.stack([np.arange(40) % 2 * 1.0, np.ones(40)]), np.arange(40))
+    assert set(np.flatnonzero(some)) == {2, 3} and all_alike.all()
+    half = quality_rules.telling(packed, (np.arange(40) % 2 * 1.0)[None], np.arange(0, 40, 2))[0]
+    assert half.all()  # one class only among these
 
 
 def test_importance_sampling(spark):
