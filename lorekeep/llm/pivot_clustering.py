@@ -8,8 +8,8 @@ the centroid with the least bound; of the others only those whose bound does not
 found so far get an exact distance.
 
 1. Rows with exactly ``dims`` components, none null or non-finite, are kept.  The starts are the rows with
-   the least SHA-256 of ``<seed>:<vec_id>``; pivots are chosen among the first ``PIVOT_SAMPLE`` rows in that order,
-   each the farthest from those chosen before.
+   the least SHA-256 of ``<seed>:<vec_id>``; the first ``PIVOTS`` different ones in that order are the pivots, so
+   the first round's bounds are nearly exact.
 2. Vectors travel in blocks with their pivot distances, written once.
 3. Each round reads the blocks; a task sends the sums of its vectors by cluster, in digits to the base 2^40,
    so a round's shuffle is some thousand rows a task whatever the sizes of the clusters are, and only
@@ -36,8 +36,6 @@ from lorekeep.llm.common import Scratch, expand, squeeze, tidy
 
 #: Pivots of the table.
 PIVOTS = 8
-#: Rows, the first by their hash, among which pivots are chosen.
-PIVOT_SAMPLE = 64
 #: Vectors of a block.
 BLOCK_ROWS = 4096
 #: Bits of a digit in which sums travel.
@@ -86,16 +84,12 @@ def pivot_table(vectors: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
 
 
 def choose_pivots(vectors: list[np.ndarray], n: int = PIVOTS) -> list[np.ndarray]:
-    """The first vector, then each time the one farthest from all chosen (the first of equals)."""
-    chosen, far = [], None
-    while vectors and len(chosen) < min(n, len(vectors)):
-        at = 0 if far is None else max(range(len(vectors)), key=lambda i: far[i])
-        if far is not None and far[at] == 0:
-            break
-        chosen.append(vectors[at])
-        d = [int(squared(v[None, :], vectors[at])[0]) for v in vectors]
-        far = d if far is None else [min(a, b) for a, b in zip(far, d, strict=True)]
-    return chosen
+    """The first n different vectors."""
+    chosen: dict[tuple, np.ndarray] = {}
+    for v in vectors:
+        if len(chosen) < n:
+            chosen.setdefault(tuple(v.tolist()), v)
+    return list(chosen.values())
 
 
 def nearest(vectors: np.ndarray, table: np.ndarray, centroids: list[np.ndarray], reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -223,9 +217,9 @@ def cluster_vectors(rows: DataFrame, dims: int = 64, clusters: int = 8, rounds:
     work = Scratch(spark, "pivot_clustering")
     kept = _kept(rows, dims, id_col, vector_col)
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
-    first = kept.orderBy(order, "vector").limit(max(clusters, PIVOT_SAMPLE)).collect()
+    first = kept.orderBy(order, "vector").limit(max(clusters, PIVOTS)).collect()
     points = [_point(whole(np.array(r.vector, np.float64)).tolist()) for r in first]
-    pivots, centroids = choose_pivots(points[:PIVOT_SAMPLE]), points[:clusters]
+    pivots, centroids = choose_pivots(points), points[:clusters]
     blocks = work.write(_blocks(kept, dims, pivots), "blocks")
     reach = lambda: np.stack([pivot_table(c[None, :], pivots)[0] for c in centroids]) if centroids else np.zeros((0, len(pivots)))
     for _ in range(rounds if centroids else 0):
