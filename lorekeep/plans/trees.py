@@ -240,3 +240,14 @@ def list_levels(spark: SparkSession, d: str) -> DataFrame:
     """Lines as items of a list with levels: the item under which each hangs."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "l"))
     return op.item_hosts(lines.select("doc_id", "n", ((F.col("n") * 7 + F.length("l")) % 4).alias("level")), "doc_id", "n", "level", 4)
+
+
+@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<(script|style|title)[^>]*>.*?</(script|style|title)>', '', 'gs'), '<(h[1-6]|li)[^>]*>', 1)) AS tag FROM pages)
+  SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL""")
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Headings by level and items of lists among the blocks of each page."""
+    from lorekeep.sources import html
+
+    rows = html.read_pages(table(spark, d, "pages"))
+    tag = F.when(F.col("kind") == "heading", F.concat(F.lit("h"), F.col("level").cast("string"))).when(F.col("kind") == "list_item", "li")
+    return rows.where("kind IN ('heading', 'list_item')").groupBy(F.col("doc_id").cast("long").alias("page_id"), tag.alias("tag")).agg(F.count("*").alias("n"))
