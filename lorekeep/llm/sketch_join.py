@@ -42,7 +42,7 @@ from lorekeep.llm.jaccard_join import members_of, shingle_sets
 from lorekeep.llm.posting_lists import codes_of, frequencies, link_lists
 
 #: Values of a sketch.
-RETAINED = 256
+RETAINED = 1024
 #: Chance that the sketches of two linked documents share less than is asked for.
 MISS = 1e-15
 _ORD = 16  # bits of a document's place in its block
