@@ -70,14 +70,20 @@ def _heads(nodes: DataFrame) -> DataFrame:
     return nodes.selectExpr("conversation_id", "'t' AS title", "0.0D AS create_time", "0.0D AS update_time").distinct()
 
 
-def _stored(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The tables of the exported conversations, written and read again."""
+def _keeper(spark: SparkSession):
+    """A function that writes rows under a name and reads them again."""
     place = scratch_folder(spark, "stored")
 
     def keep(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{place}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{place}/{name}")
 
+    return keep
+
+
+def _stored(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables of the exported conversations, written and read again."""
+    keep = _keeper(spark)
     nodes = keep(_exported(spark, d), "exported")
     return {name: keep(rows, name) for name, rows in content.to_tables(_heads(nodes), nodes, keep).items()}
 
@@ -112,9 +118,8 @@ def _walk(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("conversation_id").cast("long").alias("conv_id"), pos.alias("pos"), F.lower("message.author.role").alias("role"), *content.walk_columns(), F.col("message.end_turn").alias("end_turn"))
 
 
-def _folded(spark: SparkSession, d: str) -> DataFrame:
-    """The discussions of the mixed contents; every third message has a label."""
-    messages = discussion.fold_messages(_walk(spark, d))
+def _labelled(messages: DataFrame) -> DataFrame:
+    """Every third message has a label."""
     return messages.withColumn("label", F.when((F.col("conv_id") + F.col("seq")) % 3 == 0, F.concat(F.lit("label "), "seq")))
 
 
@@ -157,7 +162,7 @@ def fsm_mixed_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stored_discussions(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    messages = _folded(spark, d)
+    messages = _keeper(spark)(_labelled(discussion.fold_messages(_walk(spark, d))), "messages")  # many tables are made from them
     return discussion.to_tables(messages, messages.select("conv_id", F.lit("t").alias("title")).distinct())
 
 
@@ -207,8 +212,10 @@ _DOCX_STEP = """CASE kind WHEN 'reflection' THEN [{'style': 'GF Reflection Summa
   SELECT conv_id, CAST(seq AS INTEGER) AS seq, CAST(place AS INTEGER) AS place, b.style AS style, b.text AS text FROM (SELECT conv_id, seq, unnest(b) AS b, unnest(range(len(b))) AS place FROM block)""")
 def docx_mixed(spark: SparkSession, d: str) -> DataFrame:
     """The paragraphs of whole documents: headers by label, steps by kind and language, issues."""
-    messages = _folded(spark, d)
-    tables = discussion.to_tables(messages, messages.select("conv_id", F.lit("t").alias("title")).distinct(), discussion.issues(_walk(spark, d)))
+    keep = _keeper(spark)
+    walk = keep(_walk(spark, d), "walk")
+    messages = keep(_labelled(discussion.fold_messages(walk)), "messages")
+    tables = discussion.to_tables(messages, messages.select("conv_id", F.lit("t").alias("title")).distinct(), discussion.issues(walk))
     return discussion.document_rows(discussion.from_tables(tables), tables["issue"])
 
 
