@@ -51,9 +51,11 @@ _SIGN = np.uint64(1 << 63)  # turned, unsigned hashes keep their order as longs
 
 def sure_matches(k: int, num: int, den: int, miss: float = MISS) -> int:
     """The largest c for which k draws with success num/den give fewer than c with a chance below miss."""
-    t, below = num / den, 0.0
+    if num >= den:
+        return k
+    below, yes, no = 0.0, math.log(num / den), math.log1p(-num / den)
     for c in range(k + 1):
-        below += math.comb(k, c) * t**c * (1 - t) ** (k - c)
+        below += math.exp(math.lgamma(k + 1) - math.lgamma(c + 1) - math.lgamma(k - c + 1) + c * yes + (k - c) * no)
         if below > miss:
             return c
     return k
