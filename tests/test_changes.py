@@ -149,3 +149,18 @@ def test_following_a_workspace(spark, tmp_path):
     api.write_text(json.dumps([["p0", "ta"], *pages[1:], ["p11", "t3"], ["p12", "t9"]]))  # edited again
     follow()
     assert read().count("p0") == 2 and len(read()) == 14
+
+
+def test_table_functions(spark):
+    """Called from SQL, they give what the operators give."""
+    from lorekeep.functions import table
+
+    table.register(spark)
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").selectExpr("cast(conv_id AS string) AS conversation_id", "concat('t', lpad(turn, 3, '0')) AS id", "CASE WHEN turn > 0 THEN concat('t', lpad(turn - 1, 3, '0')) END AS parent")
+    rows.createOrReplaceTempView("nodes")
+    got = spark.sql("SELECT * FROM chain_order(TABLE(nodes) PARTITION BY conversation_id)")
+    assert sorted(map(tuple, got.collect())) == sorted((r.conversation_id, r.id, r.idx) for r in conversation.chain_order(rows).collect())
+    blocks = spark.createDataFrame([(f"{d}-{i}", f"{d}-{(i - 1) // 3}" if i else None, D(i * 7 % 11), "c", 0, None, d) for d in "xy" for i in range(30)], BLOCK + ", doc string")
+    blocks.createOrReplaceTempView("blocks")
+    got = sorted(map(tuple, spark.sql("SELECT doc, uid, depth, place, n_below FROM walk_blocks(TABLE(blocks) PARTITION BY doc)").collect()))
+    assert got == sorted((d, r.uid, r.depth, r.place, r.n_below) for d in "xy" for r in tree.depth_first(blocks.where(F.col("doc") == d), 0).collect())
