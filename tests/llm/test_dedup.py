@@ -137,6 +137,25 @@ def test_hot_anchor_is_split(spark, length):
     assert blocks.count() > 1 and any("windows" in r and r.windows is not None for r in sent)
 
 
+def test_turns_share_the_contexts(spark):
+    """A turn holds a part of what is compared, and all turns the whole; results are those of brute force."""
+    rows = hot_line(3 * sd.HOT_CONTEXTS) + repeats()
+    work = Scratch(spark, "t")
+    blocks = work.write(sd.pack_documents(frame(spark, rows), block_bytes=9000), "blocks")
+    flagged = work.write(blocks.join(sd.repeated_flags(blocks, 50, 9), "block", "left"), "flagged")
+
+    def sent(turn, turns):
+        return sorted((r.bucket, r.block, r.contexts or b"", r.windows or b"") for r in sd._contexts(flagged, None, 50, 9, turn, turns).collect() if r.cuts is None)
+
+    parts = [sent(turn, 3) for turn in range(3)]
+    assert sorted(map(len, parts))[0] > 0
+    packed = lambda rows: [r[:3] for r in rows if r[2]]
+    assert sorted(x for p in parts for x in packed(p)) == packed(sent(0, 1))
+    assert max(sum(len(r[2]) for r in p) for p in parts) < 0.6 * sum(len(r[2]) for r in sent(0, 1))
+    got = sd.digest(sd.remove_repeats(frame(spark, rows), 50, block_bytes=9000)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, 50)
+
+
 def test_cut_documents(spark):
     rows = frame(spark)
     cut = sd.cut_documents(rows)
