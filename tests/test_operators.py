@@ -169,3 +169,30 @@ def test_stream_is_idempotent(spark, tmp_path):
         ingest.start(stream, "ingested", "body", str(tmp_path / f"ck{turn}")).awaitTermination()
     assert spark.table("ingested").count() == 2
     spark.sql("DROP TABLE ingested")
+
+
+def test_rights_of_classes(spark, monkeypatch):
+    """Users alike are one class, whatever their number; pairs are those of single users, each once."""
+    monkeypatch.setattr(access, "CHUNK", 7)
+    users = [(u, u % 3) for u in range(90)] + [(5, 7)]
+    members = [(u, g) for u, _ in users[:90] for g in {u % 2, u % 5, 900 + u}]
+    docs = [(d, f"s{d % 4}") for d in range(60)]
+    bindings = [("org", None, None, 1, 0, "domain", "s1"), ("org", None, None, 7, 1, "tenant", None), ("group", None, 3, None, 0, "resource", "17"), ("user", 8, None, None, 0, "tenant", None), ("user", 9, None, None, 1, "domain", "s2")]
+    acl = [(d, "group", None, d % 2, None, None, ["edit"], None, None) for d in range(0, 60, 3)] + [(4, "user", 11, None, None, None, ["edit"], None, None), (6, "org", None, None, 7, None, ["edit"], None, None)]
+    acl += [(10, "role", None, None, None, 1, ["edit"], None, None), (12, "org", None, None, 2, None, ["view"], None, None)]
+    u, m, b = spark.createDataFrame(users, "user long, org long"), spark.createDataFrame(members, "user long, grp long"), spark.createDataFrame(bindings, "principal string, user long, grp long, org long, role long, scope string, scope_value string")
+    a = spark.createDataFrame(acl, "doc long, principal string, user long, grp long, org long, role long, rights array<string>, scope string, scope_value string")
+    # three kinds of organisation, five sets of the named groups 0, 1 and 3; users 5, 8, 9 and 11 are like no other
+    assert access._classes(u, m, b, a).select("class").distinct().count() <= 3 * 5 + 4
+    want = set()
+    for x, org in users:
+        mine = {g for y, g in members if y == x}
+        held = [r for r in bindings if (r[0] == "org" and r[3] == org) or (r[0] == "group" and r[2] in mine) or (r[0] == "user" and r[1] == x)]
+        want |= {(x, None) for r in held if r[4] == 0 and r[5] == "tenant"}
+        for d, dom in docs:
+            covers = lambda r, d=d, dom=dom: r[5] == "tenant" or (r[5] == "domain" and r[6] == dom) or (r[5] == "resource" and r[6] == str(d))
+            scoped = any(r[4] == 0 and r[5] != "tenant" and covers(r) for r in held)
+            own = any(r[0] == d and "edit" in r[6] and ((r[1] == "group" and r[3] in mine) or (r[1] == "user" and r[2] == x) or (r[1] == "org" and r[4] == org) or (r[1] == "role" and any(h[4] == r[5] and covers(h) for h in held))) for r in acl)
+            want |= {(x, d)} if scoped or own else set()
+    got = access.can_user(spark.createDataFrame(docs, "doc long, domain string"), u, m, b, spark.createDataFrame([(0, "edit"), (1, "view")], "role long, permission string"), a, "edit").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
