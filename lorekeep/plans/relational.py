@@ -62,8 +62,8 @@ _LATEST = "latest AS (SELECT l_orderkey AS doc, l_linenumber AS version_no, l_pa
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
-    # generated lines repeat a number now and then: ties go to the larger content
-    rows = _versions(spark, d).withColumn("rank", F.struct("version_no", "content"))
+    # generated lines repeat a number now and then: ties go to the larger content, then to the larger state
+    rows = _versions(spark, d).withColumn("rank", F.struct("version_no", "content", "state"))
     return listing.latest(rows, "doc", "rank").select("doc", "version_no", "content", "state")
 
 

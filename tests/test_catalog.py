@@ -61,3 +61,12 @@ def test_whole_pages(spark, tmp_path):
     assert triple[4] == q * 3 + far + "\\\\" + ("\\" + q) * 3 + " " + q * 3
     rows = {r.page_id: r for r in catalog.QUERIES["html_complex_whole"](spark, str(tmp_path)).collect()}
     assert rows[3].is_complex and rows[3].has_math and not rows[1].is_complex and not rows[1].has_math
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_detail_of_equal_versions(spark, tmp_path, turn):
+    """Lines that agree in number and part: the state does not follow the order in which they are read."""
+    spark.createDataFrame([(1, "a"), (2, "b")], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1, 7, 5, "F"), (1, 7, 5, "O"), (1, 6, 9, "P")][::turn]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_linestatus string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {tuple(r) for r in catalog.QUERIES["doc_detail"](spark, str(tmp_path)).collect()} == {(1, "a", 7, "O"), (2, "b", None, None)}
