@@ -35,7 +35,8 @@ def insert_after(blocks: DataFrame, inserts: DataFrame, seq: int) -> DataFrame:
     ranks, _ = work.write(ranks.select("uid", "parent", F.col("seq_pos").cast(_SUM).alias("key"), (F.col("before") + 1).alias("rank")))
     same = lambda a, b, *names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
 
-    wanted = inserts.alias("i").join(ranks.alias("r"), [F.col("i.after") == F.col("r.uid"), *same("i", "r", "parent")], "left")
+    hosts = ranks.join(inserts.select("parent", F.col("after").alias("uid")).where("uid IS NOT NULL").distinct().alias("i"), ranks["uid"].eqNullSafe(F.col("i.uid")) & ranks["parent"].eqNullSafe(F.col("i.parent")), "left_semi")
+    wanted = inserts.alias("i").join(hosts.alias("r"), [F.col("i.after") == F.col("r.uid"), *same("i", "r", "parent")], "left")
     wanted = wanted.where("i.after IS NULL OR r.uid IS NOT NULL").select("i.*", F.coalesce("r.rank", F.lit(0)).alias("rank"))
     number = F.row_number().over(Window.partitionBy("parent", "rank").orderBy("n", "uid"))
     wanted, _ = work.write(wanted.withColumn("nth", number))
@@ -47,7 +48,10 @@ def insert_after(blocks: DataFrame, inserts: DataFrame, seq: int) -> DataFrame:
     done = []
     while True:
         width = max(1, 2 * width)
-        at = lambda name, key: ranks.select(F.col("parent").alias(f"{name}_p"), F.col("rank").alias(f"{name}_r"), F.col("key").alias(key))
+        # the siblings at the runs' ends, so that what the runs meet is no larger than they are
+        ends_ = open_.select(F.col("parent").alias("_p"), F.explode(F.array("low", "high")).alias("_r")).distinct()
+        near = ranks.join(ends_, ranks["parent"].eqNullSafe(F.col("_p")) & (ranks["rank"] == F.col("_r")), "left_semi")
+        at = lambda name, key: near.select(F.col("parent").alias(f"{name}_p"), F.col("rank").alias(f"{name}_r"), F.col("key").alias(key))
         found = open_.drop("left_key", "right_key", "fits")
         found = found.join(at("l", "left_key"), F.col("parent").eqNullSafe(F.col("l_p")) & (F.col("low") == F.col("l_r")), "left").join(at("h", "right_key"), F.col("parent").eqNullSafe(F.col("h_p")) & (F.col("high") == F.col("h_r")), "left")
         found = found.alias("g").join(ends.alias("e"), same("g", "e", "parent"), "left").select("g.*", F.coalesce("last_key", F.lit(0).cast(_SUM)).alias("last_key"))
@@ -74,7 +78,8 @@ def insert_after(blocks: DataFrame, inserts: DataFrame, seq: int) -> DataFrame:
     spans = named.groupBy("parent", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("left_key").alias("left_key"), F.max("right_key").alias("right_key"))
     spans, _ = work.write(spans)
     inner = spans.where("high > low + 1").select("parent", "run", "left_key", "right_key", F.explode(F.sequence(F.col("low") + 1, F.col("high") - 1)).alias("rank"))
-    moved = inner.alias("s").join(ranks.alias("r"), same("s", "r", "parent", "rank")).select("r.uid", "s.parent", "s.run", "s.left_key", "s.right_key", "s.rank", F.lit(0).alias("nth"))
+    # an estimate knows the spans and not their places: without the hint all places would be broadcast
+    moved = inner.hint("merge").alias("s").join(ranks.alias("r"), same("s", "r", "parent", "rank")).select("r.uid", "s.parent", "s.run", "s.left_key", "s.right_key", "s.rank", F.lit(0).alias("nth"))
     by_gap = named.select("parent", "rank", "run").alias("g").join(spans.alias("s"), same("g", "s", "parent", "run")).select("g.parent", "g.rank", "s.run", "s.left_key", "s.right_key")
     put = wanted.alias("w").join(by_gap.alias("g"), same("w", "g", "parent", "rank")).select("w.uid", "w.parent", "g.run", "g.left_key", "g.right_key", "w.rank", "w.nth")
     within = Window.partitionBy("parent", "run")
@@ -83,7 +88,7 @@ def insert_after(blocks: DataFrame, inserts: DataFrame, seq: int) -> DataFrame:
     keys = moved.unionByName(put).select("uid", (F.col("left_key") + part).cast(KEY).alias("_key"))
     keys, _ = work.write(keys)
 
-    kept = blocks.join(keys, "uid", "left").withColumn("relabelled", F.col("_key").isNotNull()).withColumn("seq_pos", F.coalesce("_key", F.col("seq_pos").cast(KEY))).select(*blocks.columns, "relabelled")
+    kept = blocks.join(keys.hint("merge"), "uid", "left").withColumn("relabelled", F.col("_key").isNotNull()).withColumn("seq_pos", F.coalesce("_key", F.col("seq_pos").cast(KEY))).select(*blocks.columns, "relabelled")
     none = F.lit(None)
     given = {"valid_from": F.lit(seq).cast("long"), "valid_to": none.cast("long"), "relabelled": F.lit(False)}
     fresh = wanted.drop("seq_pos").join(keys, "uid").withColumn("seq_pos", F.col("_key"))

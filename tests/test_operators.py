@@ -196,3 +196,15 @@ def test_rights_of_classes(spark, monkeypatch):
             want |= {(x, d)} if scoped or own else set()
     got = access.can_user(spark.createDataFrame(docs, "doc long, domain string"), u, m, b, spark.createDataFrame([(0, "edit"), (1, "view")], "role long, permission string"), a, "edit").collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+
+
+def test_inserts_broadcast_no_siblings(spark):
+    """Keys of relabelled siblings meet the blocks by sorting, however small their estimate is."""
+    from lorekeep.operators.placing import insert_after
+
+    rows = blocks(spark, [(str(i), "p", f"0.{i:010d}", 0, None) for i in range(1, 60)])
+    put = insert_after(rows, spark.createDataFrame([(f"n{i}", "p", "30", i, "new") for i in range(5)], "uid string, parent string, after string, n int, content string"), 1)
+    plan = put._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [uid" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]
+    order = [r.uid for r in put.orderBy("seq_pos").collect()]
+    assert order == [*map(str, range(1, 31)), *[f"n{i}" for i in range(5)], *map(str, range(31, 60))]
