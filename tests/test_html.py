@@ -49,3 +49,21 @@ def test_no_text_is_lost(spark):
         shown = unescape(re.sub(r"<[^>]*>", " ", shown))
         texts = [t for t in html._texts(html.page_items(r.html)) if t != "[table]"]
         assert " ".join(texts).split() == shown.split()
+
+
+def test_pages_are_read_one_at_a_time(spark):
+    """Blocks are handed on before all pages of a batch are read."""
+    import pyarrow as pa
+
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    n = 200
+    pages = pa.record_batch({"doc_id": [str(i) for i in range(n)], "html": [None if i == 7 else "<h2>a</h2><p>b</p>" * 40 for i in range(n)], "whole": [False] * n})
+    found = list(html.read_pages(Pages())(iter([pages])))
+    assert max(b.num_rows for b in found) <= html._ROWS and sum(b.num_rows for b in found) == 80 * (n - 1)
+    assert found[0]["doc_id"][0].as_py() == "0" and found[-1]["kind"][-1].as_py() == "paragraph"
