@@ -208,3 +208,13 @@ def test_inserts_broadcast_no_siblings(spark):
     assert "SortMergeJoin [uid" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]
     order = [r.uid for r in put.orderBy("seq_pos").collect()]
     assert order == [*map(str, range(1, 31)), *[f"n{i}" for i in range(5)], *map(str, range(31, 60))]
+
+
+def test_few_pairs_are_unfolded_from_a_row(spark):
+    """However large a class, no row unfolds to many pairs, as Spark holds all of them at once; each pair stands in one row."""
+    told = spark.range(2000).select(F.col("id").alias("user"), F.lit("c").alias("class")).union(spark.sql("SELECT CAST(NULL AS BIGINT), 'c'"))
+    rows = access._dealt(told, spark.range(1500).select(F.lit("c").alias("class"), F.col("id").alias("doc")))
+    seen = rows.select(F.size("users").alias("u"), F.size("docs").alias("d")).agg(F.max(F.col("u") * F.col("d")), F.sum(F.col("u") * F.col("d"))).first()
+    assert seen[0] <= 30_000 and seen[1] == 2001 * 1500
+    pairs = rows.select(F.explode("users").alias("u"), "docs").select("u.user", F.explode("docs").alias("doc"))
+    assert pairs.distinct().count() == 2001 * 1500 and pairs.where("user IS NULL").count() == 1500
